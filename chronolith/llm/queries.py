@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, langid, mixing, simhash, substring_dedup
+from . import ann, bpe, chat, exact_dedup, langid, mixing, simhash, substring_dedup, url_filter
 from ._common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -47,12 +47,52 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def with_probe(rows: DataFrame) -> DataFrame:
+    """All conversations and conversation -7, whose texts look like marks."""
+    text = "\\### Assistant: </turn> ok"
+    probe = rows.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.render(chat.from_rows(with_probe(table(spark, sf_dir, "conversations")))).select("conv_id", "segments", chat.formatted(F.col("segments")).alias("formatted"))
+    out = out.select("conv_id", "formatted", chat.masked_text(F.col("segments")).alias("loss"), chat.parse(F.col("formatted")).alias("turns"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn(docs, usable=~langid.held_out()))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+RULES = tuple(url_filter.Rule(*x) for x in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")))
+#: Words of host names that stand for a public block list of hosts.
+LISTED_WEIGHT = 20
+BAD_HOST_WORDS = ("ads", "adult", "bet", "bets", "casino", "gambling", "lottery", "malware", "phishing", "pills", "porn", "spam", "viagra", "warez", "xxx")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's number in its path is its document's id, whose label is the
+    page's; URLs of hosts with a word of the block list are labelled bad, each
+    as often as LISTED_WEIGHT pages."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("_bad"))
+    pages = pages.select("page_id", "url", F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)[^/?#]*/?(?:[?#]|$)', 1) AS bigint)").alias("_number"))
+    pages = pages.join(bad, F.col("_number") == F.col("_doc"), "left")
+    listed = F.arrays_overlap(F.split(F.col("_host"), "[.-]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
+    found = url_filter.judge(pages, RULES, F.when(listed, F.lit(True)).otherwise(F.col("_bad") == 1), F.when(listed, LISTED_WEIGHT).otherwise(1))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,7 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat": op5_chat,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
 }
@@ -81,6 +123,19 @@ WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 b AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY text_sha256) AS group_size, text_sha256 FROM a)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b
+""",
+    "op5_chat": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+           UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (SELECT *, replace(replace(replace(role, '\', '\b'), '<', '\l'), '>', '\g') AS r,
+             replace(replace(replace(text, '\', '\b'), '<', '\l'), '>', '\g') AS t FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS lines,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(6 + length(r) + 1 + length(t) + 8)::BIGINT AS formatted_chars
+      FROM e GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """,
     "op10_mixing": r"""
 WITH q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS weight
