@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, langid, mixing, simhash, substring_dedup, url_filter
+from . import ann, bpe, chat, exact_dedup, html_extract, langid, mixing, simhash, substring_dedup, url_filter
 from ._common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -68,6 +68,11 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(table(spark, sf_dir, "pages"), keep=("url",))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learn(docs, usable=~langid.held_out()))
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat": op5_chat,
+    "op6_html": op6_html,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
