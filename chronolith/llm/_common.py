@@ -21,10 +21,23 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 _made: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver runs outside the
-    repository's folder (on a cluster ship it with ``--py-files`` instead)."""
+    """Prepare a session for operators that run Python.
+
+    Workers get batches of bounded bytes, however long the texts are, and give
+    freed memory back.  They can import this package even when the driver runs
+    outside the repository's folder (on a cluster ship it with ``--py-files``)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
+    env.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    env.setdefault("MALLOC_ARENA_MAX", "2")
+    env.setdefault("MALLOC_TRIM_THRESHOLD_", "1000000")
     have = env.get("PYTHONPATH", "")
     if _ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import normal_space, ready, written
+from ._common import BATCH_BYTES, normal_space, ready, written
 
 #: Entries that a bucket holds before it splits.
 BUCKET_ROWS = 1024
@@ -28,8 +28,7 @@ BUCKET_ROWS = 1024
 #: then only grow, as owners stream them.
 MAX_DEPTH = 20
 #: Bytes of distinct texts that a task holds while it collapses copies.
-HELD_BYTES = 32 << 20
-BATCH_BYTES = 4 << 20
+HELD_BYTES = 16 << 20
 
 
 class Directory:
