@@ -12,22 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 class Query:
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    ids: tuple[str, ...]  # operators of the survey that it covers
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, ids: str = "", sql: str | None = None):
     """Decorator for a function of a table reader ``t``: ``t("orders")``."""
 
     def wrap(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return build(Tables(spark, sf_dir))
 
         run.__name__, run.__doc__ = build.__name__, build.__doc__
         if name in QUERIES:
             raise ValueError(f"{name} is registered twice")
-        QUERIES[name] = Query(run, sql)
+        QUERIES[name] = Query(run, sql, tuple(ids.split()))
         return build
 
     return wrap
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Reads a table by name."""
+
+    spark: SparkSession
+    folder: str
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def load() -> dict[str, Query]:
+    """All queries; importing a plan module registers what it has."""
+    from . import ch, changelog, generated, keyspace, metrics, oltp, retained, scans, streamed, versions  # noqa: F401
+
+    return QUERIES
