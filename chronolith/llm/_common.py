@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove, shared_folder, written  # noqa: F401
+
 #: The six ASCII white-space characters, [\x20\x09-\x0D], that part words.
 SPACES = " \t\n\x0b\x0c\r"
 #: Java / DuckDB regular expression of one word.
@@ -18,7 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_made: list[tuple[SparkSession, str]] = []
 
 
 #: Bytes of an Arrow batch that a Python worker gets at once.
@@ -43,49 +41,6 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, have) if x)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (local runs and tests) is one made."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("chronolith.local.shared", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="chronolith-")
-        spark.conf.set("chronolith.local.shared", base)
-    return base.rstrip("/")
-
-
-def _filesystem(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = _filesystem(spark, path)
-    fs.delete(p, True)
-
-
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it back: lineage ends there,
-    and an executor that is lost takes no intermediate result with it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/chronolith/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session has ended; the folder's owner cleans up
-            return
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
