@@ -45,10 +45,10 @@ def append_manifest(df: DataFrame, path: str) -> None:
 
 def write_catalog(spark: SparkSession, names: list[str], path: str) -> None:
     """Table names, one a line, in order of creation."""
-    spark.createDataFrame([(n,) for n in names], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([("\n".join(names),)], "value string").write.mode("overwrite").text(path)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """(table_id, name): a table's id is its line."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("table_id", "name"))
+    text = spark.read.text(path, wholetext=True).where("value <> ''")
+    return text.select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), "\n")).alias("table_id", "name"))
