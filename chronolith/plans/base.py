@@ -14,10 +14,16 @@ from ..operators import changes
 
 LINES_SQL = """
 lines AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber AS ol_number, CAST(l_quantity AS bigint) AS qty,
-                 CAST(l_extendedprice AS decimal(18,2)) AS amount, l_discount, l_tax,
+                 CAST(floor(l_extendedprice * 100 + 0.5) AS bigint) AS cents, l_discount, l_tax,
                  CASE WHEN l_linestatus = 'O' THEN NULL ELSE l_shipdate END AS delivered FROM lineitem)"""
 
 
+def cents(column: str):
+    """An amount in whole hundredths: sums of longs are exact in any order, and
+    stay in primitive code."""
+    return F.floor(F.col(column) * 100 + 0.5).cast("long")
+
+
 def lines(t) -> DataFrame:
     return t("lineitem").select(
         "l_orderkey",
@@ -25,7 +31,7 @@ def lines(t) -> DataFrame:
         "l_suppkey",
         F.col("l_linenumber").alias("ol_number"),
         F.col("l_quantity").cast("long").alias("qty"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
+        cents("l_extendedprice").alias("cents"),
         "l_discount",
         "l_tax",
         F.when(F.col("l_linestatus") != "O", F.col("l_shipdate")).alias("delivered"),

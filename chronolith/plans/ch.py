@@ -21,7 +21,7 @@ def ts(text: str) -> Column:
 
 def pricing_summary(rows: DataFrame, where: Column) -> DataFrame:
     """Count, sums and averages by line number of the lines that pass."""
-    money, n = F.sum("amount").cast("double"), F.count("*")
+    money, n = F.sum("cents") / 100.0, F.count("*")
     return rows.where(where).groupBy("ol_number").agg(
         n.alias("count_order"),
         F.sum("qty").alias("sum_qty"),
@@ -32,10 +32,10 @@ def pricing_summary(rows: DataFrame, where: Column) -> DataFrame:
 
 
 _Q1_SQL = "WITH" + LINES_SQL + """
-SELECT ol_number, count(*) AS count_order, CAST(sum(qty) AS bigint) AS sum_qty, CAST(sum(amount) AS double) AS sum_amount,
-       CAST(sum(qty) AS double) / count(*) AS avg_qty, CAST(sum(amount) AS double) / count(*) AS avg_amount
+SELECT ol_number, count(*) AS count_order, CAST(sum(qty) AS bigint) AS sum_qty, CAST(sum(cents) AS double) / 100 AS sum_amount,
+       CAST(sum(qty) AS double) / count(*) AS avg_qty, CAST(sum(cents) AS double) / 100 / count(*) AS avg_amount
 FROM lines WHERE {where} GROUP BY ol_number"""
-_REVENUE_SQL = "WITH" + LINES_SQL + " SELECT coalesce(CAST(sum(amount) AS double), 0.0::DOUBLE) AS revenue FROM lines WHERE {where}"
+_REVENUE_SQL = "WITH" + LINES_SQL + " SELECT coalesce(CAST(sum(cents) AS double) / 100, 0.0::DOUBLE) AS revenue FROM lines WHERE {where}"
 
 
 @register("ch_q1", "Q1 AG-01 AG-02 SO-01 QD", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
@@ -52,7 +52,7 @@ def ch_q1_strict(t):
 
 def revenue(rows: DataFrame, where: Column) -> DataFrame:
     """The sum of amounts that pass; zero, not null, if none does."""
-    return rows.where(where).agg(F.coalesce(F.sum("amount").cast("double"), F.lit(0.0)).alias("revenue"))
+    return rows.where(where).agg(F.coalesce(F.sum("cents") / 100.0, F.lit(0.0)).alias("revenue"))
 
 
 @register("ch_q6", "Q6 AG-03 FLT-08", _REVENUE_SQL.format(where=f"delivered >= TIMESTAMP '{YEAR[0]}' AND delivered < TIMESTAMP '{YEAR[1]}' AND qty < 24"))
@@ -99,12 +99,12 @@ def revenue_by_nation(orders: DataFrame, rows: DataFrame, supplier: DataFrame, n
     unknown region leaves nothing."""
     where = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region.where(F.col("r_name") == name), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_nationkey", "n_name")
     asked = orders.where((F.col("o_orderdate") >= ts(lo)) & (F.col("o_orderdate") < ts(hi))).select("o_orderkey")
-    joined = rows.select("l_orderkey", "l_suppkey", "amount").join(where, F.col("l_suppkey") == F.col("s_suppkey")).join(asked, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.groupBy("n_nationkey", "n_name").agg(F.sum("amount").cast("double").alias("revenue")).orderBy(F.desc("revenue"), "n_nationkey").select("n_name", "revenue")
+    joined = rows.select("l_orderkey", "l_suppkey", "cents").join(where, F.col("l_suppkey") == F.col("s_suppkey")).join(asked, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("n_nationkey", "n_name").agg((F.sum("cents") / 100.0).alias("revenue")).orderBy(F.desc("revenue"), "n_nationkey").select("n_name", "revenue")
 
 
 _Q5_SQL = "WITH" + LINES_SQL + f"""
-SELECT n_name, CAST(sum(amount) AS double) AS revenue
+SELECT n_name, CAST(sum(cents) AS double) / 100 AS revenue
 FROM orders JOIN lines ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 WHERE r_name = '{{region}}' AND o_orderdate >= TIMESTAMP '{YEAR[0]}' AND o_orderdate < TIMESTAMP '{YEAR[1]}' GROUP BY n_nationkey, n_name"""
 
@@ -131,18 +131,18 @@ def ch_q5_unknown_region(t):
 @register(
     "q1_path_agreement",
     "QV",
-    "WITH" + LINES_SQL + """, s AS (SELECT count(*) AS n_rows, count(delivered) AS n_delivered, CAST(sum(amount) FILTER (WHERE delivered IS NOT NULL) AS double) AS total FROM lines)
+    "WITH" + LINES_SQL + """, s AS (SELECT count(*) AS n_rows, count(delivered) AS n_delivered, CAST(sum(cents) FILTER (WHERE delivered IS NOT NULL) AS double) / 100 AS total FROM lines)
 SELECT p.path, s.* FROM s, (VALUES ('filtered'), ('by_group'), ('by_range')) p(path)""",
 )
 def q1_path_agreement(t):
     """Three plans for the same totals: flat, over groups, over key ranges."""
 
     def totals(rows, path):
-        return rows.agg(F.count("*").alias("n_rows"), F.count("delivered").alias("n_delivered"), F.sum(F.when(F.col("delivered").isNotNull(), F.col("amount"))).cast("double").alias("total")).select(F.lit(path).alias("path"), "n_rows", "n_delivered", "total")
+        return rows.agg(F.count("*").alias("n_rows"), F.count("delivered").alias("n_delivered"), (F.sum(F.when(F.col("delivered").isNotNull(), F.col("cents"))) / 100.0).alias("total")).select(F.lit(path).alias("path"), "n_rows", "n_delivered", "total")
 
-    rows = lines(t).select("l_orderkey", "ol_number", "delivered", "amount")
-    grouped = rows.groupBy("ol_number").agg(F.count("*").alias("a"), F.count("delivered").alias("b"), F.sum(F.when(F.col("delivered").isNotNull(), F.col("amount"))).alias("c"))
-    grouped = grouped.agg(F.sum("a").alias("n_rows"), F.sum("b").alias("n_delivered"), F.sum("c").cast("double").alias("total")).select(F.lit("by_group").alias("path"), "n_rows", "n_delivered", "total")
+    rows = lines(t).select("l_orderkey", "ol_number", "delivered", "cents")
+    grouped = rows.groupBy("ol_number").agg(F.count("*").alias("a"), F.count("delivered").alias("b"), F.sum(F.when(F.col("delivered").isNotNull(), F.col("cents"))).alias("c"))
+    grouped = grouped.agg(F.sum("a").alias("n_rows"), F.sum("b").alias("n_delivered"), (F.sum("c") / 100.0).alias("total")).select(F.lit("by_group").alias("path"), "n_rows", "n_delivered", "total")
     return totals(rows, "filtered").unionByName(grouped).unionByName(totals(rows.repartitionByRange(8, "l_orderkey"), "by_range"))
 
 

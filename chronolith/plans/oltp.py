@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from .base import cents
 from .registry import register
 
 
@@ -61,15 +62,15 @@ def stock_level_distinct(t):
 @register(
     "delivery_oldest_per_district",
     "T-DEL SO-04",
-    "WITH n AS (SELECT o_custkey % 10 AS d_id, min(o_orderkey) AS o_id FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT n.d_id, n.o_id, o.o_custkey AS c_id, CAST(sum(CAST(l_extendedprice AS decimal(18,2))) AS double) AS amount, count(l_orderkey) AS lines FROM n JOIN orders o ON n.o_id = o.o_orderkey LEFT JOIN lineitem ON l_orderkey = n.o_id GROUP BY 1, 2, 3",
+    "WITH n AS (SELECT o_custkey % 10 AS d_id, min(o_orderkey) AS o_id FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT n.d_id, n.o_id, o.o_custkey AS c_id, CAST(sum(CAST(floor(l_extendedprice * 100 + 0.5) AS bigint)) AS double) / 100 AS amount, count(l_orderkey) AS lines FROM n JOIN orders o ON n.o_id = o.o_orderkey LEFT JOIN lineitem ON l_orderkey = n.o_id GROUP BY 1, 2, 3",
 )
 def delivery_oldest_per_district(t):
     """The oldest undelivered order of each district and what its delivery
     credits to the customer."""
     o = t("orders").where("o_orderstatus = 'O'").groupBy((F.col("o_custkey") % 10).alias("d_id")).agg(F.min_by(F.struct("o_orderkey", "o_custkey"), "o_orderkey").alias("m"))
     o = o.select("d_id", F.col("m.o_orderkey").alias("o_id"), F.col("m.o_custkey").alias("c_id"))
-    lines = t("lineitem").select("l_orderkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("a"))
-    return o.join(lines, F.col("l_orderkey") == F.col("o_id"), "left").groupBy("d_id", "o_id", "c_id").agg(F.sum("a").cast("double").alias("amount"), F.count("l_orderkey").alias("lines"))
+    lines = t("lineitem").select("l_orderkey", cents("l_extendedprice").alias("a"))
+    return o.join(lines, F.col("l_orderkey") == F.col("o_id"), "left").groupBy("d_id", "o_id", "c_id").agg((F.sum("a") / 100.0).alias("amount"), F.count("l_orderkey").alias("lines"))
 
 
 @register(
@@ -103,13 +104,13 @@ def stock_replenish_rule(t):
 @register(
     "payment_effects",
     "T-PAY",
-    "WITH p AS (SELECT event_id, user_id, user_id % 4 AS w_id, user_id % 10 AS d_id, CAST(value AS decimal(18,2)) AS a FROM events WHERE event_type = 'purchase') SELECT w_id, d_id, count(*) AS payments, CAST(sum(a) AS double) AS ytd, max(left('c' || user_id || ' w' || w_id || ' d' || d_id || ' ' || repeat('x', 600), 500)) AS note FROM p GROUP BY 1, 2",
+    "WITH p AS (SELECT event_id, user_id, user_id % 4 AS w_id, user_id % 10 AS d_id, CAST(floor(value * 100 + 0.5) AS bigint) AS a FROM events WHERE event_type = 'purchase') SELECT w_id, d_id, count(*) AS payments, CAST(sum(a) AS double) / 100 AS ytd, max(left('c' || user_id || ' w' || w_id || ' d' || d_id || ' ' || repeat('x', 600), 500)) AS note FROM p GROUP BY 1, 2",
 )
 def payment_effects(t):
     """Year-to-date sums by district, and bad-credit notes cut to 500 characters."""
-    p = t("events").where("event_type = 'purchase'").select("user_id", (F.col("user_id") % 4).alias("w_id"), (F.col("user_id") % 10).alias("d_id"), F.col("value").cast("decimal(18,2)").alias("a"))
+    p = t("events").where("event_type = 'purchase'").select("user_id", (F.col("user_id") % 4).alias("w_id"), (F.col("user_id") % 10).alias("d_id"), cents("value").alias("a"))
     note = F.left(F.concat(F.lit("c"), F.col("user_id"), F.lit(" w"), F.col("w_id"), F.lit(" d"), F.col("d_id"), F.lit(" "), F.repeat(F.lit("x"), 600)), F.lit(500))
-    return p.groupBy("w_id", "d_id").agg(F.count("*").alias("payments"), F.sum("a").cast("double").alias("ytd"), F.max(note).alias("note"))
+    return p.groupBy("w_id", "d_id").agg(F.count("*").alias("payments"), (F.sum("a") / 100.0).alias("ytd"), F.max(note).alias("note"))
 
 
 _INV = """WITH o AS (SELECT o_custkey % 10 AS d, count(*) AS n, max(o_orderkey) AS top, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending FROM orders GROUP BY 1),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -16,6 +17,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
 def register(name: str, ids: str = "", sql: str | None = None):
@@ -36,13 +38,21 @@ def register(name: str, ids: str = "", sql: str | None = None):
 
 @dataclass(frozen=True)
 class Tables:
-    """Reads a table by name."""
+    """Reads a table by name.  A table's schema is read from its files once a
+    session; later reads plan without touching them."""
 
     spark: SparkSession
     folder: str
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        known = _SCHEMAS.get(key)
+        if known is None:
+            df = self.spark.read.parquet(path)
+            _SCHEMAS[key] = df.schema
+            return df
+        return self.spark.read.schema(known).parquet(path)
 
 
 def load() -> dict[str, Query]:

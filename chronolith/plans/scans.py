@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reads
+from .base import cents
 from .registry import register
 
 LO, HI = 100, 199
 
 
 def _orders(t):
-    return t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    return t("orders").select("o_orderkey", "o_custkey", "o_orderstatus", cents("o_totalprice").alias("cents"))
 
 
 @register("point_read", "FLT-01 RD-01 RD-02", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 100")
@@ -37,9 +38,9 @@ def range_count(t):
     return reads.count(reads.scan(t("orders"), "o_orderkey", LO, HI))
 
 
-@register("range_fold_sum", "RD-09 RD-16", f"SELECT CAST(sum(CAST(o_totalprice AS decimal(18,2))) AS double) AS total, max(o_custkey) AS top FROM orders WHERE o_orderkey BETWEEN {LO} AND 5000")
+@register("range_fold_sum", "RD-09 RD-16", f"SELECT CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS bigint)) AS double) / 100 AS total, max(o_custkey) AS top FROM orders WHERE o_orderkey BETWEEN {LO} AND 5000")
 def range_fold_sum(t):
-    return reads.fold(reads.scan(_orders(t), "o_orderkey", LO, 5000), F.sum("price").cast("double").alias("total"), F.max("o_custkey").alias("top"))
+    return reads.fold(reads.scan(_orders(t), "o_orderkey", LO, 5000), (F.sum("cents") / 100.0).alias("total"), F.max("o_custkey").alias("top"))
 
 
 @register("range_min_key", "RD-11 AG-08", f"SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey BETWEEN {LO} AND {HI} ORDER BY o_orderkey LIMIT 1")

@@ -1,14 +1,13 @@
 """Golden fixtures of the analytical queries, with their boundaries."""
 
 from datetime import datetime
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronolith.plans import ch
 
-LINE = "l_orderkey long, ol_number int, delivered timestamp_ntz, qty long, amount decimal(18,2), l_suppkey long"
+LINE = "l_orderkey long, ol_number int, delivered timestamp_ntz, qty long, cents long, l_suppkey long"
 
 
 def at(n):
@@ -16,7 +15,7 @@ def at(n):
 
 
 def lines(spark, rows):
-    return spark.createDataFrame([(o, n, d, q, Decimal(a), 0) for o, n, d, q, a in rows], LINE)
+    return spark.createDataFrame([(o, n, d, q, 100 * a, 0) for o, n, d, q, a in rows], LINE)
 
 
 B1 = [(1, 1, at(50), 5, 100), (1, 2, at(50), 3, 60), (2, 1, at(50), 7, 140), (2, 2, at(150), 2, 999), (3, 1, None, 1, 10)]
