@@ -212,7 +212,7 @@ def _page_features(p: Page):
     parent, end, depth = np.array(p.parent), np.array(p.end), np.array(p.depth, float)
     own = np.zeros((n, 6))  # chars, words, linked chars, stops, text runs, capitals or digits at the start
     for i, t in p.text.items():
-        own[i] = (len(t), t.count(" ") + 1, p.linked[i], t.count(". ") + t.count(", ") + t.endswith((".", "!", "?", ":", "。")), 1, t[0].isupper())
+        own[i] = (len(t), t.count(" ") + 1, p.linked[i], t.count(". ") + t.count(", ") + t.endswith((".", "!", "?", ":", "。")), 1, t[:1].isupper())
     is_tag = np.array([t != "#text" for t in p.tag], float)
     para = np.array([t == "p" for t in p.tag], float)
     item = np.array([t in ("li", "option", "dd", "dt") for t in p.tag], float)
@@ -429,7 +429,7 @@ class _Maker:
         out = f"<{tag}{self.attr(*names, often=0.2 if tag in ('article', 'main') else 0.75)}>{inner}</{tag}>"
         if tag == "article" and r.random() < 0.3:
             out = f"<main>{out}</main>"
-        return out
+        return inner if r.random() < 0.12 else out
 
     def boiler(self, kind: str) -> str:
         r = self.r
@@ -485,7 +485,7 @@ def training_pages(n: int, seed: int = 11) -> list[str]:
 
 
 #: Pages made for training.
-TRAINING_PAGES = 700
+TRAINING_PAGES = 900
 
 
 @lru_cache(1)
@@ -500,13 +500,13 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> Trees:
         for i, t in p.text.items():
             if "\x01" in t:
                 y[i] = 1
-                p.text[i] = t.replace("\x01", "").replace("\x02", "")
+                p.text[i] = t.replace("\x01", "").replace("\x02", "").strip()
                 j = p.parent[i]
                 while j >= 0 and not y[j]:
                     y[j] = 1
                     j = p.parent[j]
             elif "\x02" in t:
-                p.text[i] = t.replace("\x02", "")
+                p.text[i] = t.replace("\x02", "").strip()
                 y[i] = 1
         labels.append(y)
     x, y = features(made), np.concatenate(labels)
