@@ -5,8 +5,9 @@ source's size, and what it would have had over goes to the others by weight.
 A source first gives as many complete epochs as its target holds; the rest is
 a weighted sample without replacement: every document draws an exponential key
 with its quality weight as the rate, keys are sorted within the source, and
-documents are taken for as long as the sum of sizes meets the rest.  A document
-on the edge is taken if at least half of it lies inside.
+documents are taken for as long as the sum of sizes stays within the rest.  Of
+the documents left, the one whose size fits the gap best fills it, if that
+brings the source nearer to its target.
 
 The prefix sums have two levels: each source is cut into ``SLICES`` ranges of
 the key, whose sums are prefix-summed, so a source with a third of all rows is
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD
+from ._common import WORD, written
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -88,7 +89,16 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     # At most slices x sources rows, whatever the number of documents.
     rows = rows.join(parts.select(F.col("source").alias("_s"), F.col("_slice").alias("_l"), "source_size", "target", "_before", "_epochs", "_rest"), F.expr("source <=> _s AND _slice = _l"))
     within = Window.partitionBy("source", "_slice").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size")
-    upto = F.col("_before") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    more = (F.col("size") > 0) & (upto + F.col("size") / 2 <= F.col("_rest"))
+    upto = F.col("_before") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("size")
+    rows, _ = written(rows.withColumn("_upto", upto).withColumn("_nth", F.row_number().over(within)).drop("_s", "_l"), "mix")
+    inside = F.col("_upto") <= F.col("_rest")
+    # One row a source: what the prefix leaves open, and the document that fills it best.
+    reached = rows.groupBy("source").agg(F.coalesce(F.max(F.when(inside, F.col("_upto"))), F.lit(0)).alias("_reached")).withColumnRenamed("source", "_s")
+    left = rows.where(~inside & (F.col("size") > 0)).join(reached, F.expr("source <=> _s")).withColumn("_gap", F.col("_rest") - F.col("_reached"))
+    left = left.where(F.abs(F.col("_gap") - F.col("size")) < F.col("_gap"))
+    place = F.struct(F.abs(F.col("_gap") - F.col("size")).alias("d"), "_key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "size", "_slice", "_nth")
+    fill = left.groupBy(F.col("source").alias("_s")).agg(F.min(place).alias("_f")).select("_s", F.col("_f._slice").alias("_fs"), F.col("_f._nth").alias("_fn"))
+    rows = rows.join(fill, F.expr("source <=> _s AND _slice = _fs AND _nth = _fn"), "left")
+    more = inside | F.col("_fn").isNotNull()
     copies = F.when(F.col("size") > 0, F.col("_epochs") + F.when(more, 1).otherwise(0)).otherwise(F.lit(0)).cast("int")
     return rows.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *keep)

@@ -158,12 +158,14 @@ l AS (SELECT *, (total - coalesce(sum(most) OVER o, 0.0::DOUBLE)) / (all_weight
 share AS (SELECT lev FROM l WHERE lev <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(most, coalesce(weight * (SELECT lev FROM share), most)) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
-m AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS LAST, d.size
-                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto
-      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+m AS (SELECT d.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id NULLS LAST, d.size ROWS UNBOUNDED PRECEDING) AS upto
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+g AS (SELECT *, upto <= rest AS inside, rest - max(CASE WHEN upto <= rest THEN upto ELSE 0 END) OVER (PARTITION BY source) AS gap FROM m),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, inside OR size = 0 OR abs(gap - size) >= gap
+                                   ORDER BY abs(gap - size), k, doc_id NULLS LAST, size) AS r FROM g)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN size > 0 THEN size * (epochs + CASE WHEN upto + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
-FROM m
+       CASE WHEN size > 0 THEN size * (epochs + CASE WHEN inside OR (r = 1 AND abs(gap - size) < gap) THEN 1 ELSE 0 END) ELSE 0 END::BIGINT AS taken
+FROM f
 """,
 }
