@@ -31,14 +31,15 @@ from ._common import ready, written
 SAMPLE = 32_768
 #: Cells: the square root of the number of vectors, within these bounds.
 CELLS = (1, 4096)
-#: Cells that a query visits, and vectors that these must hold, at least.
-PROBES, PROBED = 40, 2000
+#: Cells that a query visits: as many as bring this share of the sample's own
+#: nearest neighbours in reach, and until they hold so many vectors at least.
+RECALL, PROBED = 0.99, 2000
 #: Sub-vectors of a code, and centroids of each.
 PARTS, CENTROIDS = 32, 256
 #: Vectors and queries that meet in one task at a time.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
-#: Best of a block, and of a query, that go on.
-PER_BLOCK, RERANKED = 64, 128
+#: Best of a query, in a block and over all, that go on to be scored exactly.
+RERANKED = 128
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,24 @@ def fit(sample, cells: int, parts: int = PARTS, seed: int = 7) -> Model:
     return Model(centres, np.stack([np.pad(b, ((0, CENTROIDS - len(b)), (0, 0)), constant_values=1e6) for b in books]).astype(np.float32))
 
 
+def probes_for(model: Model, sample, k: int, recall: float, asked: int = 256) -> int:
+    """Cells to visit so that ``recall`` of the sample's own k nearest lie in
+    them.  Neighbours in all the data are nearer than those in a sample, so the
+    number errs on the side of more."""
+    import numpy as np
+
+    x = np.ascontiguousarray(sample, np.float32)
+    q = x[np.linspace(0, len(x) - 1, min(asked, len(x))).astype(int)]
+    cell, near = model.assign(x), q @ x.T
+    k = min(k + 1, len(x))  # one of them is the query
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(q @ model.cells.T), 1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
+    reached = np.sort(np.take_along_axis(place, cell[best], 1).ravel())
+    return int(reached[min(len(reached) - 1, math.ceil(recall * len(reached)))]) + 1
+
+
 def usable(e: Column) -> Column:
     """Neither null nor zero, and every component a finite number."""
     odd = F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -150,14 +169,15 @@ def _index(vectors: DataFrame, model: Model) -> DataFrame:
     return vectors.select("id", "e").mapInArrow(run, "cell int, id long, size float, codes binary")
 
 
-def _probes(queries: DataFrame, model: Model, counts: list[int], probes: int, probed: int) -> DataFrame:
-    """A row for each query and cell that it visits, with their inner product."""
+def _probes(queries: DataFrame, model: Model, counts: list[int], group: list[int], probes: int, probed: int) -> DataFrame:
+    """A row for each query and group of cells that it visits: the cells, and
+    their inner products with the query."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        n = np.array(counts)
+        n, of = np.array(counts), np.array(group)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -166,14 +186,20 @@ def _probes(queries: DataFrame, model: Model, counts: list[int], probes: int, pr
             base[:, n == 0] = -np.inf
             order = np.argsort(-base, 1, kind="stable")
             before = np.cumsum(n[order], 1) - n[order]
-            take = ((np.arange(len(n)) < probes) | (before < probed)) & (n[order] > 0)
-            row, col = np.nonzero(take)
-            cell = order[row, col]
-            flat, w = q.tobytes(), 4 * q.shape[1]
-            ids = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(ids[row]), pa.array(base[row, cell].astype(np.float32)), pa.array([flat[i * w : i * w + w] for i in row], pa.binary())], ["cell", "q", "base", "e"])
-
-    return queries.select("id", "e").mapInArrow(run, "cell int, q long, base float, e binary")
+            visit = np.zeros(base.shape, bool)
+            np.put_along_axis(visit, order, ((np.arange(len(n)) < probes) | (before < probed)) & (n[order] > 0), 1)
+            out = ([], [], [], [], [])
+            ids = b.column(0).to_pylist()
+            for i in range(len(q)):
+                cells = np.flatnonzero(visit[i])
+                for g in np.unique(of[cells]):
+                    mine = cells[of[cells] == g]
+                    for o, v in zip(out, (int(g), ids[i], mine, base[i, mine], q[i].tobytes())):
+                        o.append(v)
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], ["g", "q", "cells", "base", "e"])
+
+    return queries.select("id", "e").mapInArrow(run, "g int, q long, cells array<int>, base array<float>, e binary")
 
 
 def _best(ids, scores, n: int):
@@ -197,27 +223,51 @@ def _scan(codes: DataFrame, probes: DataFrame, model: Model, keep: int) -> DataF
 
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            ids, size = left.column("id").to_numpy(), left.column("size").to_numpy()
-            at = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).astype(np.int64)
+            left = left.sort_by([("cell", "ascending"), ("id", "ascending")])
+            ids, size, cell = (left.column(c).to_numpy() for c in ("id", "size", "cell"))
+            at = np.ascontiguousarray(np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1).T.astype(np.int64))
+            cut = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            span = {int(cell[s]): (s, e) for s, e in zip(np.r_[0, cut], np.r_[cut, len(cell)])}
             q = np.frombuffer(b"".join(right.column("e").to_pylist()), np.float32).reshape(right.num_rows, -1)
-            names, base = right.column("q").to_pylist(), right.column("base").to_numpy()
-            for s in range(0, len(q), 32):
-                tables = model.tables(q[s : s + 32])
-                near = np.zeros((len(tables), len(ids)), np.float32)
-                for j in range(at.shape[1]):
-                    near += tables[:, j].take(at[:, j], axis=1)
-                near = base[s : s + 32, None] + near * size
+            names, visits, base = right.column("q").to_pylist(), right.column("cells").to_pylist(), right.column("base").to_pylist()
+            for s in range(0, len(q), 64):
+                tables = np.ascontiguousarray(model.tables(q[s : s + 64]).transpose(1, 0, 2))
+                near = np.full((tables.shape[1], len(ids)), -np.inf, np.float32)
+                by: dict[int, list] = {}
+                for i in range(tables.shape[1]):
+                    for c, b in zip(visits[s + i], base[s + i]):
+                        by.setdefault(c, []).append((i, b))
+                for c, who in by.items():
+                    if c in span:
+                        lo, hi = span[c]
+                        rows, b = np.array([w[0] for w in who]), np.array([w[1] for w in who], np.float32)
+                        total = np.zeros((len(rows), hi - lo), np.float32)
+                        for j in range(len(at)):
+                            total += tables[j, rows].take(at[j, lo:hi], axis=1)
+                        near[rows, lo:hi] = b[:, None] + total * size[lo:hi]
                 for i, row in enumerate(near):
                     best = _best(ids, row, keep)
+                    best = best[row[best] > -np.inf]
                     out[0].append(names[s + i])
                     out[1].append(ids[best])
                     out[2].append(row[best])
         return pa.table({"q": pa.array(out[0], pa.int64()), "ids": pa.array(out[1], pa.list_(pa.int64())), "scores": pa.array(out[2], pa.list_(pa.float32()))})
 
-    keys = ["cell", "bx", "bq"]
+    keys = ["g", "bx", "bq"]
     return codes.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(run, "q long, ids array<long>, scores array<float>")
 
 
+def cell_groups(counts: list[int], rows: int) -> list[int]:
+    """Neighbouring cells packed into groups of about ``rows`` vectors."""
+    out, g, held = [], 0, 0
+    for n in counts:
+        if held and held + n > rows:
+            g, held = g + 1, 0
+        out.append(g)
+        held += n
+    return out
+
+
 def _merge(found: DataFrame, keep: int) -> DataFrame:
     """(q, id) of the ``keep`` best of each query over all its blocks."""
 
@@ -252,7 +302,7 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = PROBES, reranked: int = RERANKED, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, reranked: int = RERANKED, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for
     which ``is_query`` (over ``id_col``), among all other rows."""
     import numpy as np
@@ -284,18 +334,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     picked = entries.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))).select("e").limit(2 * sample).toArrow()
     if not picked.num_rows:
         picked = entries.select("e").limit(sample).toArrow()
-    cells = max(CELLS[0], min(CELLS[1], math.isqrt(n)))
-    model = fit(_matrix(picked.column("e")), cells)
+    drawn = _matrix(picked.column("e"))
+    model = fit(drawn, max(CELLS[0], min(CELLS[1], math.isqrt(n))))
+    probes = probes_for(model, drawn, k, recall)
     index, _ = written(_index(entries, model), "codes")
     per_cell = {r.cell: r.n for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as cells
     counts = [per_cell.get(c, 0) for c in range(len(model.cells))]
-    visits, _ = written(_probes(asking, model, counts, probes, PROBED), "probes")
-    per_visit = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    grid = spark.createDataFrame([(c, max(1, -(-v // BLOCK_VECTORS)), max(1, -(-per_visit.get(c, 0) // BLOCK_QUERIES))) for c, v in per_cell.items()], "cell int, nx int, nq int")
+    group = cell_groups(counts, BLOCK_VECTORS)
+    visits, _ = written(_probes(asking, model, counts, group, probes, PROBED), "probes")
+    per_visit = {r.g: r.n for r in visits.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    held = [0] * (group[-1] + 1)
+    for c, g in enumerate(group):
+        held[g] += counts[c]
+    grid = spark.createDataFrame([(g, max(1, -(-v // BLOCK_VECTORS)), max(1, -(-per_visit.get(g, 0) // BLOCK_QUERIES))) for g, v in enumerate(held)], "g int, nx int, nq int")
     grid = F.broadcast(grid)  # CELLS[1] rows at most
-    left = index.join(grid, "cell").select("cell", F.pmod(F.xxhash64("id"), "nx").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "id", "size", "codes")
-    right = visits.join(grid, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("q"), "nq").cast("int").alias("bq"), "q", "base", "e")
-    found = _merge(_scan(left, right, model, max(PER_BLOCK, 2 * k)), max(reranked, 2 * k))
+    of = F.broadcast(spark.createDataFrame(list(enumerate(group)), "cell int, g int"))  # so is this
+    left = index.join(of, "cell").join(grid, "g").select("g", F.pmod(F.xxhash64("id"), "nx").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "cell", "id", "size", "codes")
+    right = visits.join(grid, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("q"), "nq").cast("int").alias("bq"), "q", "cells", "base", "e")
+    best_n = max(reranked, 2 * k)
+    found = _merge(_scan(left, right, model, best_n), best_n)
 
     scored = found.join(entries.select(F.col("id").alias("_i"), F.col("e").alias("x")), F.col("id") == F.col("_i")).join(asking.select(F.col("id").alias("_q"), F.col("e").alias("y")), F.col("q") == F.col("_q"))
     scored = scored.select("q", "id", inner_product(F.col("y"), F.col("x")).alias("score"))
