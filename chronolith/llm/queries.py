@@ -122,6 +122,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # The exact answer, which the search gives where it visits every cell, as it does on small tables.
+    "op1_ann": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+""",
     "op3_exact_dedup": r"""
 WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -129,6 +139,17 @@ WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n,
 b AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
              count(*) OVER (PARTITION BY text_sha256) AS group_size, text_sha256 FROM a)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM b
+""",
+    "op4_substring_dedup": r"""
+WITH w AS (SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+k AS (SELECT id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+h AS (SELECT id, i, md5(array_to_string(words[i : i + 34], ' ')) AS h FROM k),
+again AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT id, i + j AS p FROM h SEMI JOIN again USING (h), range(0, 35) r(j)),
+g AS (SELECT id, list(p) AS ps FROM gone GROUP BY id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN ps IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(ps, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN g USING (id)
 """,
     "op5_chat": r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
