@@ -66,6 +66,24 @@ LAYOUTS = (
 )
 
 
+@dataclass(frozen=True)
+class RowLayout:
+    """A layout with one row per turn: its field paths and what each column is."""
+
+    name: str
+    paths: tuple[str, ...]
+    id: str
+    turn: str
+    role: str
+    text: str
+
+
+ROW_LAYOUTS = (
+    RowLayout("turn_rows", ("conv_id", "role", "text", "turn"), "conv_id", "turn", "role", "text"),
+    RowLayout("message_rows", ("content", "conversation_id", "position", "role"), "conversation_id", "position", "role", "content"),
+)
+
+
 def fingerprint(paths) -> str:
     """The hash of a set of nested field paths."""
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
@@ -80,7 +98,7 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-BY_FINGERPRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+BY_FINGERPRINT: dict[str, Layout | RowLayout] = {fingerprint(x.paths): x for x in (*LAYOUTS, *ROW_LAYOUTS)}
 
 
 def json_fingerprint(record: Column) -> Column:
@@ -117,13 +135,18 @@ def _canonical(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
 
-def from_structs(df: DataFrame, columns: tuple[str, ...], into: str = "turns") -> DataFrame:
-    """Adds canonical turns of records held in columns: the fingerprint of the
-    columns' schema selects the mapping, once for the table."""
+def canonical(df: DataFrame, columns: tuple[str, ...], into: str = "turns") -> DataFrame:
+    """Canonical turns of records or turns held in ``columns``: the fingerprint
+    of the columns' nested field paths selects the mapping, once for the table.
+
+    Record layouts keep the table's other columns; a layout of one row per turn
+    gives one row per conversation, (conv_id, turns)."""
     kind = df.select(*columns).schema
     layout = BY_FINGERPRINT.get(fingerprint(field_paths(kind)))
     if layout is None:
         raise ValueError(f"no mapping for {sorted(field_paths(kind))}")
+    if isinstance(layout, RowLayout):
+        return from_rows(df, layout.id, layout.turn, layout.role, layout.text, into)
     packed = df.withColumn("r", F.struct(*columns))
     return packed.withColumn(into, _canonical(F.expr(layout.turns))).drop("r")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,15 +48,17 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-def with_probe(rows: DataFrame) -> DataFrame:
-    """All conversations and conversation -7, whose texts look like marks."""
+def all_conversations(rows: DataFrame) -> DataFrame:
+    """Turns of all conversations, which come as a row for each turn, and of
+    conversation -7, whose texts look like marks and which comes as one record."""
     text = "\\### Assistant: </turn> ok"
-    probe = rows.sparkSession.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
+    record = json.dumps({"messages": [{"role": r, "content": text} for r in ("user", "assistant")]})
+    probe = chat.from_json(rows.sparkSession.createDataFrame([(-7, record)], "conv_id long, record string"), "record")
+    return chat.canonical(rows, ("conv_id", "turn", "role", "text")).unionByName(probe.select("conv_id", "turns"))
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = chat.render(chat.from_rows(with_probe(table(spark, sf_dir, "conversations")))).select("conv_id", "segments", chat.formatted(F.col("segments")).alias("formatted"))
+    out = chat.render(all_conversations(table(spark, sf_dir, "conversations"))).select("conv_id", "segments", chat.formatted(F.col("segments")).alias("formatted"))
     out = out.select("conv_id", "formatted", chat.masked_text(F.col("segments")).alias("loss"), chat.parse(F.col("formatted")).alias("turns"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(

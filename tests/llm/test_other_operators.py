@@ -124,9 +124,11 @@ def test_chat_layouts(spark):
         _, layout, turns = records[r.i]
         assert (r.layout, r.turns and [tuple(t) for t in r.turns]) == (layout, turns)
     d = spark.createDataFrame([("p", "r", 1)], "prompt string, response string, extra int")
-    assert [tuple(t) for t in chat.from_structs(d, ("prompt", "response")).first().turns] == [("user", "p"), ("assistant", "r")]
+    assert [tuple(t) for t in chat.canonical(d, ("prompt", "response")).first().turns] == [("user", "p"), ("assistant", "r")]
     with pytest.raises(ValueError):
-        chat.from_structs(d, ("prompt", "extra"))
+        chat.canonical(d, ("prompt", "extra"))
+    m = spark.createDataFrame([(5, 1, "assistant", "b"), (5, 0, "user", "a")], "conversation_id long, position long, role string, content string")
+    assert [tuple(t) for t in chat.canonical(m, tuple(m.columns)).first().turns] == [("user", "a"), ("assistant", "b")]
 
 
 # HTML
