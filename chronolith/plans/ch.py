@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import LINES_SQL, lines
+from .base import LINES_SQL, delivered, lines
 from .registry import register
 
 CUTOFF, STRICT = "1998-09-02 00:00:00", "2000-01-01 00:00:00"
@@ -41,13 +41,13 @@ _REVENUE_SQL = "WITH" + LINES_SQL + " SELECT coalesce(CAST(sum(cents) AS double)
 @register("ch_q1", "Q1 AG-01 AG-02 SO-01 QD", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
 def ch_q1(t):
     """Pricing summary up to and with the cutoff; null dates never pass."""
-    return pricing_summary(lines(t), F.col("delivered") <= ts(CUTOFF))
+    return pricing_summary(lines(t), delivered(lambda d: d <= ts(CUTOFF)))
 
 
 @register("ch_q1_strict", "Q1b", _Q1_SQL.format(where=f"delivered > TIMESTAMP '{STRICT}'"))
 def ch_q1_strict(t):
     """The pinned variant: strictly after its date."""
-    return pricing_summary(lines(t), F.col("delivered") > ts(STRICT))
+    return pricing_summary(lines(t), delivered(lambda d: d > ts(STRICT)))
 
 
 def revenue(rows: DataFrame, where: Column) -> DataFrame:
@@ -57,14 +57,12 @@ def revenue(rows: DataFrame, where: Column) -> DataFrame:
 
 @register("ch_q6", "Q6 AG-03 FLT-08", _REVENUE_SQL.format(where=f"delivered >= TIMESTAMP '{YEAR[0]}' AND delivered < TIMESTAMP '{YEAR[1]}' AND qty < 24"))
 def ch_q6(t):
-    d = F.col("delivered")
-    return revenue(lines(t), (d >= ts(YEAR[0])) & (d < ts(YEAR[1])) & (F.col("qty") < 24))
+    return revenue(lines(t), delivered(lambda d: (d >= ts(YEAR[0])) & (d < ts(YEAR[1]))) & (F.col("qty") < 24))
 
 
 @register("ch_q6_pinned", "Q6b", _REVENUE_SQL.format(where=f"delivered >= TIMESTAMP '{PINNED[0]}' AND delivered < TIMESTAMP '{PINNED[1]}' AND qty BETWEEN 1 AND 100000"))
 def ch_q6_pinned(t):
-    d = F.col("delivered")
-    return revenue(lines(t), (d >= ts(PINNED[0])) & (d < ts(PINNED[1])) & F.col("qty").between(1, 100_000))
+    return revenue(lines(t), delivered(lambda d: (d >= ts(PINNED[0])) & (d < ts(PINNED[1]))) & F.col("qty").between(1, 100_000))
 
 
 @register("ch_q6_empty", "Q6 AG-03", _REVENUE_SQL.format(where="qty < 0"))
@@ -149,7 +147,7 @@ def q1_path_agreement(t):
 @register("q1_range_partitioned", "Q1P Q6P Q1bP Q6bP AG-04", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
 def q1_range_partitioned(t):
     """The summary over explicit key ranges equals the flat one."""
-    return pricing_summary(lines(t).repartitionByRange(5, "l_orderkey"), F.col("delivered") <= ts(CUTOFF))
+    return pricing_summary(lines(t).where(delivered(lambda d: d <= ts(CUTOFF))).repartitionByRange(5, "l_orderkey"), F.lit(True))
 
 
 @register(

@@ -102,7 +102,10 @@ def arrival_keys(t):
     return t("events").select("event_id", g.arrival_key(i, i * 31 % 50).alias("key"))
 
 
-@register("fixed_nations", "GEN-02")
+_NATIONS = ", ".join(f"({i}::bigint, '{n}', {r}::bigint, '{g.REGIONS[r]}')" for i, (n, r) in enumerate(g.NATIONS))
+
+
+@register("fixed_nations", "GEN-02", f"SELECT * FROM (VALUES {_NATIONS}) v(n_id, n_name, n_regionkey, r_name)")
 def fixed_nations(t):
     """The fixed nations with their regions."""
     return g.nations(t.spark).join(g.regions(t.spark), F.col("n_regionkey") == F.col("r_id")).select("n_id", "n_name", "n_regionkey", "r_name")
