@@ -238,6 +238,24 @@ def test_templates_and_purity(spark):
     assert math.isclose(out[300].purity, 1 - (30 + url_filter.SMOOTHING * host) / (30 + url_filter.SMOOTHING))
 
 
+def test_url_sql_on_bushy_trees(spark, tmp_path):
+    """Spark and SQL agree where levels are generalised and siblings merge."""
+    import duckdb
+
+    r = random.Random(5)
+    hosts = ["a.example.com", "b.example.net", "spam.c.org", "d.io", "www.d.io"]
+    paths = [f"/p/{i}" for i in range(40)] + [f"/tag/w{'xyz'[i % 3]}{i}q/list" for i in range(60)] + ["/de/8", "/en/7", "", "/", "/a/b/c/d/e/f/g", "/x//y/2024-01-02", "/f.html", "/123abc45f.php"]
+    urls = [(i, f"http{'s' * (i % 2)}://{r.choice(hosts)}{r.choice(paths)}{r.choice(['', '?q=1', '#t'])}") for i in range(1500)] + [(9000, None), (9001, "nothing"), (9002, "://")]
+    spark.createDataFrame(urls, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, i % 2, int(i < 20)) for i in range(30)] + [(3, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    c = duckdb.connect()
+    for t in ("pages", "labels"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.execute(queries.ORACLE_SQL["op8_url_filter"]).fetchall()
+    got = [tuple(x) for x in queries.op8_url_filter(spark, str(tmp_path)).collect()]
+    assert Counter(got) == Counter(want) and {x[-1] for x in got} == {"allow", "block"}
+
+
 # Mixing
 
 
