@@ -237,7 +237,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     spans, _ = written(marked.groupBy("id", "tag").agg(F.collect_set("w").alias("whole"), F.collect_set("s").alias("spans")), "spans")
     some = spans.where(F.size("spans") > 0).select("id", "tag", "spans")
     edges, _ = written(_edges(_packed(docs).join(some, ["id", "tag"]), window, phrase), "edges")
-    single = edges.join(_repeated(edges), ["c", "d"]).groupBy("id", "tag").agg(F.collect_set("at").alias("single"))
+    again, _ = written(_repeated(edges), "repeated")  # so the join deals both sides itself, and can split a hot k-mer's
+    single = edges.join(again, ["c", "d"]).groupBy("id", "tag").agg(F.collect_set("at").alias("single"))
     both = spans.where(F.size("whole") > 0).select("id", "tag", "whole").join(single, ["id", "tag"], "full")
     whole = F.transform(F.coalesce("whole", F.array().cast("array<bigint>")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b")))
     one = F.transform(F.coalesce("single", F.array().cast("array<int>")), lambda x: F.struct(x.alias("a"), x.alias("b")))
