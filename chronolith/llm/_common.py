@@ -50,17 +50,6 @@ def normal_space(c: Column) -> Column:
     return F.translate(c, SPACES, "")
 
 
-def runs(keys) -> tuple:
-    """Starts and ends of runs of equal neighbours in a numpy array."""
-    import numpy as np
-
-    n = len(keys)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    return np.r_[0, cut], np.r_[cut, n]
-
-
 def in_batches(rows: Iterable[tuple], schema, size: int = 4096) -> Iterator:
     """Arrow record batches of at most ``size`` rows from an iterator of tuples."""
     import pyarrow as pa
@@ -77,3 +66,16 @@ def in_batches(rows: Iterable[tuple], schema, size: int = 4096) -> Iterator:
 
 def _batch(rows, schema, pa):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+#: Inputs of at most so many bytes are dealt out anew before Python work.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input out over all cores: a file with one row group is
+    otherwise one task's, and what Python does with it one core's.  Larger
+    inputs have row groups enough and are not shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if size <= SMALL_BYTES and n > 1 else df

@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ready
+from ._common import ready, spread
 
 LONG = 64
 BATCH_CHARS = 1_000_000
@@ -233,7 +233,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(v.encode(texts), pa.binary())], ["doc_id", "ids"])
                     start, size, texts = i + 1, 0, []
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:

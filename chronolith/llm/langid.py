@@ -21,7 +21,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import ready
+from ._common import ready, spread
 
 #: Bounds of the sample: documents a language, characters of each, characters
 #: a language, characters in all, and languages (the most frequent ones).
@@ -214,4 +214,5 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], id_col: str
             got += model.predict(held) if held else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, lang_pred string, score double")

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_batches, ready, runs, written
+from ._common import in_batches, ready, spread, written
 from .graph import components
 
 BITS = 64
@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), width, seed) if t.is_valid else 0 for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "doc_id long, fp long")
 
 
 def masks(parts: int, distance: int = DISTANCE) -> list[int]:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import in_batches, ready, written
+from ._common import in_batches, ready, spread, written
 
 WINDOW = 35
 #: Words of the phrases from which a window's minimiser is chosen.
@@ -251,6 +251,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ready(docs.sparkSession)
     phrase = min(phrase, window)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(rows)
     found = repeated_windows(rows, window, phrase)
 
     def rows_of(batches):
