@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, written
+from ._common import WORD
 
 MOST = 3
 WEIGHTS = (1, 2, 3)
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     rows = rows.join(parts.select(F.col("source").alias("_s"), F.col("_slice").alias("_l"), "source_size", "target", "_before", "_epochs", "_rest"), F.expr("source <=> _s AND _slice = _l"))
     within = Window.partitionBy("source", "_slice").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size")
     upto = F.col("_before") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("size")
-    rows, _ = written(rows.withColumn("_upto", upto).withColumn("_nth", F.row_number().over(within)).drop("_s", "_l"), "mix")
+    # Used three times below; the shuffle under the windows is planned once and reused.
+    rows = rows.withColumn("_upto", upto).withColumn("_nth", F.row_number().over(within)).drop("_s", "_l")
     inside = F.col("_upto") <= F.col("_rest")
     # One row a source: what the prefix leaves open, and the document that fills it best.
     reached = rows.groupBy("source").agg(F.coalesce(F.max(F.when(inside, F.col("_upto"))), F.lit(0)).alias("_reached")).withColumnRenamed("source", "_s")
