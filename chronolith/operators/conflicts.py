@@ -62,7 +62,8 @@ def serial_winners(writes: DataFrame) -> DataFrame:
     return writes.groupBy("key").applyInArrow(fold, schema)
 
 
-def read_committed(statements: DataFrame, versions: DataFrame, value: str = "value") -> DataFrame:
+def read_committed(statements: DataFrame, versions: DataFrame, value: str = "value", width: int | None = None) -> DataFrame:
     """Each statement (key, ts) with the value that was committed last before
-    its own time, as its read timestamp is renewed for every statement."""
-    return asof(statements, versions, ["key"], "ts", "ts_commit", [value], strict=True)
+    its own time, as its read timestamp is renewed for every statement.
+    ``width`` cuts hot keys into slices of time."""
+    return asof(statements, versions, ["key"], "ts", "ts_commit", [value], strict=True, width=width)

@@ -102,19 +102,38 @@ def staleness(now: Column, at: Column) -> Column:
     return F.greatest(now - at, F.lit(0).cast("long"))
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: list[str], strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, value: list[str], strict: bool = False, width: int | None = None) -> DataFrame:
     """Each left row with the values of the last right row of its group at or
     before its time (strictly before if ``strict``).
 
     Both sides are merged into one stream per group and the last right value is
-    carried forward: one shuffle on the group's key and no range join."""
-    kind, ts = "_kind", "_ts"
-    before, after = (1, 0) if strict else (0, 1)
+    carried forward: one shuffle on the group's key and no range join.  With a
+    ``width``, groups are cut into slices of that many time units, and what a
+    slice opens with comes from one row for each slice, so that no task sorts
+    more than a slice of a hot group."""
     packed = F.struct(*(F.col(c) for c in value))
     rest = [c for c in left.columns if c not in by]
-    l_rows = left.select(*by, F.col(left_ts).alias(ts), F.lit(after).alias(kind), F.struct(*rest).alias("_l"))
-    r_rows = right.select(*by, F.col(right_ts).alias(ts), F.lit(before).alias(kind), packed.alias("_r"))
-    order = Window.partitionBy(*by).orderBy(ts, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = l_rows.unionByName(r_rows, allowMissingColumns=True)
-    carried = merged.withColumn("_last", F.last("_r", ignorenulls=True).over(order)).where("_l IS NOT NULL")
-    return carried.select(*by, *(F.col(f"_l.{c}").alias(c) for c in rest), *(F.col(f"_last.{c}").alias(c) for c in value))
+    l_rows = left.select(*by, F.col(left_ts).alias("_ts"), F.struct(*rest).alias("_l"))
+    r_rows = right.select(*by, F.col(right_ts).alias("_ts"), packed.alias("_r"))
+    if width is None:
+        found = _carry(l_rows, r_rows, by, strict)
+    else:
+        cut = F.floor(F.col("_ts") / width).alias("_slice")
+        l_rows, r_rows = l_rows.select("*", cut), r_rows.select("*", cut)
+        inside = _carry(l_rows, r_rows, [*by, "_slice"], strict)
+        ends = r_rows.groupBy(*by, "_slice").agg(F.max_by("_r", "_ts").alias("_r"))
+        asked = l_rows.select(*by, "_slice").distinct()
+        opens = _carry(asked.select(*by, F.col("_slice").alias("_ts"), F.struct("_slice").alias("_l")), ends.select(*by, F.col("_slice").alias("_ts"), "_r"), by, True)
+        opens = opens.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(by)), F.col("_l._slice").alias("_os"), F.col("_last").alias("_open"))
+        same = F.col("_slice") == F.col("_os")
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+        found = inside.join(opens, same, "left").withColumn("_last", F.coalesce("_last", "_open"))
+    return found.select(*by, *(F.col(f"_l.{c}").alias(c) for c in rest), *(F.col(f"_last.{c}").alias(c) for c in value))
+
+
+def _carry(left: DataFrame, right: DataFrame, by: list[str], strict: bool) -> DataFrame:
+    """Left rows (by, _ts, _l) with ``_last``, the _r of the last right row (by, _ts, _r)."""
+    merged = left.withColumn("_kind", F.lit(0 if strict else 1)).unionByName(right.withColumn("_kind", F.lit(1 if strict else 0)), allowMissingColumns=True)
+    order = Window.partitionBy(*by).orderBy("_ts", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return merged.withColumn("_last", F.last("_r", ignorenulls=True).over(order)).where("_l IS NOT NULL").select(*by, "_l", "_last")

@@ -82,23 +82,10 @@ def clock_info(t):
 
 @register("root_for_version", "RD-21 RD-22 JN-09", "SELECT e.event_id AS asked, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey <= e.event_id) AS root FROM events e WHERE e.event_id % 10 = 3")
 def root_for_version(t):
-    """Predecessor search for many versions: the newest root at or before each,
-    with both sides merged into one ordered stream for each range of versions."""
-    width = 1000
-    roots = t("orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("at"))
-    asked = t("events").where("event_id % 10 = 3").select(F.col("event_id").alias("at"))
-    # The last root of each range also opens the next ranges, up to the next root's range.
-    lasts = roots.groupBy(F.floor(F.col("at") / width).alias("g")).agg(F.max("at").alias("root"))
-    grouped = hist.asof(
-        asked.select(F.floor(F.col("at") / width).alias("g"), "at"),
-        roots.select(F.floor(F.col("at") / width).alias("g"), F.col("at").alias("r"), F.col("at").alias("root")),
-        ["g"],
-        "at",
-        "r",
-        ["root"],
-    )
-    opens = hist.asof(grouped.where("root IS NULL").select(F.lit(0).alias("one"), "g", "at"), lasts.select(F.lit(0).alias("one"), F.col("g").alias("lg"), F.col("root").alias("opened")), ["one"], "g", "lg", ["opened"], strict=True)
-    return grouped.where("root IS NOT NULL").select(F.col("at").alias("asked"), "root").unionByName(opens.select(F.col("at").alias("asked"), F.col("opened").alias("root")))
+    """Predecessor search for many versions: the newest root at or before each."""
+    roots = t("orders").where("o_orderkey % 97 = 0").select(F.lit(0).alias("tree"), F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("root"))
+    asked = t("events").where("event_id % 10 = 3").select(F.lit(0).alias("tree"), F.col("event_id").alias("asked"))
+    return hist.asof(asked, roots, ["tree"], "asked", "at", ["root"], width=1000).select("asked", "root")
 
 
 @register("staleness", "TX-21 ST-07", "SELECT event_id AS at, greatest(5000 - event_id, 0)::bigint AS stale FROM events")

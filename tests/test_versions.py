@@ -151,3 +151,18 @@ def test_asof_strictness(spark):
     right = spark.createDataFrame([(1, 5, "x"), (1, 4, "y")], "g long, r long, v string")
     assert hist.asof(left, right, ["g"], "t", "r", ["v"]).first().v == "x"
     assert hist.asof(left, right, ["g"], "t", "r", ["v"], strict=True).first().v == "y"
+
+
+def test_asof_in_slices_equals_brute_force(spark):
+    r = random.Random(9)
+    left = [(r.choice([1, 1, 1, 2, None]), i, r.randrange(200)) for i in range(300)]
+    right = [(r.choice([1, 1, 2]), t, t * 10 if t % 4 else None) for t in r.sample(range(200), 40)]
+    ldf, rdf = spark.createDataFrame(left, "g long, i long, t long"), spark.createDataFrame(right, "g long, rt long, v long")
+    for strict in (False, True):
+        def last(g, t):
+            found = [(rt, v) for k, rt, v in right if k == g and (rt < t if strict else rt <= t)]
+            return max(found)[1] if found else None
+
+        want = {i: last(g, t) for g, i, t in left}
+        for width in (None, 1, 7, 1000):
+            assert {x.i: x.v for x in hist.asof(ldf, rdf, ["g"], "t", "rt", ["v"], strict, width).collect()} == want
