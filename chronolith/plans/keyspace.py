@@ -70,12 +70,12 @@ _B = "SELECT s_suppkey AS id, s_suppkey * 9 AS lo, s_suppkey * 9 + 20 AS hi FROM
 
 def _a(t):
     k = F.col("o_orderkey")
-    return t("orders").where(k < 400).select(k.alias("a"), (k % 1000).alias("alo"), (k % 1000 + F.col("o_custkey") % 50).alias("ahi"))
+    return t("orders").select(k.alias("a"), (k % 1000).alias("alo"), (k % 1000 + F.col("o_custkey") % 50).alias("ahi"))
 
 
 def _b(t):
     k = F.col("s_suppkey")
-    return t("supplier").where(k < 60).select(k.alias("b"), (k * 9).alias("blo"), (k * 9 + 20).alias("bhi"))
+    return t("supplier").select(k.alias("b"), (k * 9).alias("blo"), (k * 9 + 20).alias("bhi"))
 
 
 GRID = 64
