@@ -42,24 +42,32 @@ def serial_winners(writes: DataFrame) -> DataFrame:
     """First writer wins with cascading aborts, for transactions of one key:
     a write that loses is rolled back, so it hinders no later one.
 
-    Each key's writes are folded in order by a grouped Python function; only
-    one key's writes are ever in one task."""
+    Each key's writes pass in order through one sorted stream.  Of what was
+    written, the fold holds the newest kept write and the newest kept one by a
+    different worker: one of them is the newest foreign write of whoever comes."""
     schema = "key long, seq long, worker long, conflict boolean"
 
-    def fold(table):
+    def fold(batches):
         import pyarrow as pa
 
-        rows = sorted(table.select(["seq", "worker", "read_ts", "ts_commit", "key"]).to_pylist(), key=lambda r: r["seq"])
-        out, last = [], {}
-        for r in rows:
-            foreign = max((x for w, x in last.items() if w != r["worker"]), default=None, key=lambda x: x[0])
-            lost = foreign is not None and not (foreign[1] is not None and foreign[1] < r["read_ts"])
-            out.append((r["key"], r["seq"], r["worker"], lost))
-            if not lost:
-                last[r["worker"]] = (r["seq"], r["ts_commit"])
-        return pa.table({n: pa.array(c, t) for n, t, c in zip(("key", "seq", "worker", "conflict"), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), zip(*out))})
-
-    return writes.groupBy("key").applyInArrow(fold, schema)
+        at, first, second = (), None, None
+        for b in batches:
+            keys, seqs, workers, reads, commits = (c.to_pylist() for c in b.columns)
+            out = []
+            for key, worker, read, commit in zip(keys, workers, reads, commits):
+                if at != (key,):
+                    at, first, second = (key,), None, None
+                foreign = second if first is not None and first[0] == worker else first
+                lost = foreign is not None and not (foreign[1] is not None and foreign[1] < read)
+                out.append(lost)
+                if not lost:
+                    if first is not None and first[0] != worker:
+                        second = first
+                    first = (worker, commit)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(seqs, pa.int64()), pa.array(workers, pa.int64()), pa.array(out, pa.bool_())], ["key", "seq", "worker", "conflict"])
+
+    rows = writes.select("key", "seq", "worker", "read_ts", "ts_commit")
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(fold, schema)
 
 
 def read_committed(statements: DataFrame, versions: DataFrame, value: str = "value", width: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import percentiles as pc
 
@@ -75,21 +76,57 @@ def missing(axes: list[DataFrame], actual: DataFrame, key: list[str]) -> DataFra
     return grid.join(actual.select(*key).distinct(), key, "left_anti")
 
 
+#: Pieces that a group's resamples are dealt out in.
+SLICES = 16
+
+
+def _draws(r: int, n: int):
+    """Positions 0 to n-1 that resample r draws: xxhash64(r, j) mod n for j from 1 to n."""
+    import numpy as np
+
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def mix(x, seed):
+        h = (seed + p5 + np.uint64(4)) ^ (x * p1)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+    seed = mix(np.array([r], np.uint64), np.array([42], np.uint64))
+    return mix(np.arange(1, n + 1, dtype=np.uint64), seed).view(np.int64) % n
+
+
 def median_interval(rows: DataFrame, by: list[str], value: str, resamples: int = 4000, level: float = 0.95) -> DataFrame:
     """A bootstrap interval of each group's median.
 
     Resample r draws position j of a group of n values as hash(r, j) mod n, so
-    reruns agree.  Samples are a group's repeated measurements, a short list."""
-    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("_x"))
-    n = F.size("_x")
-    drawn = g.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    pick = F.transform(F.sequence(F.lit(1), n), lambda j: F.element_at("_x", (F.pmod(F.xxhash64(F.col("_r"), j), n) + 1).cast("int")))
-    drawn = drawn.withColumn("_s", F.array_sort(pick))
-    mid = (F.element_at("_s", ((n + 1) / 2).cast("int")) + F.element_at("_s", (n / 2).cast("int") + 1)) / 2
+    reruns agree.  Samples are a group's repeated measurements, one list a
+    group; its resamples are dealt out over all tasks."""
+    g = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(value).cast("double"))).alias("_x"))
+    schema = StructType([*g.select(*by).schema.fields, StructField("_m", DoubleType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for i in range(b.num_rows):
+                x, s = b.column("_x")[i].values.to_numpy(zero_copy_only=False), b.column("_s")[i].as_py()
+                n, mids = len(x), []
+                mid = [(n + 1) // 2 - 1, n // 2]
+                for r in range(s + 1, resamples + 1, SLICES):
+                    low, high = np.partition(_draws(r, n), mid)[mid] if n else (0, 0)
+                    mids.append((x[low] + x[high]) / 2 if n else None)
+                keys = b.select(by).take(pa.array([i] * len(mids), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(mids, pa.float64())], [*by, "_m"])
+
+    slices = g.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))).select(*by, "_x", "_s")
+    drawn = slices.repartition(SLICES, *by, "_s").mapInArrow(run, schema)
     tail = (1 - level) / 2
     lo, hi = int(tail * (resamples - 1)), -int(-(1 - tail) * (resamples - 1) // 1)
-    m = drawn.groupBy(*by).agg(F.array_sort(F.collect_list(mid)).alias("_m"))
-    return m.select(*by, F.element_at("_m", lo + 1).alias("low"), F.element_at("_m", hi + 1).alias("high"))
+    m = drawn.groupBy(*by).agg(F.array_sort(F.collect_list("_m")).alias("_m"))
+    return m.select(*by, F.get("_m", F.lit(lo)).alias("low"), F.get("_m", F.lit(hi)).alias("high"))
 
 
 def choose_setting(rows: DataFrame) -> DataFrame:

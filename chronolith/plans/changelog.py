@@ -139,7 +139,7 @@ def auto_commit_conflicts(t):
 @register("serial_winners", "TX-06 TX-22")
 def serial_winners(t):
     """First writer wins with cascading rollbacks, key by key."""
-    return conflicts.serial_winners(_writes(t).where("seq < 3000"))
+    return conflicts.serial_winners(_writes(t))
 
 
 @register(

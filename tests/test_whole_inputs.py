@@ -1,5 +1,6 @@
 """Queries read all rows of their tables, held against brute force."""
 
+from chronolith.operators import conflicts
 from chronolith.plans import registry
 
 
@@ -22,3 +23,60 @@ def test_interval_joins_read_all_orders_and_suppliers(spark, sf):
     assert rows(spark, sf, "interval_intersection") == sorted((x[0], y[0], max(x[1], y[1]), min(x[2], y[2])) for x, y in pairs)
     assert rows(spark, sf, "interval_hull") == sorted((k, lo, hi) for k, (lo, hi) in hull.items())
     assert rows(spark, sf, "interval_cover") == sorted((y[0], x[0]) for x, y in pairs if y[1] <= x[1] and x[2] <= y[2])
+
+
+def test_serial_winners_folds_all_writes(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").where("event_type <> 'error'").select("event_id", "user_id").collect()
+    last, want = {}, []
+    for i, user in sorted(events):
+        key, worker = user % 8, i % 16
+        kept = last.setdefault(key, {})
+        foreign = max((x for w, x in kept.items() if w != worker), default=None)
+        lost = foreign is not None and not foreign[1] < i * 10
+        want.append((key, i, worker, lost))
+        if not lost:
+            kept[worker] = (i, i * 10 + 55)
+    assert rows(spark, sf, "serial_winners") == sorted(want)
+
+
+def test_serial_winners_keeps_its_state_across_batches(spark):
+    w = "key long, worker long, seq long, ts_start long, read_ts long, ts_commit long"
+    data = [(1, i % 3, i, 0, i * 10, None if i % 5 == 0 else i * 10 + 15) for i in range(200)]
+    last, want = {}, {}
+    for _, worker, seq, _, read, commit in data:
+        foreign = max((x for o, x in last.items() if o != worker), default=None, key=lambda x: x[0])
+        want[seq] = foreign is not None and not (foreign[1] is not None and foreign[1] < read)
+        if not want[seq]:
+            last[worker] = (seq, commit)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.seq: r.conflict for r in conflicts.serial_winners(spark.createDataFrame(data, w)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_serial_winners_reads_more_than_the_first_events(spark, tmp_path):
+    events = spark.range(2990, 3010).selectExpr("id AS event_id", "id % 3 AS user_id", "'view' AS event_type")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert [r[1] for r in sorted(rows(spark, str(tmp_path), "serial_winners"), key=lambda r: r[1])] == list(range(2990, 3010))
+
+
+def test_bootstrap_interval_draws_4000_times_from_all_events(spark, sf):
+    by = {}
+    for kind, v in spark.read.parquet(f"{sf}/events.parquet").select("event_type", "value").collect():
+        by.setdefault(kind, []).append(v)
+    want = []
+    for kind, x in sorted(by.items()):
+        x, n = sorted(x), len(x)
+        drawn = spark.sql(f"SELECT r, array_sort(transform(sequence(1, {n}), j -> pmod(xxhash64(r, j), {n}))) AS s FROM (SELECT explode(sequence(1, 4000)) AS r)")
+        mids = sorted((x[a] + x[b]) / 2 for a, b in drawn.selectExpr(f"s[{(n + 1) // 2 - 1}]", f"s[{n // 2}]").collect())
+        want.append((kind, mids[99], mids[3900]))
+    assert rows(spark, sf, "bootstrap_interval") == want
+
+
+def test_settings_and_counter_faults_read_all_events(spark, tmp_path):
+    data = [(i, i % 60, 100.0 if i % 60 == 55 else 1.0) for i in range(600)]
+    spark.createDataFrame(data, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(spark, str(tmp_path), "setting_selection") == [(55, 55)]
+    assert rows(spark, str(tmp_path), "gc_counter_faults") == [("duplicate_shard", 60), ("negative", 50), ("schema_version", 480)]
