@@ -61,7 +61,7 @@ def last_name_from_code(t):
 def field_patch(t):
     """Field 1 of rows of 4-character fields replaced."""
     row = F.concat(F.rpad("event_type", 12, "."), F.rpad("props", 12, "."))
-    return t("events").where("event_id < 1000").select("event_id", keys.field_patch(row, 1, 4, F.lit("XXXX")).alias("patched"))
+    return t("events").select("event_id", keys.field_patch(row, 1, 4, F.lit("XXXX")).alias("patched"))
 
 
 _A = "SELECT o_orderkey AS id, o_orderkey % 1000 AS lo, o_orderkey % 1000 + o_custkey % 50 AS hi FROM orders WHERE o_orderkey < 400"
@@ -117,7 +117,7 @@ def interval_cover(t):
 @register("interval_half_open", "FLT-07", "SELECT o_orderkey AS start, o_custkey AS stop, greatest(o_orderkey, o_custkey - 1) AS hi FROM orders WHERE o_orderkey < 2000")
 def interval_half_open(t):
     lo, hi = iv.from_half_open(F.col("o_orderkey"), F.col("o_custkey"))
-    return t("orders").where("o_orderkey < 2000").select(lo.alias("start"), F.col("o_custkey").alias("stop"), hi.alias("hi"))
+    return t("orders").select(lo.alias("start"), F.col("o_custkey").alias("stop"), hi.alias("hi"))
 
 
 @register(
@@ -127,5 +127,5 @@ def interval_half_open(t):
 )
 def range_split_even(t):
     """Pieces of key ranges: no gap, no overlap, none empty."""
-    rows = t("orders").where("o_orderkey < 500").select(F.col("o_orderkey").alias("of_lo"), (F.col("o_orderkey") + F.col("o_custkey") % 20).alias("of_hi"))
+    rows = t("orders").select(F.col("o_orderkey").alias("of_lo"), (F.col("o_orderkey") + F.col("o_custkey") % 20).alias("of_hi"))
     return rows.select("of_lo", "of_hi", F.explode(iv.split_even(F.col("of_lo"), F.col("of_hi"), 7)).alias("p")).select("of_lo", "of_hi", "p.lo", "p.hi")

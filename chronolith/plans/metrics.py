@@ -160,9 +160,9 @@ def gc_counter_faults(t):
 @register("missing_points", "RA-08", "SELECT u AS threads, e AS event_type FROM range(0, 200) r(u), (SELECT DISTINCT event_type AS e FROM events) WHERE (u, e) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 4 = 0)")
 def missing_points(t):
     """Points of the plan without a result."""
-    actual = _e(t).where("event_id % 4 = 0").select(F.col("user_id").alias("threads"), "event_type")
+    actual = _e(t).select(F.col("user_id").alias("threads"), "event_type")
     kinds = _e(t).select("event_type").distinct()
-    return m.missing([t.spark.range(200).select(F.col("id").alias("threads")), kinds], actual, ["threads", "event_type"])
+    return m.missing([_e(t).select(F.col("user_id").alias("threads")).distinct(), kinds], actual, ["threads", "event_type"])
 
 
 @register("manifest_pivot", "RA-09", "SELECT user_id % 6 AS engine, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS bigint) AS gc_on, CAST(sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS bigint) AS gc_off FROM events GROUP BY 1")

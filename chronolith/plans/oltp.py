@@ -19,8 +19,8 @@ from .registry import register
     "WITH l AS (SELECT o_custkey, max(o_orderkey) AS o FROM orders WHERE o_custkey < 200 GROUP BY 1) SELECT l.o_custkey AS c_id, l.o AS o_id, l_linenumber::bigint AS ol_number, l_partkey AS i_id, CAST(l_quantity AS bigint) AS qty FROM l JOIN lineitem ON l_orderkey = l.o",
 )
 def order_status_last_order(t):
-    """Lines of each asked customer's last order."""
-    last = t("orders").where("o_custkey < 200").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_id"))
+    """Lines of each customer's last order."""
+    last = t("orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_id"))
     joined = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").join(last, F.col("l_orderkey") == F.col("o_id"))
     return joined.select(F.col("o_custkey").alias("c_id"), "o_id", F.col("l_linenumber").cast("long").alias("ol_number"), F.col("l_partkey").alias("i_id"), F.col("l_quantity").cast("long").alias("qty"))
 
@@ -81,7 +81,7 @@ def delivery_oldest_per_district(t):
 def new_order_pricing(t):
     """qty * price * (1 - discount) * (1 + w_tax + d_tax) by order, in whole
     hundredths; an order with an invalid item aborts before it writes anything."""
-    o = t("orders").where("o_orderkey < 1000").select("o_orderkey", "o_custkey")
+    o = t("orders").select("o_orderkey", "o_custkey")
     rows = t("lineitem").select("l_orderkey", "l_partkey", F.col("l_quantity").cast("long").alias("q")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     c = F.col("o_custkey")
     rows = rows.select("o_orderkey", (F.col("q") * (F.col("l_partkey") % 1000) * (100 - c % 50) * (100 + c % 4 + c % 10)).alias("e4"), (F.col("l_partkey") % 101 == 0).alias("bad"))
@@ -97,7 +97,7 @@ def replenished(quantity, ordered):
 
 @register("stock_replenish_rule", "T-NO", "WITH " + _STOCK + " SELECT l_orderkey, l_partkey, CASE WHEN s_quantity - q >= 10 THEN s_quantity - q ELSE s_quantity - q + 91 END AS after FROM (SELECT l_orderkey, l_partkey, CAST(l_quantity AS bigint) % 10 + 1 AS q FROM lineitem WHERE l_orderkey < 500) JOIN stock ON l_partkey = i_id")
 def stock_replenish_rule(t):
-    rows = t("lineitem").where("l_orderkey < 500").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("long") % 10 + 1).alias("q"))
+    rows = t("lineitem").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("long") % 10 + 1).alias("q"))
     return rows.join(_stock(t), F.col("l_partkey") == F.col("i_id")).select("l_orderkey", "l_partkey", replenished(F.col("s_quantity"), F.col("q")).alias("after"))
 
 
