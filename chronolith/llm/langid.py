@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from ._common import ready, spread
 
 #: Bounds of the sample: documents a language, characters of each, characters
-#: a language, characters in all, and languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS, ALL_CHARS, MAX_LANGUAGES = 160, 400, 30_000, 120_000, 100
-SYMBOLS = 64
+#: a language, and characters in all, of which a language has the least many at least.
+SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS, ALL_CHARS, LEAST_CHARS = 160, 400, 30_000, 120_000, 1_200
+#: Step tables are dense up to so many symbols of a language and so many languages.
+DENSE_SYMBOLS, DENSE_LANGUAGES = 64, 100
 PIECE = 256
 BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
@@ -67,43 +68,66 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return go
 
 
-class Model:
-    """Automata of all languages as step tables.
+class Step:
+    """The automaton of one sample over the symbols of that sample.
 
-    ``step[state, symbol]`` is the next state, plus the number of phrases that
-    end with this step in the bits from 28 on."""
+    A step gives the next state, plus the number of phrases that end with it in
+    the bits from 28 on.  A wide alphabet has a sorted list of transitions
+    instead of a table."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...]):
+    def __init__(self, text: str, code: dict[str, int], dense: bool):
         import numpy as np
 
-        texts = {lang: clean(text) for lang, text in samples}
-        seen: dict[str, int] = {}
-        for t in texts.values():
-            for ch in t:
-                seen[ch] = seen.get(ch, 0) + 1
-        common = sorted((ch for ch in seen if ch != " "), key=lambda ch: (-seen[ch], ch))[: SYMBOLS - 2]
-        code = {" ": 0, **{ch: i + 1 for i, ch in enumerate(common)}}
-        self.other = SYMBOLS - 1
-        self.code = np.full(0x110000, self.other, np.uint8)
-        for ch, i in code.items():
-            self.code[ord(ch)] = i
-        self.languages, self.steps, self.bits = sorted(texts), [], []
-        for lang in self.languages:
-            go = suffix_automaton([code.get(ch, self.other) for ch in texts[lang]])
-            root = np.zeros(SYMBOLS, np.int64)
-            for c, to in go[0].items():
-                root[c] = to
-            root[self.other] = 0
-            restart = np.where(root > 0, root, 1 << 28)  # an unknown symbol is a phrase of its own
-            table = np.empty((len(go), SYMBOLS), np.int64)
+        local = {ch: i for i, ch in enumerate(sorted(set(text)))}
+        self.width = len(local) + 1  # the last symbol is any that the sample has not
+        self.symbol = np.full(len(code) + 1, len(local), np.int32)
+        for ch, i in local.items():
+            self.symbol[code[ch]] = i
+        go = suffix_automaton([local[ch] for ch in text])
+        root = np.zeros(self.width, np.int64)
+        for c, to in go[0].items():
+            root[c] = to
+        restart = np.where(root > 0, root, 1 << 28)  # an unknown symbol is a phrase of its own
+        if dense and self.width <= DENSE_SYMBOLS:
+            table = np.empty((len(go), self.width), np.int64)
             table[0] = restart
             table[1:] = restart + (1 << 28)
             for s, out in enumerate(go):
                 for c, to in out.items():
-                    if c != self.other:
-                        table[s, c] = to
-            self.steps.append(table.astype(np.int32).ravel())
-            self.bits.append(math.log2(max(2, len(texts[lang]))))
+                    table[s, c] = to
+            self.table = table.astype(np.int32).ravel()
+        else:
+            self.table = None
+            self.restart = restart.astype(np.int32)
+            found = sorted((s * self.width + c, to) for s, out in enumerate(go) for c, to in out.items())
+            self.keys = np.array([k for k, _ in found] or [-1], np.int64)
+            self.next = np.array([to for _, to in found] or [0], np.int32)
+
+    def __call__(self, states, codes):
+        import numpy as np
+
+        c = self.symbol[codes]
+        if self.table is not None:
+            return self.table[states * self.width + c]
+        key = states.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], self.restart[c] + ((states > 0).astype(np.int32) << 28))
+
+
+class Model:
+    """Automata of all languages, over every character of their samples."""
+
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
+        import numpy as np
+
+        texts = {lang: clean(text) for lang, text in samples}
+        code = {ch: i + 1 for i, ch in enumerate(sorted(set().union(*texts.values())))}
+        self.code = np.zeros(0x110000, np.int32)
+        for ch, i in code.items():
+            self.code[ord(ch)] = i
+        self.languages = sorted(texts)
+        self.steps = [Step(texts[lang], code, len(texts) <= DENSE_LANGUAGES) for lang in self.languages]
+        self.bits = [math.log2(max(2, len(texts[lang]))) for lang in self.languages]
 
     def phrases(self, texts: list[str]):
         """Cleaned lengths, and phrases by text and language, of whole texts."""
@@ -127,9 +151,9 @@ class Model:
             n = live[j]
             if not n:
                 break
-            c = codes[start[:n] + j].astype(np.int32)
+            c = codes[start[:n] + j]
             for k, step in enumerate(self.steps):
-                x = step[states[k, :n] * SYMBOLS + c]
+                x = step(states[k, :n], c)
                 ends[k, :n] += x >> 28
                 states[k, :n] = x & 0xFFFFFFF
         for k in range(len(self.languages)):
@@ -175,14 +199,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     SAMPLE_DOCS documents with the smallest hashed ids."""
     has = F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
     rows = docs.where(has if usable is None else has & usable).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"))
-    langs = [r.l for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()]
-    if not langs:
-        return ()
     order = Window.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    ids = [r.i for r in rows.where(F.col("l").isin(langs)).withColumn("r", F.row_number().over(order)).where(f"r <= {SAMPLE_DOCS}").select("i").collect()]
+    ids = rows.withColumn("r", F.row_number().over(order)).where(f"r <= {SAMPLE_DOCS}").select(F.col("i").alias("_i")).distinct()
     middle = F.greatest(F.lit(1), (F.length(text_col) - SAMPLE_DOC_CHARS) / 2).cast("int")
-    picked = docs.where(F.col(id_col).isin(ids)).where(has).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), middle, F.lit(SAMPLE_DOC_CHARS)).alias("t")).collect()
-    size = min(SAMPLE_CHARS, ALL_CHARS // len(langs))
+    picked = docs.where(has).join(F.broadcast(ids), F.col(id_col) == F.col("_i"), "left_semi").select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.substring(F.col(text_col), middle, F.lit(SAMPLE_DOC_CHARS)).alias("t")).collect()
+    size = max(LEAST_CHARS, min(SAMPLE_CHARS, ALL_CHARS // max(1, len({r.l for r in picked}))))
     by: dict[str, str] = {}
     rows = [(r.l, clean(r.t).split()) for r in sorted(picked, key=lambda r: (r.l, r.i, r.t))]
     for (lang, _), words in zip(rows, unshared([w for _, w in rows])):

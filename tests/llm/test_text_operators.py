@@ -283,3 +283,25 @@ def test_held_out_accuracy(spark, sf):
     found = queries.op7_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     n, right = found.agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
     assert n > 20 and right / n > 0.95
+
+
+def test_languages_in_several_scripts_keep_their_letters(spark):
+    r = random.Random(5)
+    pools = {"el": range(0x3B1, 0x3C9), "en": range(ord("a"), ord("z") + 1), "ru": range(0x430, 0x450), "ja": range(0x4E00, 0x4E00 + 400), "zh": range(0x5E00, 0x5E00 + 400)}
+    words = {lang: ["".join(chr(r.choice(pool)) for _ in range(r.randint(1, 4))) for _ in range(60)] for lang, pool in pools.items()}
+    samples = tuple((lang, " ".join(r.choices(w, k=500))) for lang, w in sorted(words.items()))
+    model = langid.Model(samples)
+    texts = [(lang, " ".join(r.choices(w, k=30))) for lang, w in words.items() for _ in range(5)]
+    assert [p[0] for p in model.predict([t for _, t in texts])] == [lang for lang, _ in texts]
+    _, found = model.phrases([langid.clean(t) for _, t in texts])
+    for row, (_, t) in zip(found, texts):
+        for k, lang in enumerate(model.languages):
+            assert row[k] == plain_phrases(langid.clean(dict(samples)[lang]), langid.clean(t))
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, " ".join(chr(0x4E00 + 40 * i + j) * 2 for j in range(20)), f"l{i:03}", "s", 60) for i in range(120)]
+    samples = langid.learn(docs(spark, rows))
+    assert [lang for lang, _ in samples] == sorted(f"l{i:03}" for i in range(120))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows), samples).collect()}
+    assert got == {i: f"l{i:03}" for i in range(120)}
