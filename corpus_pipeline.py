@@ -15,33 +15,47 @@ from chronolith.llm._common import table, written
 from chronolith.llm.queries import bpe_digests, quality_weights, vocabulary_source
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, one row each, in the columns of docs."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+KEY = "_row"
+
+
+def _keyed(docs: DataFrame, ranked: bool = False) -> DataFrame:
+    """The documents with a number of each row's own in KEY, stored, so that all
+    readings see the same numbers.  ``ranked`` numbers follow the order of ids,
+    those without one last; rows that tie are equal."""
+    if ranked:
+        docs = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns))
+    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")[0]
+
+
+def _only(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The keyed documents whose numbers an operator gave as doc_id, without the numbers."""
+    return docs.join(found.select(F.col("doc_id").alias(KEY)), KEY, "left_semi").drop(KEY)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any text in letters, to which no language can be given, go."""
-    found = langid.identify(docs, langid.learn(docs, usable=~langid.held_out()))
-    return _only(docs, found.where(F.col("lang_pred") != langid.UNKNOWN))
+    samples, rows = langid.learn(docs, usable=~langid.held_out()), _keyed(docs)
+    return _only(rows, langid.identify(rows, samples, KEY).where(F.col("lang_pred") != langid.UNKNOWN)).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts stays; rows that repeat its id go too."""
-    kept = _only(docs, exact_dedup.exact_duplicates(docs).where("kept"))
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class of equal texts stays; different texts under one id all do."""
+    rows = _keyed(docs, ranked=True)
+    return _only(rows, exact_dedup.exact_duplicates(rows, KEY).where("kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest id stays."""
-    return _only(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    """Of linked documents, one row with the smallest id stays, a null id being the largest."""
+    rows = _keyed(docs, ranked=True)
+    return _only(rows, simhash.near_duplicates(rows, KEY).where("doc_id = component_id")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs, quality_weights(table(spark, sf_dir, "labels")))
-    taken = mixed.where("copies > 0").select("doc_id", "copies")
-    rows = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """Documents as often as the mix takes them, each row by itself."""
+    keyed = _keyed(docs)
+    mixed = mixing.mix(keyed, quality_weights(table(spark, sf_dir, "labels")), keep=(KEY,))
+    taken = mixed.where("copies > 0").select(KEY, "copies")
+    rows = keyed.join(taken, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*docs.columns)
 
 

@@ -330,3 +330,28 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     texts = {x.doc_id: x.text for x in mixed.collect()}
     assert len(out) == mixed.count() and all(x.decoded_sha256 == hashlib.sha256(texts[x.doc_id].encode()).hexdigest() for x in out)
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(9)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 6))) for _ in range(120)]
+    texts = [" ".join(r.choices(words, k=80)) for _ in range(40)]
+    ids = [None] * 10 + [7] * 10 + list(range(100, 120))
+    rows = [(i, t, "en", "s0", len(t)) for i, t in zip(ids, texts)]
+    rows += [(None, texts[25], "en", "s0", 0), (7, texts[26], "en", "s0", 0), (7, texts[12], "en", "s0", 0), (None, "12 !!", "en", "s0", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    pairs = lambda df: sorted(((x.doc_id, x.text) for x in df.collect()), key=str)
+    kept = stages["language_id"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and pairs(kept) == sorted(((x[0], x[1]) for x in rows[:-1]), key=str)
+    kept = stages["exact_dedup"](spark, kept, str(tmp_path))
+    want = list(zip(ids, texts))
+    want[26] = (7, texts[26])  # the smaller id stays; one without an id goes
+    assert kept.columns == docs.columns and pairs(kept) == sorted(want, key=str)
+    near = stages["simhash_near_dedup"](spark, kept, str(tmp_path))
+    assert near.columns == docs.columns and pairs(near) == sorted(want, key=str)
+    mixed = stages["source_mixing"](spark, near, str(tmp_path))
+    copies = mixing.mix(near, queries.quality_weights(spark.read.parquet(str(tmp_path / "labels.parquet")))).agg(F.sum("copies")).first()[0]
+    assert mixed.columns == docs.columns and mixed.count() == copies
+    assert {i for i, _ in pairs(mixed)} >= {None, 7}
