@@ -91,7 +91,7 @@ def overlap_join(a, b, width: int = GRID):
     return left.join(right, "_c").where(iv.overlaps(x, y) & (F.floor(F.greatest("alo", "blo") / width) == F.col("_c"))).drop("_c")
 
 
-@register("interval_overlap_join", "FLT-03 JN-10", f"SELECT a.id AS a, b.id AS b FROM ({_A}) a JOIN ({_B}) b ON a.lo <= b.hi AND b.lo <= a.hi")
+@register("interval_overlap_join", "FLT-03", f"SELECT a.id AS a, b.id AS b FROM ({_A}) a JOIN ({_B}) b ON a.lo <= b.hi AND b.lo <= a.hi")
 def interval_overlap_join(t):
     return overlap_join(_a(t), _b(t)).select("a", "b")
 

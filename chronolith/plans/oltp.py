@@ -121,7 +121,7 @@ UNION ALL SELECT 'orders_with_lines', (SELECT with_lines FROM l) <= (SELECT n FR
 UNION ALL SELECT 'customers_exist', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))"""
 
 
-@register("invariant_report", "INV", _INV)
+@register("invariant_report", "", _INV)
 def invariant_report(t):
     """Consistency across tables, one row for each invariant."""
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")

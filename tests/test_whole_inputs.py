@@ -117,3 +117,8 @@ def test_all_rows_are_read(spark, name):
     want = sorted(tuple(map(norm, r)) for r in found.fetchall())
     got = sorted(tuple(norm(r[c]) for c in names) for r in q.run(spark, folder).collect())
     assert got == want
+
+
+def test_no_query_claims_what_is_not_built():
+    claimed = {i for q in registry.load().values() for i in q.ids}
+    assert not claimed & {"JN-10", "INV"}
