@@ -30,10 +30,16 @@ from ._common import ready, spread
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas select".split())
+#: Elements whose content is no markup: it ends at their end tag, or with the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose content no reader sees as text; one that is never closed is an ordinary element.
+HIDDEN = frozenset("template select".split())
+#: Elements that may stand within a paragraph and hold markup; of these, foreign ones know self-closing tags.
+EMBEDDED = frozenset("math object noscript canvas svg".split())
+FOREIGN = ("math", "svg")
 #: A start tag closes an open element of these names first.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr", "thead")}
-SCOPE = frozenset("table ul ol dl div section article main body html td th nav aside header footer form blockquote".split())
+SCOPE = frozenset("table ul ol dl div section article main body html td th nav aside header footer form blockquote".split()) | EMBEDDED
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -73,6 +79,7 @@ class Page:
         stack: list[tuple[str, int]] = [("#root", 0)]  # (name, node); inline elements have their block's node
         pieces: list[str] = []
         links, linked, pos, n = 0, 0, 0, len(src)
+        unclosed: set[str] = set()  # hidden elements without an end tag from here on
         tag, parent, depth, end, words, controls, n_tags = self.tag, self.parent, self.depth, self.end, self.words, self.controls, self.n_tags
 
         def flush() -> None:
@@ -158,12 +165,17 @@ class Page:
                 continue
             node = stack[-1][1]
             n_tags[node] += 1
-            if name in RAW:
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(src, pos) if not m[3].endswith("/") else None
-                if not m[3].endswith("/"):
-                    pos = stop.end() if stop else n
+            if name in RAW or name in HIDDEN:
                 controls[node] += name in ("textarea", "select")
-                continue
+                closed = m[3].endswith("/")
+                stop = None if closed or name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(src, pos)
+                if stop:
+                    pos = stop.end()
+                elif name in RAW and not closed:
+                    pos = n
+                if stop or closed or name in RAW:
+                    continue
+                unclosed.add(name)
             if name in INLINE:
                 if name == "br":
                     pieces.append("\n")
@@ -172,10 +184,12 @@ class Page:
                     links += name == "a"
                 continue
             flush()
+            if m[3].endswith("/") and (name in FOREIGN or any(x in FOREIGN for x, _ in stack)):
+                continue
             if name in VOID:
                 controls[node] += name == "input"
                 continue
-            if (k := innermost(("p",))) and name not in CLOSES:
+            if (k := innermost(("p",))) and name not in CLOSES and name not in EMBEDDED:
                 pop_to(k)
             if name in CLOSES:
                 while k := innermost(CLOSES[name]):

@@ -355,3 +355,31 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     copies = mixing.mix(near, queries.quality_weights(spark.read.parquet(str(tmp_path / "labels.parquet")))).agg(F.sum("copies")).first()[0]
     assert mixed.columns == docs.columns and mixed.count() == copies
     assert {i for i, _ in pairs(mixed)} >= {None, 7}
+
+
+# Elements that hold text beside markup of their own
+
+
+def page_text(source):
+    return " ".join(html_extract.Page(source).text.values())
+
+
+@pytest.mark.parametrize("tag", "math object noscript canvas svg".split())
+def test_text_in_embedded_elements_is_left_to_the_trees(tag):
+    assert page_text(f"<article><p>one</p><{tag}><p>two</p></{tag}><p>three</p></article>") == "one two three"
+    assert page_text(f"<article><{tag}><p>one</p><p>two</p></article><p>three</p>") == "one two three"
+
+
+def test_embedded_elements_stay_within_their_paragraph():
+    page = html_extract.Page("<p>one <svg><path d='x'/><text>two</text></svg> three <math><mi>x</mi><br/></math> four</p><p>five</p>")
+    assert page.tag.count("p") == 2 and " ".join(page.text.values()) == "one two three x four five"
+    first = page.tag.index("p")
+    assert [t for i, t in page.text.items() if first < i < page.end[first]] == ["one", "two", "three", "x", "four"]
+
+
+def test_only_raw_text_runs_to_the_end_of_the_page():
+    for tag in ("template", "select"):
+        assert page_text(f"<p>one</p><{tag}>two</{tag}><p>three</p>") == "one three"
+        assert page_text(f"<p>one</p><{tag}><p>two</p><p>three</p>") == "one two three"
+    for tag in ("script", "style", "title", "textarea"):
+        assert page_text(f"<p>one</p><{tag}><p>two</p>") == "one"
