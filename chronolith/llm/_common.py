@@ -19,8 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-#: Bytes of an Arrow batch that a Python worker gets at once.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch that a Python worker gets at once, and that it gives.
+BATCH_BYTES, OUT_BYTES = 4 << 20, 1 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -50,16 +50,19 @@ def normal_space(c: Column) -> Column:
     return F.translate(c, SPACES, "")
 
 
-def in_batches(rows: Iterable[tuple], schema, size: int = 4096) -> Iterator:
-    """Arrow record batches of at most ``size`` rows from an iterator of tuples."""
+def in_batches(rows: Iterable[tuple], schema, size: int = 4096, weigh=None) -> Iterator:
+    """Arrow record batches of at most ``size`` rows from an iterator of tuples,
+    and of OUT_BYTES where ``weigh`` gives the bytes of a row (or of one row more)."""
     import pyarrow as pa
 
     held: list[tuple] = []
+    weight = 0
     for r in rows:
         held.append(r)
-        if len(held) >= size:
+        weight += weigh(r) if weigh else 0
+        if len(held) >= size or weight >= OUT_BYTES:
             yield _batch(held, schema, pa)
-            held = []
+            held, weight = [], 0
     if held:
         yield _batch(held, schema, pa)
 

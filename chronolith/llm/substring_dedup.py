@@ -1,16 +1,21 @@
 """Removal of word sequences that occur more than once, by De Bruijn compaction.
 
-The edges of the graph are the token k-mers (``window`` consecutive words);
-consecutive k-mers of a text with one minimiser form a path.  A path whose
-content occurs twice is nonbranching wherever it occurs, and Spark joins treat
-it as one record instead of its dozen k-mers.  Only k-mers on paths that share
-their minimiser but not their content with another path, those where texts part
-or meet, are looked up one by one.  Paths and k-mers are addressed by source
-coordinates (document, first k-mer, last k-mer), and are equal when the 96-bit
-digests of the words at their coordinates are.
-
-A path that occurs once is left out before anything but its minimiser is
-shuffled, so the joins see little more than the repeated part of the corpus.
+The edges of the graph are the token k-mers (``window`` consecutive words) of
+all texts; an edge's successors are the k-mers that start one word later.
+
+1. Consecutive k-mers of a text with one minimiser are a path.  Paths that occur
+   with equal content more than once are classes; a path whose minimiser occurs
+   once is left out before it is shuffled.
+2. k-mers of paths that share their minimiser but not their content with another
+   path, those where texts part or meet, are looked up one by one.
+3. Compaction: aggregates over the occurrences give each repeated path or k-mer
+   its distinct predecessors and successors.  Where all occurrences of u go on
+   to v, and all of v come from u, the two are joined.  What results, a maximal
+   nonbranching path, is the same word sequence wherever its first edge occurs.
+4. Verification: each occurrence is a span of source coordinates (document,
+   first k-mer, last k-mer).  The words at the coordinates of all spans with one
+   first edge are compared, by SHA-256; only spans whose words were found at two
+   places at least are removed.  Rolling hashes find candidates and decide nothing.
 
 Result of odd inputs: null and wordless texts have no words; texts with fewer
 words than a window keep them all; a row that repeats another in id and text is
@@ -20,7 +25,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import in_batches, ready, spread, written
@@ -152,7 +157,8 @@ def _minimisers(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
 
 def _paths(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(id, tag, h, span, c, d): every path, its coordinates and its digest."""
+    """(id, tag, h, span, c, d, prev, next): every path with its minimiser, its
+    coordinates, its digest, and the digests of its neighbours in the text."""
 
     def run(batches):
         import numpy as np
@@ -160,7 +166,7 @@ def _paths(docs: DataFrame, window: int, phrase: int) -> DataFrame:
 
         held: list[tuple] = []
         size = 0
-        names = ["id", "tag", "h", "span", "c", "d"]
+        names = ["id", "tag", "h", "span", "c", "d", "prev", "next"]
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
@@ -168,7 +174,8 @@ def _paths(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         for i, tag, text in _each(batches, window, phrase):
             k = len(text.first)
             c, d = text.digests(text.first, text.last)
-            held.append((np.full(k, i, np.int64), np.full(k, tag, np.int32), text.least, (text.first << 32) | text.last, c, d))
+            ids, tags = np.full(k, i, np.int64), np.full(k, tag, np.int64)
+            held.append((ids, tags, text.least, (text.first << 32) | text.last, c, d, *neighbours(c, text.first, text.last)))
             size += k
             if size >= 50_000:
                 yield flush()
@@ -176,7 +183,19 @@ def _paths(docs: DataFrame, window: int, phrase: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "id long, tag int, h long, span long, c long, d int")
+    return docs.mapInArrow(run, "id long, tag long, h long, span long, c long, d int, prev long, next long")
+
+
+def neighbours(c, first, last, lane=None):
+    """Digests before and after each of the edges first..last, where those lie
+    next to each other in the text (and in one lane); 0 where nothing does."""
+    import numpy as np
+
+    touch = last[:-1] + 1 == first[1:]
+    if lane is not None:
+        touch &= lane[:-1] == lane[1:]
+    end = np.zeros(1, np.int64)
+    return np.concatenate([end, np.where(touch, c[:-1], 0)]), np.concatenate([np.where(touch, c[1:], 0), end])
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -191,11 +210,17 @@ def _packed(docs: DataFrame) -> DataFrame:
             packed = [z.compress(t.as_buffer().to_pybytes()) if t.is_valid else None for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], ["id", "tag", "packed"])
 
-    return docs.mapInArrow(run, "id long, tag int, packed binary")
+    # Said here, as a join would say it, so that all joins see one plan and share its shuffle.
+    return docs.mapInArrow(run, "id long, tag long, packed binary").where("id IS NOT NULL AND tag IS NOT NULL")
+
+
+#: Bit of a span's coordinates that marks a witness: its k-mers are counted, but not removed by themselves.
+_WITNESS = -(1 << 63)
 
 
 def _edges(joined: DataFrame, window: int, phrase: int) -> DataFrame:
-    """(id, tag, at, c, d): the single k-mers of the paths listed in ``spans``."""
+    """(id, tag, witness, at, c, d, prev, next): the single k-mers of the paths
+    listed in ``spans``, with their neighbours in the path."""
 
     def run(batches):
         import numpy as np
@@ -203,46 +228,118 @@ def _edges(joined: DataFrame, window: int, phrase: int) -> DataFrame:
         import zstandard
 
         z = zstandard.ZstdDecompressor()
+        names = ["id", "tag", "witness", "at", "c", "d", "prev", "next"]
         for b in batches:
             ids, tags, spans = (b.column(i).to_pylist() for i in (0, 1, 3))
             for i, t in enumerate(b.column(2)):
                 text = Text(z.decompress(t.as_buffer().to_pybytes()), window, phrase)
                 span = np.array(spans[i], np.int64)
-                lo, n = span >> 32, (span & 0xFFFFFFFF) - (span >> 32) + 1
+                x = span & ~_WITNESS
+                x = x[x & 0xFFFFFFFF < text.n_windows]  # two texts of one id and tag may differ
+                order = np.lexsort((x, span >= 0))
+                x, witness = x[order], span[order] < 0
+                lo, n = x >> 32, (x & 0xFFFFFFFF) - (x >> 32) + 1
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                witness = np.repeat(witness, n)
+                if not len(at):
+                    continue
+                c, d = text.digests(at, at)
+                prev, nxt = neighbours(c, at, at, witness)
                 for s in range(0, len(at), 50_000):
-                    part = at[s : s + 50_000]
-                    c, d = text.digests(part, part)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), ids[i])), pa.array(np.full(len(part), tags[i], np.int32)), pa.array(part.astype(np.int32)), pa.array(c), pa.array(d)], ["id", "tag", "at", "c", "d"])
+                    e = slice(s, s + 50_000)
+                    k = len(at[e])
+                    columns = (np.full(k, ids[i]), np.full(k, tags[i]), witness[e], at[e].astype(np.int32), c[e], d[e], prev[e], nxt[e])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
-    return joined.select("id", "tag", "packed", "spans").mapInArrow(run, "id long, tag int, at int, c long, d int")
+    schema = "id long, tag long, witness boolean, at int, c long, d int, prev long, next long"
+    return joined.select("id", "tag", "packed", "spans").mapInArrow(run, schema)
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("c", "d").agg(F.count("*").alias("n")).where("n > 1").select("c", "d", F.lit(True).alias("again"))
+def _degrees():
+    """Whether all occurrences of an edge go on to one other, or come from one."""
+    one = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
+    return one("next").alias("go"), one("prev").alias("come")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(id, tag, ranges): coordinates (first, last) of every window of a
-    document whose words also start anywhere else; of (id, tag, text)."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(id, tag, witness, first, last, u): the occurrences of all maximal
+    nonbranching paths of repeated edges, u being the digest of the first one."""
     known = _minimisers(docs, window, phrase).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     paths, _ = written(_paths(docs, window, phrase).join(known, "h", "left_semi"), "paths")
     at = F.struct("id", "tag", "span")
-    classes = paths.groupBy("c", "d").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.first("h").alias("h"))
+    classes = paths.groupBy("c", "d").agg(F.count("*").alias("n"), F.min(at).alias("one"), F.first("h").alias("h"), *_degrees())
     classes, _ = written(classes, "classes")
     # Where a minimiser also has a path of its own content, one occurrence of each repeated path is looked up by k-mers as well.
     alone = classes.where("n = 1").select("h").distinct().withColumn("mixed", F.lit(True))
-    again = classes.where("n > 1").join(alone, "h", "left").select("c", "d", F.lit(True).alias("again"), F.when(F.col("mixed"), F.col("one")).alias("one"))
-    marked = paths.join(again, ["c", "d"], "left").select("id", "tag", F.when(F.col("again"), F.col("span")).alias("w"), F.when(F.col("again").isNull() | (F.col("one") == at), F.col("span")).alias("s"))
-    spans, _ = written(marked.groupBy("id", "tag").agg(F.collect_set("w").alias("whole"), F.collect_set("s").alias("spans")), "spans")
-    some = spans.where(F.size("spans") > 0).select("id", "tag", "spans")
+    again = classes.where("n > 1").join(alone, "h", "left")
+    again = again.select("c", "d", "go", "come", F.lit(True).alias("again"), F.when(F.col("mixed"), F.col("one")).alias("one"))
+    look = F.when(F.col("again").isNull(), F.col("span")).when(F.col("one") == at, F.col("span").bitwiseOR(F.lit(_WITNESS)))
+    marked = paths.join(again, ["c", "d"], "left").select("id", "tag", "span", "c", "again", "go", "come", look.alias("look"))
+    marked, _ = written(marked, "marked")
+    some = marked.where("look IS NOT NULL").groupBy("id", "tag").agg(F.collect_set("look").alias("spans"))
     edges, _ = written(_edges(_packed(docs).join(some, ["id", "tag"]), window, phrase), "edges")
-    again, _ = written(_repeated(edges), "repeated")  # so the join deals both sides itself, and can split a hot k-mer's
-    single = edges.join(again, ["c", "d"]).groupBy("id", "tag").agg(F.collect_set("at").alias("single"))
-    both = spans.where(F.size("whole") > 0).select("id", "tag", "whole").join(single, ["id", "tag"], "full")
-    whole = F.transform(F.coalesce("whole", F.array().cast("array<bigint>")), lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("a"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b")))
-    one = F.transform(F.coalesce("single", F.array().cast("array<int>")), lambda x: F.struct(x.alias("a"), x.alias("b")))
-    return both.select("id", "tag", F.concat(whole, one).alias("ranges"))
+    twice = edges.groupBy("c", "d").agg(F.count("*").alias("n"), *_degrees()).where("n > 1").drop("n")
+    twice, _ = written(twice, "repeated")  # so the join deals both sides itself, and can split a hot k-mer's
+    single = edges.join(twice, ["c", "d"]).select("id", "tag", "witness", F.col("at").alias("first"), F.col("at").alias("last"), "c", "go", "come")
+    first, last = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    whole = marked.where("again").select("id", "tag", F.lit(False).alias("witness"), first.alias("first"), last.alias("last"), "c", "go", "come")
+    return _compacted(whole.unionByName(single))
+
+
+def _compacted(edges: DataFrame) -> DataFrame:
+    """Neighbouring edges of a text joined along unique successors.
+
+    Frames are ranges of coordinates, so a row that comes twice changes nothing."""
+    order = Window.partitionBy("id", "tag", "witness").orderBy("first")
+    before = order.rangeBetween(Window.unboundedPreceding, -1)
+    mark = F.col("last").cast("long") * 2 + F.col("go").cast("long")  # last grows with first
+    prev = F.max(mark).over(before)
+    joined = F.coalesce((prev == (F.col("first").cast("long") - 1) * 2 + 1) & F.col("come"), F.lit(False))
+    rows = edges.select("*", F.when(~joined, F.col("first")).alias("start"))
+    head = F.max("start").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = rows.withColumn("head", head).groupBy("id", "tag", "witness", "head")
+    return runs.agg(F.max("last").alias("last"), F.min_by("c", "first").alias("u")).withColumnRenamed("head", "first")
+
+
+def _words(joined: DataFrame, window: int) -> DataFrame:
+    """(u, text): the SHA-256 of the words at the coordinates of every span."""
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+        import zstandard
+
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            u, out = [], []
+            for t, spans in zip(b.column(0), b.column(1)):
+                words = z.decompress(t.as_buffer().to_pybytes()).split()
+                first, last, who = (spans.values.field(i).to_pylist() for i in range(3))
+                for x, y, i in zip(first, last, who):
+                    if y + window <= len(words):
+                        u.append(i)
+                        out.append(hashlib.sha256(b" ".join(words[x : y + window])).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(out, pa.binary())], ["u", "text"])
+
+    return joined.select("packed", "spans").mapInArrow(run, "u long, text binary")
+
+
+#: Another value for each first edge, so that a join deals both of its sides out anew and can split a hot one.
+_DEALT = 0x5DEECE66D
+
+
+def verified(spans: DataFrame, packed: DataFrame, window: int) -> DataFrame:
+    """(v, texts): for each first edge, by v, of whose spans some have the same
+    words, a null if all of them have, or else the SHA-256 of each word sequence
+    that occurs twice."""
+    at = F.struct("first", "last", "u")
+    listed = spans.groupBy("id", "tag").agg(F.collect_set(at).alias("spans"))
+    found = _words(packed.join(listed, ["id", "tag"]), window).groupBy("u", "text").agg(F.count("*").alias("n"))
+    good = F.when(F.col("n") > 1, F.col("text"))
+    each = found.groupBy("u").agg(F.count("*").alias("kinds"), F.collect_list(good).alias("texts"))
+    texts = F.when(F.col("kinds") > 1, F.col("texts"))
+    return each.where(F.size("texts") > 0).select(F.col("u").bitwiseXOR(F.lit(_DEALT)).alias("v"), texts.alias("texts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -250,38 +347,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stay, joined by one space)."""
     ready(docs.sparkSession)
     phrase = min(phrase, window)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.hash(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id")
+    rows = docs.select(key, F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text"))
     rows = spread(rows)
-    found = repeated_windows(rows, window, phrase)
+    spans, _ = written(repeated_spans(rows, window, phrase), "spans")
+    packed = _packed(rows)
+    sound = verified(spans, packed, window)
+    own = spans.where("NOT witness").withColumn("v", F.col("u").bitwiseXOR(F.lit(_DEALT))).join(sound, "v")
+    found = own.groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last", "texts")).alias("ranges"))
 
     def rows_of(batches):
         import zstandard
 
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            ids, ranges = b.column(0).to_pylist(), b.column(2)
+            ids, ranges = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, t in enumerate(b.column(1)):
                 words = z.decompress(t.as_buffer().to_pybytes()).split() if t.is_valid else []
-                kept = words
-                if ranges[i].is_valid:
-                    kept = uncovered(words, ranges[i].values.field(0).to_numpy(), ranges[i].values.field(1).to_numpy(), window)
+                kept = uncovered(words, ranges[i], window) if ranges[i] else words
                 yield None if ids[i] == _NULL_ID else ids[i], len(words), len(words) - len(kept), b" ".join(kept)
 
     def run(batches):
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-        return in_batches(((i, n, m, k.decode()) for i, n, m, k in rows_of(batches)), schema, 500)
+        return in_batches(((i, n, m, k.decode()) for i, n, m, k in rows_of(batches)), schema, 500, weigh=lambda r: len(r[3]))
 
-    joined = _packed(rows).join(found, ["id", "tag"], "left").select("id", "packed", "ranges")
+    joined = packed.join(found, ["id", "tag"], "left").select("id", "packed", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def uncovered(words: list[bytes], first, last, window: int) -> list[bytes]:
-    """The words that no window first..last covers."""
+def uncovered(words: list[bytes], ranges: list[dict], window: int) -> list[bytes]:
+    """The words that no window of a range first..last covers.  A range with
+    texts counts if its words are among those."""
+    import hashlib
+
     import numpy as np
 
     step = np.zeros(len(words) + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, last.astype(np.int64) + window, -1)
+    for r in ranges:
+        a, z = r["first"], r["last"] + window
+        if z > len(words):
+            continue
+        if r["texts"] is not None and hashlib.sha256(b" ".join(words[a:z])).digest() not in r["texts"]:
+            continue
+        step[a] += 1
+        step[z] -= 1
     return [w for w, inside in zip(words, np.cumsum(step[:-1]).tolist()) if not inside]
