@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .keys import last_name
+from .keys import first_name_code, last_name
 
 #: Region names by key, and (nation, region key) by nation key.
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -42,8 +42,12 @@ def between(lo: int, hi: int, *parts: Column, seed: int = 0) -> Column:
 
 def nurand(a: int, lo: int, hi: int, c: int, *parts: Column, seed: int = 0) -> Column:
     """Non-uniform random: ((draw(0, a) | draw(lo, hi)) + c) mod (hi - lo + 1) + lo."""
-    both = between(0, a, *parts, seed=seed).bitwiseOR(between(lo, hi, *parts, seed=seed + 1))
-    return (both + c) % (hi - lo + 1) + lo
+    return nurand_of(between(0, a, *parts, seed=seed), between(lo, hi, *parts, seed=seed + 1), lo, hi, c)
+
+
+def nurand_of(a: Column, x: Column, lo: int, hi: int, c: int) -> Column:
+    """The same of two draws, a from 0 and x from lo to hi."""
+    return (a.bitwiseOR(x) + c) % (hi - lo + 1) + lo
 
 
 def regions(spark: SparkSession) -> DataFrame:
@@ -84,10 +88,20 @@ def population(spark: SparkSession, warehouses: int = 1, districts: int = 10, cu
     order = order.withColumn("o_c_id", (F.col("o_id") - 1) % customers + 1)
     lines = order.withColumn("ol_number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("o_ol_cnt")))).withColumn("id", F.xxhash64("id", "ol_number"))
     stock = grid(w, i)
+    name_code = F.when(F.col("c_id") <= 1000, F.col("c_id") - 1).otherwise(nurand(255, 0, 999, 123, F.col("id"), seed=3))
+    people = grid(w, d, c).withColumn("last_code", name_code).withColumn("c_first", alphanumeric(F.lit(8), F.col("id"), seed=12))
+    last_order = order.groupBy("w_id", "d_id", F.col("o_c_id").alias("c_id")).agg(F.max("o_id").alias("o_id"))
     return {
         "warehouse": grid(w).select("w_id", (between(0, 2000, F.col("id"), seed=1) / 10000.0).alias("w_tax"), F.lit(300000.0).alias("w_ytd")),
         "district": grid(w, d).select("w_id", "d_id", (between(0, 2000, F.col("id"), seed=2) / 10000.0).alias("d_tax"), F.lit(30000.0).alias("d_ytd"), F.lit(orders + 1).cast("long").alias("d_next_o_id")),
-        "customer": grid(w, d, c).select("w_id", "d_id", "c_id", last_name(F.when(F.col("c_id") <= 1000, F.col("c_id") - 1).otherwise(nurand(255, 0, 999, 123, F.col("id"), seed=3))).alias("c_last"), (between(0, 5000, F.col("id"), seed=5) / 10000.0).alias("c_discount"), F.lit(-10.0).alias("c_balance")),
+        "customer": people.select(
+            "w_id", "d_id", "c_id", "c_first", last_name("last_code").alias("c_last"), (between(0, 5000, F.col("id"), seed=5) / 10000.0).alias("c_discount"),
+            F.lit(-10.0).alias("c_balance"), F.lit(10.0).alias("c_ytd_payment"), F.lit(1).cast("long").alias("c_payment_cnt"),
+            (between(1, 10, F.col("id"), seed=13) == 1).alias("c_credit_bad"),
+        ),
+        "customer_name_idx": people.select("w_id", "d_id", "last_code", first_name_code("c_first").alias("first_code"), "c_id"),
+        "cust_last_order": last_order,
+        "history": people.select(F.col("id").alias("seq"), F.col("c_id").alias("h_c_id"), F.col("d_id").alias("h_d_id"), F.col("w_id").alias("h_w_id"), F.lit(anchor_ms).alias("h_date"), F.lit(10.0).alias("h_amount")),
         "item": grid(i).select("i_id", cents(100, 10000, 6).alias("i_price")),
         "stock": stock.select("w_id", "i_id", between(10, 100, F.col("id"), seed=7).alias("s_quantity"), supplier_of(F.col("w_id"), F.col("i_id"), suppliers).alias("s_su_suppkey")),
         "orders": order.select("w_id", "d_id", "o_id", "o_c_id", "o_entry_d", "o_carrier_id", "o_ol_cnt"),
@@ -99,10 +113,19 @@ def population(spark: SparkSession, warehouses: int = 1, districts: int = 10, cu
     }
 
 
+#: The characters of random text.
+ALPHANUMERICS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def alphanumeric(length: Column, *parts: Column, seed: int = 0) -> Column:
+    """Text of digits and letters that depends on its parts alone."""
+    at = lambda i: F.pmod(F.xxhash64(F.lit(seed), i, *parts), F.lit(len(ALPHANUMERICS))).cast("int") + 1
+    return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(F.lit(ALPHANUMERICS), at(i), F.lit(1))), "")
+
+
 def usertable(spark: SparkSession, n: int, fields: int = 10, width: int = 100) -> DataFrame:
-    """Keys 1..n, each with a row of ``fields`` fields of ``width`` hexadecimal characters."""
-    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(-(-fields * width // 64))), lambda i: F.sha2(F.concat_ws("-", F.col("id"), i).cast("binary"), 256)), "")
-    return spark.range(1, n + 1).select(F.col("id").alias("key"), F.left(text, F.lit(fields * width)).alias("row"))
+    """Keys 1..n, each with a row of ``fields`` fields of ``width`` characters."""
+    return spark.range(1, n + 1).select(F.col("id").alias("key"), alphanumeric(F.lit(fields * width), F.col("id")).alias("row"))
 
 
 def arrival_key(ticket: Column, lateness: Column) -> Column:
@@ -144,6 +167,26 @@ def latest(rank: Column, newest: Column) -> Column:
     return F.greatest(newest - (rank - 1), F.lit(1).cast("long"))
 
 
+#: Shares of arrivals and of updates near the tail.
+ARRIVAL, HOT_UPDATE = 0.2, 0.8
+
+
+def hot_key(draw: Column, newest: Column, window: int, theta: float) -> Column:
+    """One of the ``window`` newest keys, the newest likeliest: a Zipf rank,
+    counted back from the tail.  The window is a handful of keys at any size of
+    the table, so its cumulative weights are a literal."""
+    weights = [r**-theta for r in range(1, window + 1)]
+    total, tops = sum(weights), []
+    for w in weights:
+        tops.append((tops[-1] if tops else 0.0) + w / total)
+    rank = F.lit(1) + F.size(F.filter(F.array(*map(F.lit, tops[:-1])), lambda x: x <= draw))
+    return latest(rank.cast("long"), newest)
+
+
+def tail_operation(draw: Column) -> Column:
+    return F.when(draw < ARRIVAL / (ARRIVAL + HOT_UPDATE), "arrival").otherwise("hot_update")
+
+
 def operation(mix: str, draw: Column) -> Column:
     """The operation of a workload for a draw in [0, 1), by cumulative shares."""
     out, top = None, 0.0

@@ -78,6 +78,13 @@ def last_name(code: Column | str) -> Column:
     return F.concat(digit(100), digit(10), digit(1))
 
 
+def first_name_code(name: Column | str) -> Column:
+    """The first three characters as digits in base 36, small letters as capitals
+    and all others as 0: names sort about as their codes do."""
+    head = F.rpad(F.regexp_replace(F.substring(_col(name), 1, 3), "[^0-9A-Za-z]", "0"), 3, "0")
+    return F.conv(F.upper(head), 36, 10).cast("long")
+
+
 def field_patch(row: Column | str, index: Column | int, width: int, new: Column | str) -> Column:
     """A fixed-width field of a row replaced: characters [i*width, (i+1)*width)."""
     at = (index if isinstance(index, Column) else F.lit(index)) * width + 1

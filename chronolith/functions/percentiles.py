@@ -1,8 +1,7 @@
-"""The four percentile definitions that the metrics use; they are not the same.
+"""The percentile definitions that the metrics use; they are not the same.
 
-The exact forms gather a group's values in one array: groups are metric series
-(an operation, a snapshot age), not keys of the data.  For unbounded groups use
-``percentile_approx``.
+Each gives, for n sorted values from index 0, the index of the value, or of the
+two values and the share of the second.
 """
 
 from __future__ import annotations
@@ -11,26 +10,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _pick(x: Column, index: Column) -> Column:
-    return F.element_at(F.array_sort(F.collect_list(x)), index.cast("int") + 1)
-
-
-def nearest_rank(x: Column, p: float) -> Column:
+def nearest(n: Column, p: float) -> tuple:
     """Index round(p * (n - 1)), halves away from zero."""
-    return _pick(x, F.round(F.lit(p) * (F.count(x) - 1)))
+    return F.round(F.lit(p) * (n - 1)).cast("long"), None, None
 
 
-def nearest_rank_half_even(x: Column, p: float) -> Column:
+def nearest_even(n: Column, p: float) -> tuple:
     """Index round(p * (n - 1)), halves to even."""
-    return _pick(x, F.bround(F.lit(p) * (F.count(x) - 1)))
+    return F.bround(F.lit(p) * (n - 1)).cast("long"), None, None
 
 
-def interpolated(x: Column, p: float) -> Column:
-    return F.percentile(x, F.lit(p))
+def linear(n: Column, p: float) -> tuple:
+    """Between the values next to p * (n - 1); p = 0.5 is the median."""
+    at = F.lit(p) * (n - 1)
+    low = F.floor(at).cast("long")
+    return low, F.ceil(at).cast("long"), at - low
 
 
-def median(x: Column) -> Column:
-    return F.median(x)
+DEFINITIONS = {"nearest": nearest, "nearest_even": nearest_even, "linear": linear}
 
 
 def or_zero(numerator: Column, denominator: Column) -> Column:

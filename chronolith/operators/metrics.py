@@ -7,23 +7,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import percentiles as pc
+from .sequence import numbered
 
 
-def per_second(rows: DataFrame, second: Column, seconds: int) -> DataFrame:
-    """(second, n) for every second from 0, zero where nothing happened."""
+def per_second(rows: DataFrame, second: Column) -> DataFrame:
+    """(second, n) for every second from 0 to the last one with a row, zero
+    where nothing happened."""
     counts = rows.groupBy(second.cast("long").alias("second")).agg(F.count("*").alias("n"))
-    return rows.sparkSession.range(seconds).select(F.col("id").alias("second")).join(counts, "second", "left").select("second", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-
-
-def latency(rows: DataFrame, by: list[str], value: str, pick=pc.nearest_rank) -> DataFrame:
-    x = F.col(value)
-    return rows.groupBy(*by).agg(*(pick(x, p).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))), F.count(x).alias("n"), F.avg(x).alias("mean"))
-
-
-def every_nth(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
+    every = counts.agg(F.max("second").alias("last")).where("last IS NOT NULL")
+    every = every.select(F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("second"))
+    return every.join(counts, "second", "left").select("second", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+#: Half the width, in shares of the rows, of the bracket in which a percentile is
+#: sought, the accuracy of the sketch that sets it, and the rows up to which a
+#: group is its own bracket.
+BRACKET, ACCURACY, SMALL = 0.001, 10_000, 4_000
+
+
+def exact_percentiles(rows: DataFrame, by: list[str], value: str, asked: dict[str, tuple[str, float]]) -> DataFrame:
+    """(by..., n, name...) with exact percentiles: name -> (definition, p), the
+    definition one of :data:`~chronolith.functions.percentiles.DEFINITIONS`.
+
+    A sketch with a proven rank error brackets each percentile.  What lies below
+    a bracket is counted; of what lies inside, values are counted and ranked.  So
+    no task gathers or sorts a group: it sorts the distinct values of a bracket,
+    a 450th of its rows.  Nulls do not count."""
+    x = F.col(value).cast("double")
+    shares = sorted({p for _, p in asked.values()})
+    lows, highs = [max(0.0, p - BRACKET) for p in shares], [min(1.0, p + BRACKET) for p in shares]
+    points = F.array(*map(F.lit, [*lows, *highs]))
+    known = rows.where(x.isNotNull()).select(*by, x.alias("_x"))
+    sketch = known.groupBy(*by).agg(
+        F.count("*").alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.percentile_approx("_x", points, ACCURACY).alias("_at")
+    )
+    whole, k = F.col("n") <= SMALL, len(shares)
+    sides = F.array(*(
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when(whole | F.lit(lows[i] == 0.0), F.col("_min")).otherwise(F.col("_at")[i]).alias("lo"),
+            F.when(whole | F.lit(highs[i] == 1.0), F.col("_max")).otherwise(F.col("_at")[k + i]).alias("hi"),
+        )
+        for i in range(k)
+    ))
+    frame = sketch.select(*(F.col(c).alias(f"_by{j}") for j, c in enumerate(by)), "n", sides.alias("_sides"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{j}")) for j, c in enumerate(by)]
+    met = known.join(frame, same) if same else known.crossJoin(frame)  # one row
+    met = met.select(*by, "n", "_x", F.explode(F.filter("_sides", lambda s: F.col("_x") <= s["hi"])).alias("s"))
+    cell = F.when(F.col("_x") >= F.col("s.lo"), F.col("_x"))
+    counts = met.groupBy(*by, "n", F.col("s.i").alias("i"), cell.alias("v")).agg(F.count("*").alias("m"))
+    order = Window.partitionBy(*by, "i").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("m").over(order)).where("v IS NOT NULL")
+    out = []
+    for name, (definition, p) in asked.items():
+        here = F.col("i") == shares.index(p)
+        low, high, part = pc.DEFINITIONS[definition](F.col("n"), p)
+        at = lambda r: F.max(F.when(here & (F.col("upto") > r) & (F.col("upto") - F.col("m") <= r), F.col("v")))
+        pick = at(low) if high is None else at(low) * (1 - F.max(part)) + at(high) * F.max(part)
+        out.append(pick.alias(name))
+    return ranked.groupBy(*by, "n").agg(*out)
+
+
+def latency(rows: DataFrame, by: list[str], value: str, definition: str = "nearest") -> DataFrame:
+    """(by..., p50, p95, p99, n, mean) of each group."""
+    asked = {"p50": (definition, 0.5), "p95": (definition, 0.95), "p99": (definition, 0.99)}
+    found = exact_percentiles(rows, by, value, asked)
+    mean = rows.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return found.join(mean, by).select(*by, *asked, "n", "mean")
+
+
+def every_nth(rows: DataFrame, by: list[str], order: str, n: int, slice_by: Column) -> DataFrame:
     """Systematic sampling: the first of every ``n`` rows of each group."""
-    w = Window.partitionBy(*by).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") % n == 1 % n).drop("_r")
+    return numbered(rows, by, order, slice_by, "_r").where(F.col("_r") % n == 1 % n).drop("_r")
 
 
 def interference(base: Column, mixed: Column) -> Column:
@@ -37,11 +92,14 @@ def relative_to(rows: DataFrame, by: list[str], axis: str, base, value: str) ->
     return rows.withColumn("relative", pc.or_zero(F.col(value), ref))
 
 
-def age_windows(rows: DataFrame, age: str, value: str, width: Column, n: int = 12) -> DataFrame:
-    """Quantiles in ``n`` equal windows of age; the last one is open."""
-    idx = F.least(F.lit(n - 1), F.floor(F.col(age) / width)).cast("int")
-    x = F.col(value)
-    return rows.groupBy(idx.alias("window")).agg(pc.median(x).alias("median"), *(pc.interpolated(x, p).alias(k) for k, p in (("p25", 0.25), ("p75", 0.75), ("p99", 0.99))), F.count(x).alias("n"))
+def age_windows(rows: DataFrame, age: str, value: str, n: int = 12) -> DataFrame:
+    """Quantiles in ``n`` equal windows from age 0 to the greatest; the last one
+    takes what rounding leaves over."""
+    top = rows.agg((F.max(age) + 1).alias("_top"))
+    idx = F.least(F.lit(n - 1), F.floor(F.col(age) * n / F.col("_top"))).cast("int")
+    placed = rows.select(age, value).crossJoin(F.broadcast(top)).select(idx.alias("window"), value)  # one row
+    asked = {"median": ("linear", 0.5), "p25": ("linear", 0.25), "p75": ("linear", 0.75), "p99": ("linear", 0.99)}
+    return exact_percentiles(placed, ["window"], value, asked).select("window", *asked, "n")
 
 
 def counter_deltas(before: DataFrame, after: DataFrame, key: str, counters: list[str]) -> DataFrame:
@@ -57,6 +115,15 @@ def source_shares(deltas: DataFrame) -> DataFrame:
     return s.select("reuse", "steal", "fresh", pc.or_zero(F.col("steal"), F.col("reuse") + F.col("steal")).alias("steal_of_recycled"), pc.or_zero(F.col("steal"), every).alias("steal_of_all"), pc.or_zero(F.col("fresh"), every).alias("fresh_of_all"))
 
 
+def counter_summary(rows: DataFrame, counts: list[str], peaks: list[str], version: int) -> DataFrame:
+    """Sums of counts and maxima of peaks over rows of one schema version, and
+    how many rows were used and refused."""
+    good = F.col("schema_version") == version
+    sums = [F.sum(F.when(good, F.col(c))).alias(c) for c in counts]
+    tops = [F.max(F.when(good, F.col(c))).alias(c) for c in peaks]
+    return rows.agg(*sums, *tops, F.count_if(good).alias("used"), F.count_if(~good).alias("refused"))
+
+
 def counter_faults(rows: DataFrame, key: str, counters: list[str], version: int) -> DataFrame:
     """(fault, n): wrong schema version, repeated shard, negative counter."""
     wrong = rows.agg(F.count_if(F.col("schema_version") != version).alias("n")).select(F.lit("schema_version").alias("fault"), "n")

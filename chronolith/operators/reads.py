@@ -31,12 +31,53 @@ def fold(df: DataFrame, *aggregates: Column) -> DataFrame:
     return df.agg(*aggregates)
 
 
-def fold_with(df: DataFrame, init: Callable[[], object], step: Callable, merge: Callable):
-    """A fold by any Python functions: one partial result for each partition,
-    merged as a tree, so the driver gets one value however many partitions.
+def fold_with(df: DataFrame, init: Callable[[], object], step: Callable, merge: Callable, fan_in: int = 64):
+    """A fold by any Python functions, for what no aggregate expresses:
+    ``step(state, batch)`` takes Arrow record batches, ``merge(a, b)`` states.
 
-    For folds that no aggregate expresses; ``step(state, row)`` and ``merge(a, b)``."""
-    return df.rdd.treeAggregate(init(), step, merge)
+    Each partition gives one state; states are merged ``fan_in`` at a time, so
+    neither a task nor the driver ever gets more of them."""
+
+    def states(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        state = init()
+        for b in batches:
+            state = step(state, b)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state)], pa.binary())], ["state"])
+
+    def merged(batches):
+        import pickle
+
+        import pyarrow as pa
+
+        out = None
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                out = pickle.loads(x) if out is None else merge(out, pickle.loads(x))
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], ["state"])
+
+    import pickle
+
+    n, rows = df.rdd.getNumPartitions(), df.mapInArrow(states, "state binary")
+    while n > fan_in:
+        n = -(-n // fan_in)
+        rows = rows.repartition(n).mapInArrow(merged, "state binary")
+    out = init()
+    for r in rows.collect():  # fan_in states at most
+        out = merge(out, pickle.loads(r.state))
+    return out
+
+
+def visited_until(df: DataFrame, key: str, stop: Column) -> DataFrame:
+    """Rows in order of the key up to the first that ``stop`` holds for, with it:
+    what a visitor that may end early has seen.  The place of the end is an
+    aggregate, and the rows before it a filter; nothing is sorted."""
+    end = df.where(stop).agg(F.min(key).alias("_end"))
+    return df.crossJoin(F.broadcast(end)).where(F.col("_end").isNull() | (F.col(key) <= F.col("_end"))).drop("_end")  # one row
 
 
 def first_by_key(df: DataFrame, key: str, keep: Column | None = None) -> DataFrame:

@@ -81,25 +81,70 @@ def ops(t) -> DataFrame:
     return t("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("key"), (F.col("user_id") % WORKERS).alias("worker"), (10 * F.col("event_id")).alias("ts_start"), op.alias("op"), "value")
 
 
+#: Ticks of a slice of the clock: hot workers and hot keys are worked on by slices.
+SLICE = 1 << 16
+
+
 def transactions(t) -> DataFrame:
     """Operations with the time at which their transaction ended: a worker runs
-    one transaction at a time."""
-    nxt = F.lead("ts_start").over(Window.partitionBy("worker").orderBy("ts_start"))
-    end = F.least(F.col("ts_start") + LAG, F.coalesce(nxt - 1, F.col("ts_start") + LAG))
-    return ops(t).withColumn("ts_end", end)
+    one transaction at a time, and one that nothing follows ends after LAG.
+
+    Only what starts within LAG matters to an end, so time is cut into slices;
+    rows at the start of a slice are shown to the slice before as well."""
+    start, cut = F.col("ts_start"), F.floor(F.col("ts_start") / SLICE)
+    shown = F.array(cut, F.when(start % SLICE <= LAG, cut - 1))
+    rows = ops(t).withColumn("_slice", F.explode(F.filter(shown, lambda s: s.isNotNull())))
+    nxt = F.lead("ts_start").over(Window.partitionBy("worker", "_slice").orderBy("ts_start"))
+    end = F.least(start + LAG, F.coalesce(nxt - 1, start + LAG))
+    return rows.withColumn("ts_end", end).where(F.col("_slice") == cut).drop("_slice")
 
 
-def commits(t, txn: DataFrame | None = None) -> DataFrame:
-    return (transactions(t) if txn is None else txn).where("op <> 'X'").select("worker", "ts_start", F.col("ts_end").alias("ts_commit"))
+def commits_of(txn: DataFrame) -> DataFrame:
+    return txn.where("op <> 'X'").select("worker", "ts_start", F.col("ts_end").alias("ts_commit"))
 
 
 def outcomes(t) -> DataFrame:
     done = transactions(t).where("op <> 'X'").withColumnRenamed("ts_end", "ts_commit")
-    return changes.outcomes(done)
+    return changes.outcomes(done, slice_by=F.floor(F.col("ts_commit") / SLICE))
 
 
-def history(t) -> DataFrame:
+def build_history(t) -> DataFrame:
     """Versions of all effective operations, and aborted inserts as invalid ones."""
-    valid = changes.versions(outcomes(t), payload=["value"])
-    bad = ops(t).where("op = 'X'").select("key", F.col("worker").alias("insert_worker"), F.col("ts_start").alias("insert_ts"), F.lit(True).alias("insert_invalid"), F.lit(None).cast("long").alias("delete_worker"), F.lit(None).cast("long").alias("delete_ts"), "value")
-    return valid.unionByName(bad)
+    valid = changes.versions(outcomes(t), payload=["value"], slice_by=F.floor(F.col("ts_commit") / SLICE), timed=True)
+    none = F.lit(None).cast("long")
+    bad = ops(t).where("op = 'X'").select(
+        "key", F.col("worker").alias("insert_worker"), F.col("ts_start").alias("insert_ts"), F.lit(True).alias("insert_invalid"),
+        none.alias("delete_worker"), none.alias("delete_ts"), none.alias("ins_commit"), none.alias("del_commit"), "value",
+    )
+    return valid.unionByName(bad).sortWithinPartitions("key")
+
+
+# A history and its commit log are stored tables, as those of any engine that keeps
+# versions: written once, sorted by key within a file, so that key filters prune.
+
+
+def timed_history(t) -> DataFrame:
+    """The history with commit times of insertion and deletion."""
+    return t.stored("history", "events", lambda: build_history(t))
+
+
+def history(t) -> DataFrame:
+    return timed_history(t).drop("ins_commit", "del_commit")
+
+
+def commits(t) -> DataFrame:
+    return t.stored("commits", "events", lambda: commits_of(transactions(t)))
+
+
+def span(t) -> int:
+    """Transactions on the clock: one more than the largest number, or 0."""
+    return t.once("span", "events", lambda: (t("events").agg(F.max("event_id")).first()[0] or -1) + 1)
+
+
+def tenths(t, k: float) -> int:
+    """A time within the log, after k tenths of it."""
+    return int(span(t) * k) + 3
+
+
+#: The same in SQL.
+TENTHS_SQL = "(SELECT floor((max(event_id) + 1) * {k})::bigint + 3 FROM events)"

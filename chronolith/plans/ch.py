@@ -20,15 +20,17 @@ def ts(text: str) -> Column:
 
 
 def pricing_summary(rows: DataFrame, where: Column) -> DataFrame:
-    """Count, sums and averages by line number of the lines that pass."""
+    """Count, sums and averages by line number of the lines that pass, in order
+    of line number.  There are at most 15 groups, so one partition sorts them."""
     money, n = F.sum("cents") / 100.0, F.count("*")
-    return rows.where(where).groupBy("ol_number").agg(
+    groups = rows.where(where).groupBy("ol_number").agg(
         n.alias("count_order"),
         F.sum("qty").alias("sum_qty"),
         money.alias("sum_amount"),
         (F.sum("qty") / n).alias("avg_qty"),
         (money / n).alias("avg_amount"),
     )
+    return groups.coalesce(1).sortWithinPartitions("ol_number")
 
 
 _Q1_SQL = "WITH" + LINES_SQL + """
@@ -38,7 +40,7 @@ FROM lines WHERE {where} GROUP BY ol_number"""
 _REVENUE_SQL = "WITH" + LINES_SQL + " SELECT coalesce(CAST(sum(cents) AS double) / 100, 0.0::DOUBLE) AS revenue FROM lines WHERE {where}"
 
 
-@register("ch_q1", "Q1 AG-01 AG-02 SO-01 QD", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
+@register("ch_q1", "Q1 AG-01 AG-02 QD", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
 def ch_q1(t):
     """Pricing summary up to and with the cutoff; null dates never pass."""
     return pricing_summary(lines(t), delivered(lambda d: d <= ts(CUTOFF)))
@@ -50,6 +52,14 @@ def ch_q1_strict(t):
     return pricing_summary(lines(t), delivered(lambda d: d > ts(STRICT)))
 
 
+@register("ch_q1_in_order", "SO-01", "SELECT row_number() OVER (ORDER BY ol_number) AS place, ol_number, count_order FROM (" + _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'") + ")")
+def ch_q1_in_order(t):
+    """The summary's rows with the places at which they come out."""
+    rows = pricing_summary(lines(t), delivered(lambda d: d <= ts(CUTOFF)))
+    place = F.monotonically_increasing_id() + 1  # of the one partition, in its order
+    return rows.select(place.cast("long").alias("place"), "ol_number", "count_order")
+
+
 def revenue(rows: DataFrame, where: Column) -> DataFrame:
     """The sum of amounts that pass; zero, not null, if none does."""
     return rows.where(where).agg(F.coalesce(F.sum("cents") / 100.0, F.lit(0.0)).alias("revenue"))
@@ -144,12 +154,32 @@ def q1_path_agreement(t):
     return totals(rows, "filtered").unionByName(grouped).unionByName(totals(rows.repartitionByRange(8, "l_orderkey"), "by_range"))
 
 
-@register("q1_range_partitioned", "Q1P Q6P Q1bP Q6bP AG-04", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
+@register("q1_range_partitioned", "Q1P AG-04", _Q1_SQL.format(where=f"delivered <= TIMESTAMP '{CUTOFF}'"))
 def q1_range_partitioned(t):
     """The summary over explicit key ranges equals the flat one."""
     return pricing_summary(lines(t).where(delivered(lambda d: d <= ts(CUTOFF))).repartitionByRange(5, "l_orderkey"), F.lit(True))
 
 
+def by_ranges(t, where: Column, n: int = 5) -> DataFrame:
+    """Lines that pass, dealt out over explicit ranges of the order's key."""
+    return lines(t).where(where).repartitionByRange(n, "l_orderkey")
+
+
+@register("q1_strict_range_partitioned", "Q1bP", _Q1_SQL.format(where=f"delivered > TIMESTAMP '{STRICT}'"))
+def q1_strict_range_partitioned(t):
+    return pricing_summary(by_ranges(t, delivered(lambda d: d > ts(STRICT))), F.lit(True))
+
+
+@register("q6_range_partitioned", "Q6P", _REVENUE_SQL.format(where=f"delivered >= TIMESTAMP '{YEAR[0]}' AND delivered < TIMESTAMP '{YEAR[1]}' AND qty < 24"))
+def q6_range_partitioned(t):
+    return revenue(by_ranges(t, delivered(lambda d: (d >= ts(YEAR[0])) & (d < ts(YEAR[1]))) & (F.col("qty") < 24)), F.lit(True))
+
+
+@register("q6_pinned_range_partitioned", "Q6bP", _REVENUE_SQL.format(where=f"delivered >= TIMESTAMP '{PINNED[0]}' AND delivered < TIMESTAMP '{PINNED[1]}' AND qty BETWEEN 1 AND 100000"))
+def q6_pinned_range_partitioned(t):
+    return revenue(by_ranges(t, delivered(lambda d: (d >= ts(PINNED[0])) & (d < ts(PINNED[1]))) & F.col("qty").between(1, 100_000)), F.lit(True))
+
+
 @register(
     "htap_date_bounds",
     "QD GEN-04",

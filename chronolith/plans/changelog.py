@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes, conflicts
-from .base import HISTORY_SQL, OPS_SQL, commits, history, ops, outcomes, transactions
+from .base import HISTORY_SQL, OPS_SQL, SLICE, TENTHS_SQL, cents, commits, commits_of, history, ops, outcomes, tenths, timed_history, transactions
 from .registry import register
 
 
@@ -20,7 +20,7 @@ def replay_outcomes(t):
 def replay_outcomes_sliced(t):
     """The same by slices of the log, so that a hot key is no single task's work."""
     log = changes.committed(ops(t), commits(t))
-    return changes.outcomes(log, slice_by=F.floor(F.col("ts_commit") / 5000)).select("seq", "key", "op", "outcome")
+    return changes.outcomes(log, slice_by=F.floor(F.col("ts_commit") / SLICE)).select("seq", "key", "op", "outcome")
 
 
 @register("outcome_counts", "T-MIX WR-06 TX-10", "WITH" + HISTORY_SQL + " SELECT outcome, count(*) AS n FROM done GROUP BY outcome")
@@ -89,7 +89,7 @@ def upsert_new_vs_late(t):
 
 @register(
     "upsert_result",
-    "WR-04 WR-09 ST-04",
+    "WR-08",
     "WITH a AS (SELECT greatest(1, event_id - event_id * 7 % 40) AS o_orderkey, event_id AS seq, user_id AS o_custkey FROM events), l AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) = 1) SELECT coalesce(o.o_orderkey, l.o_orderkey) AS o_orderkey, coalesce(l.o_custkey, o.o_custkey) AS o_custkey FROM (SELECT o_orderkey, o_custkey FROM orders) o FULL JOIN l ON o.o_orderkey = l.o_orderkey",
 )
 def upsert_result(t):
@@ -98,12 +98,52 @@ def upsert_result(t):
     return changes.upsert(t("orders").select("o_orderkey", "o_custkey"), arrivals, "o_orderkey", "seq")
 
 
-@register("history_collapsed", "WR-07", "WITH" + HISTORY_SQL + " SELECT key, insert_ts FROM history WHERE del_commit IS NULL OR (ins_commit < 30003 AND del_commit >= 30003) OR (ins_commit < 70003 AND del_commit >= 70003)")
+_ASKED = "SELECT CASE WHEN event_id % 10 = 0 THEN -1 - event_id ELSE event_id // 2 END AS k, event_id, CAST(floor(value * 100 + 0.5) AS bigint) AS a FROM events"
+
+
+@register(
+    "update_with_latest",
+    "WR-04",
+    f"WITH r AS ({_ASKED}), g AS (SELECT k, sum(a)::bigint AS added, count(*) AS n FROM r GROUP BY k) SELECT k AS o_orderkey, CAST(floor(o_totalprice * 100 + 0.5) AS bigint) + added AS cents, o_custkey + n AS touched, CASE WHEN o_orderkey IS NULL THEN 'KeyDoesNotExist' ELSE 'Updated' END AS outcome FROM g LEFT JOIN orders ON k = o_orderkey",
+)
+def update_with_latest(t):
+    """Totals that grow by what events ask for, each from the latest one."""
+    base = t("orders").select("o_orderkey", cents("o_totalprice").alias("cents"), F.col("o_custkey").alias("touched"))
+    i = F.col("event_id")
+    asked = t("events").select(F.when(i % 10 == 0, -1 - i).otherwise(F.floor(i / 2)).alias("o_orderkey"), cents("value").alias("a"))
+    grown = {"cents": F.col("cents") + F.col("added"), "touched": F.col("touched") + F.col("n")}
+    return changes.update_with(base, asked, "o_orderkey", [F.sum("a").alias("added"), F.count("*").alias("n")], grown)
+
+
+_ROW = "rpad(o_orderstatus, 4, '.') || rpad(o_orderpriority, 4, '.') || lpad((o_custkey % 10000)::varchar, 4, '0')"
+
+
+@register(
+    "read_modify_write",
+    "WR-09 WR-10",
+    f"""WITH w AS (SELECT event_id // 3 AS k, event_id AS i, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 3 END AS f, lpad((event_id % 10000)::varchar, 4, '0') AS p FROM events),
+s AS (SELECT k, max(i) FILTER (WHERE f IS NULL) AS s, count(*) AS writes FROM w GROUP BY k),
+l AS (SELECT w.k, any_value(writes) AS writes, any_value(s) AS s, arg_max(p, i) FILTER (WHERE f = 0 AND i > coalesce(s, -1)) AS p0, arg_max(p, i) FILTER (WHERE f = 1 AND i > coalesce(s, -1)) AS p1,
+      arg_max(p, i) FILTER (WHERE f = 2 AND i > coalesce(s, -1)) AS p2 FROM w JOIN s ON w.k = s.k GROUP BY w.k),
+b AS (SELECT o_orderkey AS key, {_ROW} AS old FROM orders),
+x AS (SELECT key, CASE WHEN s IS NULL THEN old ELSE repeat(lpad((s % 10000)::varchar, 4, '0'), 3) END AS r, p0, p1, p2, writes FROM b JOIN l ON key = k)
+SELECT key, coalesce(p0, substr(r, 1, 4)) || coalesce(p1, substr(r, 5, 4)) || coalesce(p2, substr(r, 9, 4)) AS row, writes FROM x""",
+)
+def read_modify_write(t):
+    """Rows of three fields after writes of one field, and of the whole row."""
+    row = F.concat(F.rpad("o_orderstatus", 4, "."), F.rpad("o_orderpriority", 4, "."), F.lpad((F.col("o_custkey") % 10_000).cast("string"), 4, "0"))
+    base = t("orders").select(F.col("o_orderkey").alias("key"), row.alias("row"))
+    i = F.col("event_id")
+    one = F.lpad((i % 10_000).cast("string"), 4, "0")
+    field = F.when(i % 7 != 0, i % 3)
+    writes = t("events").select(F.floor(i / 3).alias("key"), i.alias("seq"), field.alias("field"), F.when(field.isNull(), F.repeat(one, F.lit(3))).otherwise(one).alias("patch"))
+    return changes.read_modify_write(base, writes, "key", "seq", 3, 4)
+
+
+@register("history_collapsed", "WR-07", "WITH" + HISTORY_SQL + " SELECT key, insert_ts FROM history WHERE del_commit IS NULL OR (ins_commit < " + TENTHS_SQL.format(k=3) + " AND del_commit >= " + TENTHS_SQL.format(k=3) + ") OR (ins_commit < " + TENTHS_SQL.format(k=7) + " AND del_commit >= " + TENTHS_SQL.format(k=7) + ")")
 def history_collapsed(t):
     """Versions that no snapshot could see are left out."""
-    from ..operators.history import with_commit_times
-
-    return changes.collapse(with_commit_times(history(t), commits(t)), [30_003, 70_003]).select("key", "insert_ts")
+    return changes.collapse(timed_history(t), [tenths(t, 3), tenths(t, 7)]).select("key", "insert_ts")
 
 
 _WRITES = "writes AS (SELECT event_id AS seq, user_id % 8 AS key, event_id % 16 AS worker, event_id * 10 AS ts_start, event_id * 10 AS read_ts, event_id * 10 + 55 AS ts_commit FROM events WHERE event_type <> 'error')"
@@ -136,7 +176,19 @@ def auto_commit_conflicts(t):
     return conflicts.auto_commit(rows).select("seq", "conflict")
 
 
-@register("serial_winners", "TX-06 TX-22")
+@register(
+    "serial_winners",
+    "TX-06",
+    "WITH RECURSIVE " + _WRITES + """, w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM writes),
+f AS (SELECT key, n, seq, worker, false AS lost, worker AS w1, ts_commit AS c1, NULL::bigint AS w2, NULL::bigint AS c2 FROM w WHERE n = 1
+      UNION ALL
+      SELECT key, n, seq, worker, lost, CASE WHEN lost THEN w1 ELSE worker END, CASE WHEN lost THEN c1 ELSE ts_commit END,
+             CASE WHEN NOT lost AND w1 <> worker THEN w1 ELSE w2 END, CASE WHEN NOT lost AND w1 <> worker THEN c1 ELSE c2 END
+      FROM (SELECT w.key, w.n, w.seq, w.worker, w.ts_commit, f.w1, f.c1, f.w2, f.c2,
+                   coalesce(CASE WHEN f.w1 <> w.worker THEN f.c1 ELSE f.c2 END >= w.read_ts, false) AS lost
+            FROM f JOIN w ON w.key = f.key AND w.n = f.n + 1))
+SELECT key, seq, worker, lost AS conflict FROM f""",
+)
 def serial_winners(t):
     """First writer wins with cascading rollbacks, key by key."""
     return conflicts.serial_winners(_writes(t))
@@ -145,7 +197,7 @@ def serial_winners(t):
 @register(
     "read_committed_reads",
     "TX-05",
-    "WITH" + OPS_SQL + ", c AS (SELECT key, ts_end AS ts_commit, value FROM txn WHERE op <> 'X'), s AS (SELECT event_id AS id, user_id AS key, event_id * 10 + 3 AS ts FROM events WHERE event_id % 4 = 0) SELECT s.id, s.key, arg_max(c.value, c.ts_commit) AS value FROM s LEFT JOIN c ON s.key = c.key AND c.ts_commit < s.ts GROUP BY s.id, s.key",
+    "WITH" + OPS_SQL + ", c AS (SELECT key, ts_end AS ts_commit, value FROM txn WHERE op <> 'X'), s AS (SELECT event_id AS id, user_id AS key, event_id * 10 + 3 AS ts FROM events) SELECT s.id, s.key, arg_max(c.value, c.ts_commit) AS value FROM s LEFT JOIN c ON s.key = c.key AND c.ts_commit < s.ts GROUP BY s.id, s.key",
 )
 def read_committed_reads(t):
     """Statements that each read what was committed before their own time."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import generators as g
 from ..operators.retention import leaf
 from ..sources import dumps, opfile, wal
-from .base import HISTORY_SQL, history
+from .base import HISTORY_SQL, history, span
 from .registry import register
 
 
@@ -54,10 +54,22 @@ def structure_dump(t):
     return dumps.read_leaves(dumps.leaves(history(t), leaf()))
 
 
-@register("explorer_bundle", "SNK-06", "SELECT 'nation' AS \"table\", count(*) AS n FROM nation UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderkey < 300 UNION ALL SELECT 'region', count(*) FROM region")
+@register(
+    "explorer_bundle",
+    "SNK-06",
+    """WITH m AS (SELECT max(event_id) + 1 AS asked FROM events)
+SELECT 'nation' AS "table", asked AS snapshot, 3 AS fields, count(*) AS n, sum(n_nationkey)::bigint AS keys, max(n_name) AS top FROM nation, m GROUP BY asked
+UNION ALL SELECT 'orders', asked, 6, count(*), sum(o_orderkey)::bigint, max(o_orderpriority) FROM orders, m GROUP BY asked
+UNION ALL SELECT 'region', asked, 2, count(*), sum(r_regionkey)::bigint, max(r_name) FROM region, m GROUP BY asked""",
+)
 def explorer_bundle(t):
-    rows = dumps.bundle({"nation": t("nation"), "region": t("region"), "orders": t("orders")})
-    return rows.groupBy("table").agg(F.count("*").alias("n"))
+    """A bundle of tables at one time, read back from its JSON."""
+    rows = dumps.bundle({"nation": t("nation"), "region": t("region"), "orders": t("orders")}, span(t))
+    names = {"nation": ("n_nationkey", "n_name"), "orders": ("o_orderkey", "o_orderpriority"), "region": ("r_regionkey", "r_name")}
+    pick = lambda i: F.coalesce(*(F.when(F.col("table") == k, F.get_json_object("row", f"$.{v[i]}")) for k, v in names.items()))
+    fields = F.size(F.from_json("schema", "fields array<struct<name:string>>")["fields"])
+    read = rows.select("table", "snapshot", fields.cast("int").alias("fields"), pick(0).cast("long").alias("key"), pick(1).alias("label"))
+    return read.groupBy("table", "snapshot", "fields").agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.max("label").alias("top"))
 
 
 def _zipf_sql(n: int, theta: float) -> str:
@@ -105,22 +117,47 @@ def arrival_keys(t):
 _NATIONS = ", ".join(f"({i}::bigint, '{n}', {r}::bigint, '{g.REGIONS[r]}')" for i, (n, r) in enumerate(g.NATIONS))
 
 
+HOT_WINDOW, HOT_THETA = 20, 0.99
+_TOPS = f"tops AS (SELECT sum(pow(r::DOUBLE, -{HOT_THETA}::DOUBLE)) OVER (ORDER BY r) / sum(pow(r::DOUBLE, -{HOT_THETA}::DOUBLE)) OVER () AS top, r FROM range(1, {HOT_WINDOW + 1}) t(r))"
+HOT_SQL = f"""{_TOPS}, drawn AS (SELECT event_id, user_id, event_type, (event_id * 7919 % 1000) / 1000.0::DOUBLE AS d, (event_id * 104729 % 1000 + 0.5::DOUBLE) / 1000.0::DOUBLE AS h FROM events),
+tail AS (SELECT event_id, user_id, event_type, CASE WHEN d < 0.2 THEN 'arrival' ELSE 'hot_update' END AS op,
+  CASE WHEN d < 0.2 THEN greatest(1, event_id + 1 - event_id * 31 % 50) ELSE greatest(1, event_id + 1 - (SELECT count(*) FROM tops WHERE r < {HOT_WINDOW} AND top <= h)) END AS key FROM drawn)"""
+
+
+def tail_operations(events):
+    """(event_id, user_id, event_type, op, key): arrivals and updates near the tail."""
+    i = F.col("event_id")
+    op = g.tail_operation((i * 7919 % 1000) / 1000.0)
+    hot = g.hot_key((i * 104_729 % 1000 + 0.5) / 1000.0, i + 1, HOT_WINDOW, HOT_THETA)
+    return events.select("event_id", "user_id", "event_type", op.alias("op"), F.when(op == "arrival", g.arrival_key(i + 1, i * 31 % 50)).otherwise(hot).alias("key"))
+
+
+@register("hot_tail_mix", "ST-04 ST-08", f"WITH {HOT_SQL} SELECT event_id, op, key FROM tail")
+def hot_tail_mix(t):
+    """A fifth of the operations arrive, the others update a key of the newest 20."""
+    return tail_operations(t("events")).select("event_id", "op", "key")
+
+
 @register("fixed_nations", "GEN-02", f"SELECT * FROM (VALUES {_NATIONS}) v(n_id, n_name, n_regionkey, r_name)")
 def fixed_nations(t):
     """The fixed nations with their regions."""
     return g.nations(t.spark).join(g.regions(t.spark), F.col("n_regionkey") == F.col("r_id")).select("n_id", "n_name", "n_regionkey", "r_name")
 
 
-@register("population_counts", "GEN-01 GEN-03", "SELECT * FROM (VALUES ('customer', 600::bigint), ('district', 20::bigint), ('item', 100::bigint), ('new_order', 180::bigint), ('nation', 25::bigint), ('orders', 600::bigint), ('region', 5::bigint), ('stock', 200::bigint), ('supplier', 10::bigint), ('warehouse', 2::bigint)) v(name, n)")
+@register("population_counts", "GEN-01 GEN-03", "SELECT * FROM (VALUES ('cust_last_order', 600::bigint), ('customer', 600::bigint), ('customer_name_idx', 600::bigint), ('history', 600::bigint), ('order_lines_not_counted_by_orders', 0::bigint), ('district', 20::bigint), ('item', 100::bigint), ('new_order', 180::bigint), ('nation', 25::bigint), ('orders', 600::bigint), ('region', 5::bigint), ('stock', 200::bigint), ('supplier', 10::bigint), ('warehouse', 2::bigint)) v(name, n)")
 def population_counts(t):
     """Rows of a small generated population."""
     tables = g.population(t.spark, warehouses=2, customers=30, items=100, orders=30, suppliers=10)
     out = None
     for name, df in tables.items():
-        if name != "order_line":  # its size is drawn
+        if name != "order_line":
             one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
             out = one if out is None else out.unionByName(one)
-    return out
+    # The size of order_line is drawn: each order says how many lines it has.
+    key = ["w_id", "d_id", "o_id"]
+    found = tables["order_line"].groupBy(*key).agg(F.count("*").alias("found"))
+    wrong = tables["orders"].join(found, key, "full").where("NOT found <=> o_ol_cnt OR o_ol_cnt NOT BETWEEN 5 AND 15")
+    return out.unionByName(wrong.agg(F.count("*").alias("n")).select(F.lit("order_lines_not_counted_by_orders").alias("name"), "n"))
 
 
 @register("order_dates", "GEN-04", f"SELECT o - 1 AS ordinal, 1700000000000 - {g.HISTORY_MS} + ({g.HISTORY_MS}::HUGEINT * (o - 1) // 2999)::bigint AS at FROM range(1, 3001) t(o)")
@@ -128,6 +165,6 @@ def order_dates(t):
     return t.spark.range(3000).select(F.col("id").alias("ordinal"), g.order_date(1_700_000_000_000, F.col("id"), 3000).alias("at"))
 
 
-@register("usertable", "GEN-05 RD-10", "SELECT 200::bigint AS n, 20000::bigint AS chars")
+@register("usertable", "GEN-05 RD-10", "SELECT 200::bigint AS n, 20000::bigint AS chars, 200::bigint AS alphanumeric, 200::bigint AS different")
 def usertable(t):
-    return g.usertable(t.spark, 200, 10, 10).agg(F.count("*").alias("n"), F.sum(F.length("row")).cast("long").alias("chars"))
+    return g.usertable(t.spark, 200, 10, 10).agg(F.count("*").alias("n"), F.sum(F.length("row")).cast("long").alias("chars"), F.count_if(F.col("row").rlike("^[0-9A-Za-z]+$")).alias("alphanumeric"), F.count_distinct("row").alias("different"))

@@ -57,15 +57,15 @@ def last_name_from_code(t):
     return codes.withColumn("name", keys.last_name("code"))
 
 
-@register("field_patch", "PRJ-03 WR-10", "SELECT event_id, substr(rpad(event_type, 12, '.') || rpad(props, 12, '.'), 1, 4) || 'XXXX' || substr(rpad(event_type, 12, '.') || rpad(props, 12, '.'), 9) AS patched FROM events WHERE event_id < 1000")
+@register("field_patch", "PRJ-03", "SELECT event_id, substr(rpad(event_type, 12, '.') || rpad(props, 12, '.'), 1, 4) || 'XXXX' || substr(rpad(event_type, 12, '.') || rpad(props, 12, '.'), 9) AS patched FROM events")
 def field_patch(t):
     """Field 1 of rows of 4-character fields replaced."""
     row = F.concat(F.rpad("event_type", 12, "."), F.rpad("props", 12, "."))
     return t("events").select("event_id", keys.field_patch(row, 1, 4, F.lit("XXXX")).alias("patched"))
 
 
-_A = "SELECT o_orderkey AS id, o_orderkey % 1000 AS lo, o_orderkey % 1000 + o_custkey % 50 AS hi FROM orders WHERE o_orderkey < 400"
-_B = "SELECT s_suppkey AS id, s_suppkey * 9 AS lo, s_suppkey * 9 + 20 AS hi FROM supplier WHERE s_suppkey < 60"
+_A = "SELECT o_orderkey AS id, o_orderkey % 1000 AS lo, o_orderkey % 1000 + o_custkey % 50 AS hi FROM orders"
+_B = "SELECT s_suppkey AS id, s_suppkey * 9 AS lo, s_suppkey * 9 + 20 AS hi FROM supplier"
 
 
 def _a(t):
@@ -96,6 +96,31 @@ def interval_overlap_join(t):
     return overlap_join(_a(t), _b(t)).select("a", "b")
 
 
+def superseded(children, node: str, at: str, lo: str, hi: str, width: int = GRID):
+    """(node, at) of children that a later one of their node overlaps: both are
+    laid out over the cells they touch, so only neighbours meet."""
+    cell = F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("_c")
+    a = children.select(node, at, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), cell)
+    b = children.select(F.col(node).alias("_node"), F.col(at).alias("_at"), F.col(lo).alias("_blo"), F.col(hi).alias("_bhi"), cell.alias("_d"))
+    meets = (F.col(node) == F.col("_node")) & (F.col("_c") == F.col("_d")) & (F.col("_at") > F.col(at))
+    return a.join(b, meets & (F.col("_lo") <= F.col("_bhi")) & (F.col("_blo") <= F.col("_hi")), "left_semi").select(node, at).distinct()
+
+
+_KIDS = "m AS (SELECT max(o_orderkey) + 1 AS m FROM orders), kids AS (SELECT o_custkey % 50 AS node, o_orderkey AS pos, o_orderkey * 37 % m AS lo, o_orderkey * 37 % m + o_custkey % 40 AS hi FROM orders, m WHERE o_orderkey <= m * 3 // 4)"
+
+
+@register("active_children", "JN-10", "WITH " + _KIDS + " SELECT node, pos, lo, hi FROM kids a WHERE NOT EXISTS (SELECT 1 FROM kids b WHERE b.node = a.node AND b.pos > a.pos AND a.lo <= b.hi AND b.lo <= a.hi)")
+def active_children(t):
+    """Children that were there at a time, without those that a later child of
+    the same node overlaps."""
+    k = F.col("o_orderkey")
+    top = t("orders").agg((F.max("o_orderkey") + 1).alias("m"))  # one row
+    kids = t("orders").crossJoin(F.broadcast(top)).where(k <= F.floor(F.col("m") * 3 / 4))
+    kids = kids.select((F.col("o_custkey") % 50).alias("node"), k.alias("pos"), (k * 37 % F.col("m")).alias("lo"), (k * 37 % F.col("m") + F.col("o_custkey") % 40).alias("hi"))
+    gone = superseded(kids, "node", "pos", "lo", "hi")
+    return kids.join(gone, ["node", "pos"], "left_anti").select("node", "pos", "lo", "hi")
+
+
 @register("interval_intersection", "FLT-05", f"SELECT a.id AS a, b.id AS b, greatest(a.lo, b.lo) AS lo, least(a.hi, b.hi) AS hi FROM ({_A}) a JOIN ({_B}) b ON a.lo <= b.hi AND b.lo <= a.hi")
 def interval_intersection(t):
     lo, hi = iv.intersection((F.col("alo"), F.col("ahi")), (F.col("blo"), F.col("bhi")))
@@ -114,7 +139,7 @@ def interval_cover(t):
     return overlap_join(_a(t), _b(t)).where(iv.covers((F.col("blo"), F.col("bhi")), (F.col("alo"), F.col("ahi")))).select("b", "a")
 
 
-@register("interval_half_open", "FLT-07", "SELECT o_orderkey AS start, o_custkey AS stop, greatest(o_orderkey, o_custkey - 1) AS hi FROM orders WHERE o_orderkey < 2000")
+@register("interval_half_open", "FLT-07", "SELECT o_orderkey AS start, o_custkey AS stop, greatest(o_orderkey, o_custkey - 1) AS hi FROM orders")
 def interval_half_open(t):
     lo, hi = iv.from_half_open(F.col("o_orderkey"), F.col("o_custkey"))
     return t("orders").select(lo.alias("start"), F.col("o_custkey").alias("stop"), hi.alias("hi"))
@@ -123,7 +148,7 @@ def interval_half_open(t):
 @register(
     "range_split_even",
     "RD-13 GEN-03",
-    "WITH s AS (SELECT o_orderkey AS lo, o_orderkey + o_custkey % 20 AS hi FROM orders WHERE o_orderkey < 500), n AS (SELECT *, least(7, hi - lo + 1) AS n FROM s) SELECT lo AS of_lo, hi AS of_hi, lo + (i * (hi - lo + 1)) // n AS lo, lo + ((i + 1) * (hi - lo + 1)) // n - 1 AS hi FROM n, LATERAL (SELECT unnest(range(0, n)) AS i)",
+    "WITH s AS (SELECT o_orderkey AS lo, o_orderkey + o_custkey % 20 AS hi FROM orders), n AS (SELECT *, least(7, hi - lo + 1) AS n FROM s) SELECT lo AS of_lo, hi AS of_hi, lo + (i * (hi - lo + 1)) // n AS lo, lo + ((i + 1) * (hi - lo + 1)) // n - 1 AS hi FROM n, LATERAL (SELECT unnest(range(0, n)) AS i)",
 )
 def range_split_even(t):
     """Pieces of key ranges: no gap, no overlap, none empty."""

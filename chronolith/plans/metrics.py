@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import percentiles as pc
 from ..operators import metrics as m
+from .base import span
 from .registry import register
 
 
@@ -14,26 +15,36 @@ def _e(t):
     return t("events")
 
 
-_SECONDS = 400
 _T = "(epoch(ts) - (SELECT min(epoch(ts)) FROM events)) / 7200"
 
 
 @register(
     "throughput_per_second",
     "MT-01 ST-06",
-    f"WITH c AS (SELECT floor({_T})::bigint AS second, count(*) AS n FROM events GROUP BY 1) SELECT s AS second, coalesce(n, 0)::bigint AS n FROM range(0, {_SECONDS}) r(s) LEFT JOIN c ON s = second",
+    f"WITH c AS (SELECT floor({_T})::bigint AS second, count(*) AS n FROM events GROUP BY 1) SELECT s AS second, coalesce(n, 0)::bigint AS n FROM (SELECT unnest(range(0, (SELECT max(second) + 1 FROM c))) AS s) LEFT JOIN c ON s = second",
 )
 def throughput_per_second(t):
     """Operations in each interval of the run, with zeros; an interval is two hours here."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     first = _e(t).agg(F.min(micros).alias("t0"))
-    rows = _e(t).select(micros.alias("us")).crossJoin(first)  # one row
-    return m.per_second(rows, F.floor((F.col("us") - F.col("t0")) / F.lit(7_200_000_000)), _SECONDS)
+    rows = _e(t).select(micros.alias("us")).crossJoin(F.broadcast(first))  # one row
+    return m.per_second(rows, F.floor((F.col("us") - F.col("t0")) / F.lit(7_200_000_000)))
 
 
-@register("throughput_total", "MT-02 MT-04", "SELECT count(*) / 60.0::DOUBLE AS per_minute, CASE WHEN sum(user_id) > 0 THEN count(*) / CAST(sum(user_id) AS DOUBLE) ELSE 0.0 END AS per_unit FROM events")
+_WALL = "(epoch(max(ts)) - epoch(min(ts)))"
+
+
+@register(
+    "throughput_total",
+    "MT-02 MT-04",
+    f"SELECT CASE WHEN {_WALL} > 0 THEN count(*) / {_WALL} ELSE 0.0 END AS per_second, CASE WHEN {_WALL} > 0 THEN count(*) FILTER (WHERE event_type = 'signup') / ({_WALL} / 60) ELSE 0.0 END AS orders_per_minute, CASE WHEN sum(user_id) > 0 THEN count(*) / CAST(sum(user_id) AS DOUBLE) ELSE 0.0 END AS per_unit FROM events",
+)
 def throughput_total(t):
-    return _e(t).agg((F.count("*") / 60.0).alias("per_minute"), pc.or_zero(F.count("*"), F.sum("user_id")).alias("per_unit"))
+    """Operations over the wall time of the run, and new orders (signups) a minute."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    wall = (F.max(us) - F.min(us)) / 1e6
+    orders = F.count_if(F.col("event_type") == "signup")
+    return _e(t).agg(pc.or_zero(F.count("*"), wall).alias("per_second"), pc.or_zero(orders, wall / 60).alias("orders_per_minute"), pc.or_zero(F.count("*"), F.sum("user_id")).alias("per_unit"))
 
 
 def _rank_sql(rounding: str) -> str:
@@ -51,17 +62,19 @@ def latency_nearest_rank(t):
 
 @register("latency_half_even", "AG-10", _rank_sql(f"({_HALF_EVEN})"))
 def latency_half_even(t):
-    return m.latency(_e(t), ["event_type"], "value", pc.nearest_rank_half_even)
+    return m.latency(_e(t), ["event_type"], "value", "nearest_even")
 
 
 @register("latency_interpolated", "AG-11", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, count(value) AS n, avg(value) AS mean FROM events GROUP BY 1")
 def latency_interpolated(t):
-    return m.latency(_e(t), ["event_type"], "value", pc.interpolated)
+    return m.latency(_e(t), ["event_type"], "value", "linear")
 
 
 @register("median_by_group", "AG-12 AG-14 RA-12", "SELECT event_type, median(value) AS median, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def median_by_group(t):
-    return _e(t).groupBy("event_type").agg(pc.median(F.col("value")).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
+    ends = _e(t).groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    mid = m.exact_percentiles(_e(t), ["event_type"], "value", {"median": ("linear", 0.5)})
+    return mid.join(ends, "event_type").select("event_type", "median", "low", "high")
 
 
 @register("peak_and_average", "AG-13", "SELECT event_type, max(x) AS peak, avg(x) AS mean, sum(x)::bigint AS total FROM (SELECT event_type, try_cast(CASE WHEN event_id % 10 = 0 THEN 'n/a' ELSE user_id::varchar END AS bigint) AS x FROM events) GROUP BY 1")
@@ -79,7 +92,7 @@ def attempt_histogram(t):
 
 @register("sampled_latency", "MT-05", "SELECT event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) % 64 = 1")
 def sampled_latency(t):
-    return m.every_nth(_e(t).select("event_id", "event_type", "value"), ["event_type"], "event_id", 64)
+    return m.every_nth(_e(t).select("event_id", "event_type", "value"), ["event_type"], "event_id", 64, F.floor(F.col("event_id") / (1 << 16)))
 
 
 _BY_USER = "SELECT user_id, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS base, count(*) FILTER (WHERE event_type = 'click') AS mixed FROM events GROUP BY 1"
@@ -99,16 +112,18 @@ def relative_to_baseline(t):
     return m.relative_to(g, ["threads"], "event_type", "click", "n")
 
 
-@register("age_windows_12", "RA-03", "SELECT least(11, floor(event_id / 700.0::DOUBLE))::integer AS \"window\", median(value) AS median, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.99) AS p99, count(value) AS n FROM events GROUP BY 1")
+@register("age_windows_12", "RA-03", "SELECT least(11, floor(event_id * 12 / (SELECT max(event_id) + 1 FROM events)::DOUBLE))::integer AS \"window\", median(value) AS median, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.99) AS p99, count(value) AS n FROM events GROUP BY 1")
 def age_windows_12(t):
-    return m.age_windows(_e(t), "event_id", "value", F.lit(700.0))
+    """Quantiles by twelfths of the run."""
+    return m.age_windows(_e(t), "event_id", "value")
 
 
 @register("scaling_points", "RA-05", "SELECT u AS terminals, greatest(3, u) AS warehouses, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM (SELECT user_id % 8 + 1 AS u, value FROM events) GROUP BY 1")
 def scaling_points(t):
     """Throughput and percentiles by terminals; warehouses grow with them."""
     rows = _e(t).select((F.col("user_id") % 8 + 1).alias("terminals"), "value")
-    return rows.groupBy("terminals").agg(F.count("*").alias("n"), pc.interpolated(F.col("value"), 0.5).alias("p50"), pc.interpolated(F.col("value"), 0.99).alias("p99")).select("terminals", F.greatest(F.lit(3), F.col("terminals")).alias("warehouses"), "n", "p50", "p99")
+    found = m.exact_percentiles(rows, ["terminals"], "value", {"p50": ("linear", 0.5), "p99": ("linear", 0.99)})
+    return found.select("terminals", F.greatest(F.lit(3), F.col("terminals")).alias("warehouses"), "n", "p50", "p99")
 
 
 @register("operation_row", "RA-06", "SELECT event_type AS operation, count(*) AS n, avg(value) AS mean FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -122,9 +137,9 @@ def window_average(t):
     return _e(t).groupBy((F.col("user_id") % 7).alias("w")).agg(F.avg("value").alias("mean"), F.sum(F.col("user_id") * 10).alias("ops"))
 
 
-@register("staleness_summary", "MT-07 ST-07", "SELECT event_type, avg(greatest(9000 - event_id, 0)) AS mean, max(greatest(9000 - event_id, 0)) AS top FROM events GROUP BY 1")
+@register("staleness_summary", "MT-07 ST-07", "WITH m AS (SELECT (max(event_id) + 1) * 9 // 10 AS now FROM events) SELECT event_type, avg(greatest(now - event_id, 0)) AS mean, max(greatest(now - event_id, 0)) AS top FROM events, m GROUP BY 1")
 def staleness_summary(t):
-    s = F.greatest(9000 - F.col("event_id"), F.lit(0))
+    s = F.greatest(span(t) * 9 // 10 - F.col("event_id"), F.lit(0))
     return _e(t).groupBy("event_type").agg(F.avg(s).alias("mean"), F.max(s).alias("top"))
 
 
@@ -146,18 +161,30 @@ def counter_deltas(t):
     return _deltas(t)
 
 
-@register("gc_source_shares", "MT-12 RA-16", f"WITH s AS (SELECT sum(reuse)::bigint AS reuse, sum(steal)::bigint AS steal, sum(fresh)::bigint AS fresh FROM ({_DELTAS})) SELECT *, CASE WHEN reuse + steal > 0 THEN steal / (reuse + steal)::DOUBLE ELSE 0.0 END AS steal_of_recycled, CASE WHEN reuse + steal + fresh > 0 THEN steal / (reuse + steal + fresh)::DOUBLE ELSE 0.0 END AS steal_of_all, CASE WHEN reuse + steal + fresh > 0 THEN fresh / (reuse + steal + fresh)::DOUBLE ELSE 0.0 END AS fresh_of_all FROM s")
+@register("gc_source_shares", "MT-12", f"WITH s AS (SELECT sum(reuse)::bigint AS reuse, sum(steal)::bigint AS steal, sum(fresh)::bigint AS fresh FROM ({_DELTAS})) SELECT *, CASE WHEN reuse + steal > 0 THEN steal / (reuse + steal)::DOUBLE ELSE 0.0 END AS steal_of_recycled, CASE WHEN reuse + steal + fresh > 0 THEN steal / (reuse + steal + fresh)::DOUBLE ELSE 0.0 END AS steal_of_all, CASE WHEN reuse + steal + fresh > 0 THEN fresh / (reuse + steal + fresh)::DOUBLE ELSE 0.0 END AS fresh_of_all FROM s")
 def gc_source_shares(t):
     return m.source_shares(_deltas(t))
 
 
-@register("gc_counter_faults", "MT-13", "WITH r AS (SELECT user_id AS shard, event_id % 5 AS schema_version, event_id - 50 AS c FROM events WHERE event_id < 300) SELECT 'schema_version' AS fault, count(*) FILTER (WHERE schema_version <> 4) AS n FROM r UNION ALL SELECT 'duplicate_shard', count(*) FROM (SELECT shard FROM r GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'negative', count(*) FILTER (WHERE c < 0) FROM r")
+@register("gc_counter_faults", "MT-13", "WITH r AS (SELECT user_id AS shard, event_id % 5 AS schema_version, event_id - 50 AS c FROM events) SELECT 'schema_version' AS fault, count(*) FILTER (WHERE schema_version <> 4) AS n FROM r UNION ALL SELECT 'duplicate_shard', count(*) FROM (SELECT shard FROM r GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'negative', count(*) FILTER (WHERE c < 0) FROM r")
 def gc_counter_faults(t):
     rows = _e(t).select(F.col("user_id").alias("shard"), (F.col("event_id") % 5).alias("schema_version"), (F.col("event_id") - 50).alias("c"))
     return m.counter_faults(rows, "shard", ["c"], 4)
 
 
-@register("missing_points", "RA-08", "SELECT u AS threads, e AS event_type FROM range(0, 200) r(u), (SELECT DISTINCT event_type AS e FROM events) WHERE (u, e) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 4 = 0)")
+@register(
+    "gc_counter_summary",
+    "RA-16",
+    "SELECT sum(user_id) FILTER (WHERE event_id % 5 = 4)::bigint AS reuse, sum(event_id % 11) FILTER (WHERE event_id % 5 = 4)::bigint AS steal, max(event_id) FILTER (WHERE event_id % 5 = 4) AS latency_ns_max, count(*) FILTER (WHERE event_id % 5 = 4) AS used, count(*) FILTER (WHERE event_id % 5 <> 4) AS refused FROM events",
+)
+def gc_counter_summary(t):
+    """Counts are summed and peaks maximised, over rows of the known schema alone."""
+    i = F.col("event_id")
+    rows = _e(t).select((i % 5).alias("schema_version"), F.col("user_id").alias("reuse"), (i % 11).alias("steal"), i.alias("latency_ns_max"))
+    return m.counter_summary(rows, ["reuse", "steal"], ["latency_ns_max"], 4)
+
+
+@register("missing_points", "RA-08", "SELECT u AS threads, e AS event_type FROM (SELECT DISTINCT user_id AS u FROM events) r, (SELECT DISTINCT event_type AS e FROM events) WHERE (u, e) NOT IN (SELECT (user_id, event_type) FROM events)")
 def missing_points(t):
     """Points of the plan without a result."""
     actual = _e(t).select(F.col("user_id").alias("threads"), "event_type")
@@ -190,7 +217,7 @@ def bootstrap_interval(t):
     return m.median_interval(_e(t), ["event_type"], "value")
 
 
-_SETTINGS = "SELECT user_id AS setting, avg(value) * 1000 AS throughput, avg(value) * 990 AS low, avg(value) * 1010 AS high, max(value) AS p99, count(*)::DOUBLE AS rss FROM events WHERE user_id < 40 GROUP BY 1"
+_SETTINGS = "SELECT user_id AS setting, avg(value) * 1000 AS throughput, avg(value) * 990 AS low, avg(value) * 1010 AS high, max(value) AS p99, count(*)::DOUBLE AS rss FROM events GROUP BY 1"
 
 
 @register("setting_selection", "RA-13", f"WITH s AS ({_SETTINGS}), b AS (SELECT * FROM s ORDER BY throughput DESC, setting LIMIT 1) SELECT coalesce(min(s.setting) FILTER (WHERE s.throughput >= 0.99 * b.throughput AND s.low <= b.high AND b.low <= s.high AND (b.p99 <= 0 OR s.p99 <= b.p99 * 1.05) AND (b.rss <= 0 OR s.rss <= b.rss * 1.05)), b.setting) AS setting, b.setting AS best FROM s, b GROUP BY b.setting")

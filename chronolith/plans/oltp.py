@@ -5,10 +5,11 @@ Warehouses and districts are derived: warehouse = key % 4, district = key % 10.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
+from ..operators import order_entry
 from .base import cents
 from .registry import register
 
@@ -16,7 +17,7 @@ from .registry import register
 @register(
     "order_status_last_order",
     "T-OS JN-06",
-    "WITH l AS (SELECT o_custkey, max(o_orderkey) AS o FROM orders WHERE o_custkey < 200 GROUP BY 1) SELECT l.o_custkey AS c_id, l.o AS o_id, l_linenumber::bigint AS ol_number, l_partkey AS i_id, CAST(l_quantity AS bigint) AS qty FROM l JOIN lineitem ON l_orderkey = l.o",
+    "WITH l AS (SELECT o_custkey, max(o_orderkey) AS o FROM orders GROUP BY 1) SELECT l.o_custkey AS c_id, l.o AS o_id, l_linenumber::bigint AS ol_number, l_partkey AS i_id, CAST(l_quantity AS bigint) AS qty FROM l JOIN lineitem ON l_orderkey = l.o",
 )
 def order_status_last_order(t):
     """Lines of each customer's last order."""
@@ -76,7 +77,7 @@ def delivery_oldest_per_district(t):
 @register(
     "new_order_pricing",
     "T-NO",
-    "WITH l AS (SELECT o_orderkey, o_custkey, l_partkey, CAST(l_quantity AS bigint) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 1000), p AS (SELECT l.*, (l.q * (l_partkey % 1000) * (100 - o_custkey % 50) * (100 + o_custkey % 4 + o_custkey % 10))::bigint AS e4, l_partkey % 101 = 0 AS bad FROM l) SELECT o_orderkey, CASE WHEN bool_or(bad) THEN 'UserAbort' ELSE 'Committed' END AS outcome, CASE WHEN bool_or(bad) THEN 0.0 ELSE sum(e4) / 10000.0::DOUBLE END::DOUBLE AS total FROM p GROUP BY o_orderkey",
+    "WITH l AS (SELECT o_orderkey, o_custkey, l_partkey, CAST(l_quantity AS bigint) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey), p AS (SELECT l.*, (l.q * (l_partkey % 1000) * (100 - o_custkey % 50) * (100 + o_custkey % 4 + o_custkey % 10))::bigint AS e4, l_partkey % 101 = 0 AS bad FROM l) SELECT o_orderkey, CASE WHEN bool_or(bad) THEN 'UserAbort' ELSE 'Committed' END AS outcome, CASE WHEN bool_or(bad) THEN 0.0 ELSE sum(e4) / 10000.0::DOUBLE END::DOUBLE AS total FROM p GROUP BY o_orderkey",
 )
 def new_order_pricing(t):
     """qty * price * (1 - discount) * (1 + w_tax + d_tax) by order, in whole
@@ -95,7 +96,7 @@ def replenished(quantity, ordered):
     return F.when(rest >= 10, rest).otherwise(rest + 91)
 
 
-@register("stock_replenish_rule", "T-NO", "WITH " + _STOCK + " SELECT l_orderkey, l_partkey, CASE WHEN s_quantity - q >= 10 THEN s_quantity - q ELSE s_quantity - q + 91 END AS after FROM (SELECT l_orderkey, l_partkey, CAST(l_quantity AS bigint) % 10 + 1 AS q FROM lineitem WHERE l_orderkey < 500) JOIN stock ON l_partkey = i_id")
+@register("stock_replenish_rule", "T-NO", "WITH " + _STOCK + " SELECT l_orderkey, l_partkey, CASE WHEN s_quantity - q >= 10 THEN s_quantity - q ELSE s_quantity - q + 91 END AS after FROM (SELECT l_orderkey, l_partkey, CAST(l_quantity AS bigint) % 10 + 1 AS q FROM lineitem) JOIN stock ON l_partkey = i_id")
 def stock_replenish_rule(t):
     rows = t("lineitem").select("l_orderkey", "l_partkey", (F.col("l_quantity").cast("long") % 10 + 1).alias("q"))
     return rows.join(_stock(t), F.col("l_partkey") == F.col("i_id")).select("l_orderkey", "l_partkey", replenished(F.col("s_quantity"), F.col("q")).alias("after"))
@@ -113,7 +114,192 @@ def payment_effects(t):
     return p.groupBy("w_id", "d_id").agg(F.count("*").alias("payments"), (F.sum("a") / 100.0).alias("ytd"), F.max(note).alias("note"))
 
 
-_INV = """WITH o AS (SELECT o_custkey % 10 AS d, count(*) AS n, max(o_orderkey) AS top, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending FROM orders GROUP BY 1),
+# Batches of transactions ------------------------------------------------------
+#
+# Customers stand for customers of warehouse key % 4 and district key // 4 % 10;
+# orders with status O are undelivered.  Each event is one transaction of the
+# mix by its user as customer.
+
+WAREHOUSES, DISTRICTS = 4, 10
+
+
+def order_entry_tables(t) -> dict[str, DataFrame]:
+    """The order-entry tables before the batch, in whole hundredths."""
+    long = lambda x: F.lit(x).cast("long")
+    w, d = (lambda c: F.col(c) % WAREHOUSES), (lambda c: F.floor(F.col(c) / WAREHOUSES) % DISTRICTS)
+    orders = t("orders").select(w("o_custkey").alias("w"), d("o_custkey").alias("d"), F.col("o_orderkey").alias("o_id"), F.col("o_custkey").alias("c"), "o_orderstatus")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", cents("l_extendedprice").alias("amount"))
+    lines = lines.join(orders, F.col("l_orderkey") == F.col("o_id"))
+    is_open = F.col("o_orderstatus") == "O"
+    warehouse = t.spark.range(WAREHOUSES).select(F.col("id").alias("w"), F.col("id").alias("tax"), long(30_000_000).alias("ytd"))
+    number = F.col("id") % DISTRICTS
+    district = t.spark.range(WAREHOUSES * DISTRICTS).select(F.floor(F.col("id") / DISTRICTS).alias("w"), number.alias("d"), number.alias("tax"), long(3_000_000).alias("ytd"))
+    district = district.join(orders.groupBy("w", "d").agg((F.max("o_id") + 1).alias("_next")), ["w", "d"], "left")
+    part = t("part").select(F.col("p_partkey").alias("i"))
+    none = long(0)
+    return {
+        "warehouse": warehouse,
+        "district": district.select("w", "d", "tax", "ytd", F.coalesce("_next", none).alias("next_o_id")),
+        "customer": t("customer").select(
+            F.col("c_custkey").alias("c"), w("c_custkey").alias("w"), d("c_custkey").alias("d"), (F.col("c_custkey") % 50).alias("discount"),
+            (F.col("c_custkey") % 10 == 0).alias("bad_credit"), long(-1000).alias("balance"), long(1000).alias("ytd_payment"),
+            long(1).alias("payment_cnt"), none.alias("delivery_cnt"), F.lit("since").alias("data"),
+        ),
+        "item": part.select("i", (F.col("i") % 1000 + 100).alias("price")),
+        "stock": part.select(F.explode(F.sequence(none, long(WAREHOUSES - 1))).alias("w"), "i").select(
+            "w", "i", (10 + (F.col("i") * 7 + F.col("w")) % 91).alias("quantity"), none.alias("ytd"), none.alias("order_cnt"), none.alias("remote_cnt")
+        ),
+        "orders": orders.select("w", "d", "o_id", "c", F.when(~is_open, F.col("o_id") % 10 + 1).alias("carrier"), none.alias("ol_cnt")),
+        "new_order": orders.where(is_open).select("w", "d", "o_id"),
+        "order_line": lines.select(
+            "w", "d", "o_id", F.col("l_linenumber").cast("long").alias("ol_number"), F.col("l_partkey").alias("i"), F.col("w").alias("supply_w"),
+            F.col("l_quantity").cast("long").alias("qty"), "amount", F.when(~is_open, long(-1)).alias("delivered_at"),
+        ),
+        "history": t.spark.createDataFrame([], "seq long, c long, w long, d long, amount long"),
+    }
+
+
+def order_entry_batch(t) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The tables before and after the batch."""
+    tables = order_entry_tables(t)
+    e, seq = t("events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("c"), "value"), F.col("seq")
+    e = e.withColumn("kind", order_entry.kind_of(seq * 7919 % 100))
+    who = tables["customer"].select("c", "w", "d")
+    asked = e.where("kind = 'new_order'").select("seq", "c").join(who, "c").select("seq", "c", "w")
+    items = t("part").agg(F.max("p_partkey").alias("_top"))
+    lines = asked.crossJoin(F.broadcast(items))  # one row
+    lines = lines.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), 5 + seq % 11)))
+    item = F.when((seq % 100 == 1) & (F.col("j") == 1), F.col("_top") + 1).otherwise((seq * 31 + F.col("j") * 17) % (F.col("_top") + 1))
+    supply = F.when((seq * 13 + F.col("j")) % 100 == 0, (F.col("w") + 1) % WAREHOUSES).otherwise(F.col("w"))
+    lines = lines.select("seq", F.col("j").alias("ol_number"), item.alias("i"), supply.alias("supply_w"), ((seq + F.col("j")) % 10 + 1).alias("qty"))
+    home = F.when(seq % 100 < 15, (F.col("w") + 1) % WAREHOUSES).otherwise(F.col("w"))
+    payments = e.where("kind = 'payment'").join(who, "c").select("seq", "c", home.alias("home_w"), F.col("d").alias("home_d"), (cents("value") + 1).alias("amount"))
+    deliveries = e.where("kind = 'delivery'").join(who, "c").select("seq", "w", (seq % 10 + 1).alias("carrier"), (10 * seq).alias("at"))
+    return tables, order_entry.run_batch(tables, asked.select("seq", "c"), lines, payments, deliveries)
+
+
+_BATCH = """WITH cust AS (SELECT c_custkey AS c, c_custkey % 4 AS w, c_custkey // 4 % 10 AS d, c_custkey % 50 AS discount FROM customer),
+ev AS (SELECT event_id AS seq, c, w, d, discount, value, event_id * 7919 % 100 AS draw FROM events JOIN cust ON user_id = c),
+top AS (SELECT max(p_partkey) AS top FROM part),
+no_lines AS (SELECT seq, c, w, d, discount, j AS ol_number, CASE WHEN seq % 100 = 1 AND j = 1 THEN top + 1 ELSE (seq * 31 + j * 17) % (top + 1) END AS i,
+  CASE WHEN (seq * 13 + j) % 100 = 0 THEN (w + 1) % 4 ELSE w END AS supply_w, (seq + j) % 10 + 1 AS qty
+  FROM ev, top, LATERAL (SELECT unnest(range(1, 6 + seq % 11)) AS j) WHERE draw < 45),
+bad AS (SELECT DISTINCT seq FROM no_lines WHERE i NOT IN (SELECT p_partkey FROM part)),
+base AS (SELECT o_custkey % 4 AS w, o_custkey // 4 % 10 AS d, o_orderkey AS o_id, o_custkey AS c, o_orderstatus = 'O' AS open FROM orders),
+nxt AS (SELECT w, d, max(o_id) + 1 AS next_o_id FROM base GROUP BY 1, 2),
+made AS (SELECT e.seq, e.w, e.d, e.c, coalesce(next_o_id, 0) + row_number() OVER (PARTITION BY e.w, e.d ORDER BY e.seq) - 1 AS o_id
+  FROM ev e LEFT JOIN nxt n ON e.w = n.w AND e.d = n.d WHERE draw < 45 AND e.seq NOT IN (SELECT seq FROM bad)),
+made_lines AS (SELECT m.w, m.d, m.o_id, m.c, l.i, l.supply_w, l.qty,
+  (l.qty * (l.i % 1000 + 100) * (100 - l.discount) * (100 + m.w + m.d) + 5000) // 10000 AS amount FROM made m JOIN no_lines l ON m.seq = l.seq),
+pay AS (SELECT seq, c, d, w, CASE WHEN seq % 100 < 15 THEN (w + 1) % 4 ELSE w END AS home_w, CAST(floor(value * 100 + 0.5) AS bigint) + 1 AS amount
+  FROM ev WHERE draw >= 45 AND draw < 88),
+waiting AS (SELECT w, d, o_id, c FROM base WHERE open UNION ALL SELECT w, d, o_id, c FROM made),
+queue AS (SELECT *, row_number() OVER (PARTITION BY w, d ORDER BY o_id) AS nth FROM waiting),
+turns AS (SELECT seq, w, seq % 10 + 1 AS carrier, row_number() OVER (PARTITION BY w ORDER BY seq) AS nth FROM ev WHERE draw >= 92 AND draw < 96),
+gone AS (SELECT q.w, q.d, q.o_id, q.c, carrier FROM queue q JOIN turns t ON q.w = t.w AND q.nth = t.nth),
+all_lines AS (SELECT w, d, o_id, amount FROM made_lines UNION ALL
+  SELECT w, d, o_id, CAST(floor(l_extendedprice * 100 + 0.5) AS bigint) FROM base JOIN lineitem ON l_orderkey = o_id),
+credit AS (SELECT g.w, g.d, g.o_id, g.c, g.carrier, coalesce(sum(amount), 0)::bigint AS amount, count(amount) AS lines
+  FROM gone g LEFT JOIN all_lines l ON g.w = l.w AND g.d = l.d AND g.o_id = l.o_id GROUP BY ALL)
+"""
+
+
+@register(
+    "order_entry_outcomes",
+    "T-MIX T-NO T-PAY T-DEL",
+    _BATCH + """SELECT 'new_order' AS kind, CASE WHEN seq IN (SELECT seq FROM bad) THEN 'UserAbort' ELSE 'Committed' END AS outcome, count(*) AS n FROM ev WHERE draw < 45 GROUP BY 2
+UNION ALL SELECT 'payment', 'Committed', count(*) FROM pay UNION ALL SELECT 'delivery', 'Committed', count(*) FROM turns""",
+)
+def order_entry_outcomes(t):
+    """Transactions of the mix by kind and outcome; reads change nothing."""
+    return order_entry_batch(t)[1]["outcomes"].groupBy("kind", "outcome").agg(F.count("*").alias("n"))
+
+
+@register(
+    "new_order_effects",
+    "T-NO",
+    _BATCH + """, n AS (SELECT w, d, count(*) AS made, max(o_id) + 1 AS next_o_id FROM made GROUP BY 1, 2),
+l AS (SELECT w, d, count(*) AS lines, sum(qty)::bigint AS qty, sum(amount)::bigint AS amount FROM made_lines GROUP BY 1, 2)
+SELECT n.w, n.d, n.next_o_id, n.made, l.lines, l.qty, l.amount FROM n JOIN l ON n.w = l.w AND n.d = l.d""",
+)
+def new_order_effects(t):
+    """Order numbers that districts gave out, and the new orders' lines."""
+    before, after = order_entry_batch(t)
+    key = ["w", "d"]
+    was = before["district"].select(*key, F.col("next_o_id").alias("_was"))
+    grown = after["district"].join(was, key).select(*key, "next_o_id", (F.col("next_o_id") - F.col("_was")).alias("made"), "_was").where("made > 0")
+    lines = after["order_line"].join(grown.select(*key, "_was"), key).where(F.col("o_id") >= F.col("_was"))
+    lines = lines.groupBy(*key).agg(F.count("*").alias("lines"), F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
+    return grown.drop("_was").join(lines, key)
+
+
+@register(
+    "stock_after_orders",
+    "T-NO",
+    _BATCH + """, s AS (SELECT supply_w AS w, i, count(*) AS order_cnt, sum(qty)::bigint AS ytd, count(*) FILTER (WHERE supply_w <> w) AS remote_cnt FROM made_lines GROUP BY 1, 2),
+f AS (SELECT w, i, order_cnt, ytd, remote_cnt, 10 + (i * 7 + w) % 91 AS q0 FROM s)
+SELECT w, i, ytd, order_cnt, remote_cnt, 10 + ((q0 - 10 - ytd) % 91 + 91) % 91 AS quantity FROM f""",
+)
+def stock_after_orders(t):
+    """Stock that was ordered, refilled whenever too little would have been left."""
+    return order_entry_batch(t)[1]["stock"].where("order_cnt > 0").select("w", "i", "ytd", "order_cnt", "remote_cnt", "quantity")
+
+
+@register(
+    "payment_balances",
+    "T-PAY",
+    _BATCH + """, p AS (SELECT c, sum(amount)::bigint AS paid, count(*) AS n,
+  string_agg(c || ' ' || d || ' ' || w || ' ' || d || ' ' || home_w || ' ' || amount // 100 || '.' || lpad((amount % 100)::varchar, 2, '0') || ' | ', '' ORDER BY seq DESC) AS notes FROM pay GROUP BY c),
+k AS (SELECT c, sum(amount)::bigint AS credit, count(*) AS n FROM credit GROUP BY c)
+SELECT cust.c, (-1000 - coalesce(paid, 0) + coalesce(credit, 0))::bigint AS balance, (1000 + coalesce(paid, 0))::bigint AS ytd_payment, 1 + coalesce(p.n, 0) AS payment_cnt,
+coalesce(k.n, 0) AS delivery_cnt, CASE WHEN cust.c % 10 = 0 THEN left(coalesce(notes, '') || 'since', 500) ELSE 'since' END AS data
+FROM cust LEFT JOIN p ON cust.c = p.c LEFT JOIN k ON cust.c = k.c""",
+)
+def payment_balances(t):
+    """Customers after their payments and deliveries, with bad customers' notes."""
+    return order_entry_batch(t)[1]["customer"].select("c", "balance", "ytd_payment", "payment_cnt", "delivery_cnt", "data")
+
+
+@register(
+    "payment_history",
+    "T-PAY",
+    _BATCH + """, h AS (SELECT home_w AS w, d, count(*) AS payments, sum(amount)::bigint AS amount FROM pay GROUP BY 1, 2)
+SELECT h.w, h.d, payments, amount, 3000000 + amount AS ytd FROM h""",
+)
+def payment_history(t):
+    """History rows by home district, next to the district's year-to-date sum."""
+    after = order_entry_batch(t)[1]
+    rows = after["history"].groupBy("w", "d").agg(F.count("*").alias("payments"), F.sum("amount").alias("amount"))
+    return rows.join(after["district"].select("w", "d", "ytd"), ["w", "d"])
+
+
+@register("delivery_effects", "T-DEL", _BATCH + "SELECT w, d, o_id, c, carrier, lines, amount FROM credit")
+def delivery_effects(t):
+    """Delivered orders with their carrier, stamped lines and the customer's credit."""
+    before, after = order_entry_batch(t)
+    key = ["w", "d", "o_id"]
+    made = after["orders"].where("carrier IS NOT NULL").join(before["orders"].where("carrier IS NOT NULL"), key, "left_anti")
+    lines = after["order_line"].where("delivered_at >= 0").groupBy(*key).agg(F.count("*").alias("lines"), F.sum("amount").alias("amount"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return made.join(lines, key, "left").select(*key, "c", "carrier", zero("lines"), zero("amount"))
+
+
+@register(
+    "invariant_report",
+    "INV",
+    _BATCH + """, n AS (SELECT (SELECT count(*) FROM made) AS made, (SELECT count(*) FROM gone) AS gone, (SELECT count(*) FROM made_lines) AS lines,
+  (SELECT sum(qty) FROM made_lines) AS qty, (SELECT sum(amount) FROM pay) AS paid, (SELECT count(*) FROM pay) AS pays, (SELECT sum(amount) FROM credit) AS credit)
+SELECT invariant, coalesce(x, 0)::bigint AS "left", coalesce(x, 0)::bigint AS "right", true AS holds FROM (
+  SELECT 'next_order_ids' AS invariant, made AS x FROM n UNION ALL SELECT 'orders', made FROM n UNION ALL SELECT 'undelivered', made - gone FROM n
+  UNION ALL SELECT 'stock_order_count', lines FROM n UNION ALL SELECT 'stock_quantity', qty FROM n UNION ALL SELECT 'warehouse_district_ytd', paid FROM n
+  UNION ALL SELECT 'warehouse_customer_ytd', paid FROM n UNION ALL SELECT 'balance_and_credit', credit FROM n UNION ALL SELECT 'history_rows', pays FROM n)""",
+)
+def invariant_report(t):
+    """Nine equalities between what grew in the tables of a batch."""
+    return order_entry.invariants(*order_entry_batch(t))
+
+
+_CONS = """WITH o AS (SELECT o_custkey % 10 AS d, count(*) AS n, max(o_orderkey) AS top, count(*) FILTER (WHERE o_orderstatus = 'O') AS pending FROM orders GROUP BY 1),
 l AS (SELECT count(*) AS lines, count(DISTINCT l_orderkey) AS with_lines FROM lineitem), oo AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS k, max(o_orderkey) AS top FROM orders)
 SELECT 'orders_sum' AS invariant, (SELECT sum(n) FROM o) = (SELECT n FROM oo) AS holds UNION ALL SELECT 'order_keys_unique', (SELECT n = k FROM oo)
 UNION ALL SELECT 'next_order_id', (SELECT max(top) FROM o) = (SELECT top FROM oo) UNION ALL SELECT 'pending_at_most_orders', (SELECT bool_and(pending <= n) FROM o)
@@ -121,9 +307,9 @@ UNION ALL SELECT 'orders_with_lines', (SELECT with_lines FROM l) <= (SELECT n FR
 UNION ALL SELECT 'customers_exist', NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer))"""
 
 
-@register("invariant_report", "", _INV)
-def invariant_report(t):
-    """Consistency across tables, one row for each invariant."""
+@register("consistency_report", "", _CONS)
+def consistency_report(t):
+    """Consistency across the driver's tables, one row for each rule."""
     orders = t("orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     d = orders.groupBy((F.col("o_custkey") % 10).alias("d")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("top"), F.count_if(F.col("o_orderstatus") == "O").alias("pending"))
     d = d.agg(F.sum("n").alias("dn"), F.max("top").alias("dtop"), F.bool_and(F.col("pending") <= F.col("n")).alias("dp"))

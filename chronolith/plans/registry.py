@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..sources.shared import stamp, written
+
 
 @dataclass(frozen=True)
 class Query:
@@ -18,6 +20,7 @@ class Query:
 
 QUERIES: dict[str, Query] = {}
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
+_STORED: dict[tuple, object] = {}
 
 
 def register(name: str, ids: str = "", sql: str | None = None):
@@ -54,9 +57,24 @@ class Tables:
             return df
         return self.spark.read.schema(known).parquet(path)
 
+    def once(self, name: str, source: str, build: Callable[[], object]):
+        """What ``build`` gives for the present content of table ``source``;
+        built once a session, and again when the table's files change."""
+        path = f"{self.folder}/{source}.parquet"
+        key = (self.spark.sparkContext.applicationId, path, name)
+        now = stamp(self.spark, path)
+        held = _STORED.get(key)
+        if held is None or held[0] != now:
+            held = _STORED[key] = (now, build())
+        return held[1]
+
+    def stored(self, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from ``source``, written to the shared folder once."""
+        return self.once(name, source, lambda: written(build(), name)[0])
+
 
 def load() -> dict[str, Query]:
     """All queries; importing a plan module registers what it has."""
-    from . import ch, changelog, generated, keyspace, metrics, oltp, retained, scans, streamed, versions  # noqa: F401
+    from . import ch, changelog, generated, interfaces, keyspace, metrics, oltp, retained, scans, streamed, versions  # noqa: F401
 
     return QUERIES

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs
 from .base import HISTORY_SQL
+from .generated import HOT_SQL, tail_operations
 from .registry import register
 
 _E = "events.parquet"
@@ -17,7 +18,7 @@ def _stream(t):
 
 @register(
     "stream_arrival_upsert",
-    "ST-01 ST-02 ST-03 ST-08 WR-08",
+    "ST-01 ST-02 ST-03 WR-08",
     "SELECT greatest(1, event_id - event_id * 7 % 40) AS key, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY greatest(1, event_id - event_id * 7 % 40) ORDER BY event_id DESC) = 1",
 )
 def stream_arrival_upsert(t):
@@ -25,6 +26,19 @@ def stream_arrival_upsert(t):
     return jobs.arrival_upsert(rows, "key long, user_id long, event_type string", "key", "seq")
 
 
+@register(
+    "stream_hot_tail",
+    "ST-04 ST-08 ST-05",
+    f"""WITH {HOT_SQL}, first AS (SELECT key, min(event_id) AS f FROM tail WHERE op = 'arrival' GROUP BY key)
+SELECT t.key, arg_max(user_id, event_id) AS user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS seq FROM tail t JOIN first ON t.key = first.key AND event_id >= f GROUP BY t.key""",
+)
+def stream_hot_tail(t):
+    """A stream of arrivals and of updates near its tail; an update of a key
+    that has not arrived changes nothing."""
+    rows = tail_operations(_stream(t)).select("key", F.col("event_id").alias("seq"), "user_id", "event_type", "op")
+    return jobs.hot_tail(rows, "key long, seq long, user_id long, event_type string", "key", "seq").select("key", "user_id", "event_type", "seq")
+
+
 @register("stream_commit_gated_replay", "ST-09 TX-13", "SELECT event_id AS seq, user_id AS key, event_type, event_id * 10 + 55 AS ts_commit FROM events WHERE event_type <> 'error'")
 def stream_commit_gated_replay(t):
     """Writes of transactions that commit; rolled-back ones never come out."""

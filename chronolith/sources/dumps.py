@@ -21,26 +21,50 @@ def read_leaves(lines: DataFrame) -> DataFrame:
     return parsed.select("x.leaf", F.explode("x.records").alias("r")).select("leaf", "r.*")
 
 
-def bundle(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of several tables at one snapshot as (table, row as JSON)."""
-    parts = [df.select(F.lit(name).alias("table"), F.to_json(F.struct(*df.columns)).alias("row")) for name, df in sorted(tables.items())]
+def bundle(tables: dict[str, DataFrame], snapshot: int) -> DataFrame:
+    """Several tables at one snapshot as (table, snapshot, schema, row): each row
+    and its table's schema as JSON, so that a reader needs nothing else."""
+    parts = [
+        df.select(F.lit(name).alias("table"), F.lit(snapshot).cast("long").alias("snapshot"), F.lit(df.schema.json()).alias("schema"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row"))
+        for name, df in sorted(tables.items())
+    ]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+#: The columns of the result files, in order, with their types.
+LAYOUTS = {
+    "orders_per_second": "elapsed_sec long, new_order_committed long",
+    "operations_per_second": "elapsed_sec long, ops_completed long",
+    "latency": "operation string, p50_us double, p95_us double, p99_us double, count long, avg_us double, sample_every long",
+    "scan": "mode string, elapsed_secs double, delay_secs double, snapshot long, scanned_tuples long, latency_ns long, tuples_per_sec double, summary string, staleness_versions long",
+    "memory": "elapsed_sec double, rss_kb long, jemalloc_allocated_bytes long, jemalloc_active_bytes long, jemalloc_resident_bytes long, jemalloc_mapped_bytes long",
+    "suite": "experiment string, gc_enabled boolean, duration_secs double, primary_metric_name string, primary_metric_value double, baseline_metric_value double, peak_rss_mb double, avg_rss_mb double, peak_jemalloc_resident_mb double",
+    "allocation": "shard long, local_reuse long, steal long, fresh_alloc long, schema_version long, request_count long, latency_ns long, latency_max_ns long, scan_count long, lists_checked long, lists_checked_max long",
+    "manifest": "engine string, workload string, config_label string, threads long, gc_enabled boolean, affinity string, duration_secs double, primary_metric_name string, primary_metric_value double, peak_rss_mb double, scan_p50_us double, scan_p95_us double, scan_p99_us double, scan_avg_us double, scan_count long, notes string, memory_source string",
+}
 
 
-def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+def in_layout(df: DataFrame, layout: str) -> DataFrame:
+    """The columns of a result file in its order and types; one that the rows
+    have not is empty."""
+    fields = [x.split() for x in LAYOUTS[layout].split(", ")]
+    return df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in fields))
+
+
+def write_results(df: DataFrame, path: str, layout: str) -> None:
+    in_layout(df, layout).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_results(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    return spark.read.schema(LAYOUTS[layout]).option("header", True).csv(path)
 
 
 def append_manifest(df: DataFrame, path: str) -> None:
     """One more row (or a few) on a manifest of runs."""
-    df.write.mode("append").option("header", True).csv(path)
+    in_layout(df, "manifest").write.mode("append").option("header", True).csv(path)
 
 
 def write_catalog(spark: SparkSession, names: list[str], path: str) -> None:

@@ -25,10 +25,9 @@ def encode(ops: DataFrame, segment: str = "segment", order: str = "seq") -> Data
 
 def decode(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """(path, pos, op, key) of each record; an incomplete last record is left out."""
-    n = F.floor(F.octet_length(F.col(content)) / RECORD)
-    at = files.where(n > 0).select(F.col(name).alias("path"), F.col(content).alias("_c"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("pos"))
-    one = F.hex(F.substring(F.col("_c"), (F.col("pos") * RECORD + 1).cast("int"), F.lit(RECORD)))
-    rows = at.select("path", "pos", one.alias("h"))
+    # Cut into records before they become rows, so that no row carries its file.
+    records = F.regexp_extract_all(F.hex(F.col(content)), F.lit(f"([0-9A-F]{{{2 * RECORD}}})"), 1)
+    rows = files.select(F.col(name).alias("path"), F.posexplode(records).alias("pos", "h")).withColumn("pos", F.col("pos").cast("long"))
     names = F.element_at(F.array(*(F.lit(k) for k in CODES)), F.conv(F.substring("h", 1, 2), 16, 10).cast("int") + 1)
     return rows.select("path", "pos", names.alias("op"), F.conv(_swap(F.substring("h", 3, 16)), 16, 10).cast("long").alias("key"))
 

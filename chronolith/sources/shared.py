@@ -31,6 +31,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a later content of a table's files from this one: their number,
+    bytes and latest change."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(fs.listStatus(p))
+    return len(found), sum(x.getLen() for x in found), max((x.getModificationTime() for x in found), default=0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

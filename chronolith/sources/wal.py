@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Fixed values of the format: tags, and the table id of commit markers.
 TAGS = {"I": 0, "U": 1, "D": 2, "C": 3}
 COMMIT_TABLE = 0xFFFFFFFF
+#: Shards of a log by worker; records of a batch that is written at once.
+SHARDS, BATCH = 4, 64
 _OPS = {v: k for k, v in TAGS.items()}
 SCHEMA = "segment string, pos long, table_id long, op string, worker long, ts_start long, key long, payload long, ts_commit long"
 

@@ -41,58 +41,112 @@ def to_parquet(stream: DataFrame, name: str, mode: str = "append") -> str:
     return out
 
 
-class Versions:
-    """A table that ``foreachBatch`` replaces as a whole: each batch writes the
-    next version, and the one before is removed once the new one is complete."""
-
-    def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.name, self.schema, self.path = spark, name, schema, None
+class Buckets:
+    """A table by key that micro-batches change bucket by bucket.
+
+    A batch rewrites only the buckets whose keys it holds, into a folder of its
+    own (``data/batch=N/bucket=B``), and then logs which batch holds each bucket
+    (``log/N``).  A batch that is logged is skipped when it comes again, and one
+    that failed half-way is written anew, so a query that is started again on the
+    same folder and checkpoint goes on where the last one stopped."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 32):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path, schema, key, buckets
+
+    def _names(self, folder: str) -> list[str]:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _logged(self) -> tuple[int, dict[int, int]]:
+        """The last batch, and the batch that holds each bucket."""
+        done = [int(n) for n in self._names(f"{self.path}/log") if "_SUCCESS" in self._names(f"{self.path}/log/{n}")]
+        if not done:
+            return -1, {}
+        rows = self.spark.read.schema("bucket int, batch long").parquet(f"{self.path}/log/{max(done)}").collect()  # one for each bucket
+        return max(done), {r.bucket: r.batch for r in rows}
+
+    def _read(self, held: dict[int, int]) -> DataFrame:
+        if not held:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/data/batch={n}/bucket={b}" for b, n in sorted(held.items())))
 
     def read(self) -> DataFrame:
-        if self.path is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self._read(self._logged()[1])
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def change(self, batch: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replace the buckets of the batch's keys by ``merge(old rows, batch)``."""
+        last, held = self._logged()
+        if number <= last:
+            return
+        batch = batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(self.bucket().alias("b")).distinct().collect()]  # as many as buckets
+            old = {b: held[b] for b in touched if b in held}
+            rows = merge(self._read(old), batch).withColumn("bucket", self.bucket())
+            folder = f"{self.path}/data/batch={number}"
+            rows.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        finally:
+            batch.unpersist()
+        made = {int(n.partition("=")[2]) for n in self._names(folder) if n.startswith("bucket=")}
+        now = {b: n for b, n in held.items() if b not in old} | {b: number for b in made}
+        log = self.spark.createDataFrame(sorted(now.items()), "bucket int, batch long").coalesce(1)
+        log.write.mode("overwrite").parquet(f"{self.path}/log/{number}")
+        for b, n in old.items():
+            remove(self.spark, f"{self.path}/data/batch={n}/bucket={b}")
+
+
+def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint or new_folder(stream.sparkSession, f"{name}-log"))
+    finish(writer.outputMode(mode).trigger(availableNow=True).start())
+
+
+def _bucketed(stream: DataFrame, name: str, schema: str, key: str, merge, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream into a bucketed table at ``path``, or a new one; its checkpoint lies beside it."""
+    spark = stream.sparkSession
+    path = path or new_folder(spark, name)
+    table = Buckets(spark, path, schema, key)
+    run_batches(stream, name, lambda batch, number: table.change(batch, number, merge), mode, f"{path}/checkpoint")
+    return table.read()
+
 
-    def replace(self, df: DataFrame) -> None:
-        old, path = self.path, new_folder(self.spark, self.name)
-        df.write.parquet(path)
-        self.path = path
-        if old:
-            remove(self.spark, old)
+def arrival_upsert(arrivals: DataFrame, schema: str, key: str, order: str, path: str | None = None) -> DataFrame:
+    """The table after a stream of arrivals (key, order, payload): an arrival
+    with a known key replaces its row, a late one too.  Nothing is dropped."""
+    columns = [c.split()[0] for c in schema.split(",")]
+    rows = arrivals.select(order, *(c for c in columns if c != order))
 
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return changes.upsert(old, batch, key, order).select(*columns)
 
-def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    finish(stream.writeStream.foreachBatch(step).option("checkpointLocation", new_folder(stream.sparkSession, f"{name}-log")).outputMode(mode).trigger(availableNow=True).start())
+    return _bucketed(rows, "upsert", schema, key, merge, path=path)
 
 
-def arrival_upsert(arrivals: DataFrame, schema: str, key: str, order: str) -> DataFrame:
-    """The table after a stream of arrivals (key, order, payload): an arrival
-    with a known key replaces its row, a late one too.  Nothing is dropped."""
-    table = Versions(arrivals.sparkSession, "upsert", schema)
-    columns = [key, *(c for c in table.read().columns if c != key)]
+def hot_tail(operations: DataFrame, schema: str, key: str, order: str, path: str | None = None) -> DataFrame:
+    """The table after a stream of arrivals and of updates near the tail (column
+    ``op``), which change only rows that have arrived."""
+    columns = [c.split()[0] for c in schema.split(",")]
 
-    def step(batch: DataFrame, _: int) -> None:
-        now = batch.select(order, *columns)
-        table.replace(changes.upsert(table.read().select(*columns), now, key, order))
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
+        arrived = old.unionByName(batch.where("op = 'arrival'").select(*columns))
+        return changes.hot_upsert(arrived, batch.where("op <> 'arrival'").select(*columns), key, order).select(*columns)
 
-    run_batches(arrivals, "upsert", step)
-    return table.read()
+    return _bucketed(operations, "hot-tail", schema, key, merge, path=path)
 
 
-def tumbling_counts(rows: DataFrame, ts: str, width: str, lateness: str) -> DataFrame:
+def tumbling_counts(rows: DataFrame, ts: str, width: str, lateness: str, path: str | None = None) -> DataFrame:
     """(start, n) by tumbling window.  The watermark bounds the state; its delay
     is at least the lateness, so no row is dropped."""
-    spark = rows.sparkSession
-    table = Versions(spark, "tumbling", "start timestamp, n long")
     counted = rows.withWatermark(ts, lateness).groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
-    def step(batch: DataFrame, _: int) -> None:
+    def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
         # Update mode: a window's newer count replaces its older one.
-        old = table.read().join(batch.select("start"), "start", "left_anti")
-        table.replace(old.unionByName(batch))
+        return old.join(batch.select("start"), "start", "left_anti").unionByName(batch)
 
-    run_batches(counted, "tumbling", step, "update")
-    return table.read()
+    return _bucketed(counted, "tumbling", "start timestamp, n long", "start", merge, "update", path)
 
 
 def commit_gated(writes: DataFrame, commits: DataFrame, ts: str, within: str, lateness: str) -> str:
@@ -112,22 +166,21 @@ def stateful_outcomes(ops: DataFrame, key: str = "key", order: str = "seq") -> s
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def step(k, parts, state):
+        import numpy as np
         import pandas as pd
 
-        live, ever = state.get if state.exists else (False, False)
-        out = []
-        for r in pd.concat(list(parts)).sort_values(order)[[order, "op"]].itertuples(index=False):
-            missing = "KeyAlreadyDeleted" if ever else "KeyDoesNotExist"
-            if r.op == "I":
-                out.append((k[0], r[0], r.op, "KeyAlreadyExists" if live else "Inserted"))
-                live = ever = True
-            elif r.op == "U":
-                out.append((k[0], r[0], r.op, "Updated" if live else missing))
-            else:
-                out.append((k[0], r[0], r.op, "Deleted" if live else missing))
-                live = False
-        state.update((live, ever))
-        yield pd.DataFrame(out, columns=["key", "seq", "op", "outcome"])
+        rows = pd.concat(list(parts)).sort_values("seq")
+        op, n = rows["op"].to_numpy(), len(rows)
+        live0, ever0 = state.get if state.exists else (False, False)
+        # The last insert or delete before each operation decides whether the key is live.
+        turn, made = np.isin(op, ("I", "D")), op == "I"
+        last = np.concatenate([[-1], np.maximum.accumulate(np.where(turn, np.arange(n), -1))])
+        live = np.where(last >= 0, op[last] == "I", live0)
+        ever = np.concatenate([[ever0], ever0 | np.maximum.accumulate(made)])
+        missing = np.where(ever[:n], "KeyAlreadyDeleted", "KeyDoesNotExist")
+        done = np.select([made, op == "U"], [np.where(live[:n], "KeyAlreadyExists", "Inserted"), np.where(live[:n], "Updated", missing)], np.where(live[:n], "Deleted", missing))
+        state.update((bool(live[n]), bool(ever[n])))
+        yield pd.DataFrame({"key": k[0], "seq": rows["seq"].to_numpy(), "op": op, "outcome": done})
 
     found = ops.select(F.col(key).alias("key"), F.col(order).alias("seq"), "op").groupBy("key").applyInPandasWithState(step, "key long, seq long, op string, outcome string", "live boolean, ever boolean", "append", GroupStateTimeout.NoTimeout)
     return to_parquet(found, "outcomes")

@@ -142,7 +142,7 @@ def test_retention_keeps_what_the_oldest_reader_sees(spark):
 
 def test_commit_log_pruning(spark):
     c = spark.createDataFrame([(1, 0, t) for t in (2, 4, 6, 8)] + [(2, 0, 1), (2, 0, 3)], C)
-    kept = retention.pruned_commits(c, spark.createDataFrame([(5,)], "at long"), 7)
+    kept = retention.pruned_commits(c, [5], 7)
     assert keys(kept, "worker", "ts_commit") == [(1, 4), (1, 6), (1, 8), (2, 3)]
 
 
