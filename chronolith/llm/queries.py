@@ -83,21 +83,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = tuple(url_filter.Rule(*x) for x in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")))
-#: Words of host names that stand for a public block list of hosts.
-LISTED_WEIGHT = 20
-BAD_HOST_WORDS = ("ads", "adult", "bet", "bets", "casino", "gambling", "lottery", "malware", "phishing", "pills", "porn", "spam", "viagra", "warez", "xxx")
-
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's number in its path is its document's id, whose label is the
-    page's; URLs of hosts with a word of the block list are labelled bad, each
-    as often as LISTED_WEIGHT pages."""
+    """A page's number in its path is its document's id, whose label is the page's."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
-    bad = labels.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("_bad"))
-    pages = pages.select("page_id", "url", F.expr("try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)[^/?#]*/?(?:[?#]|$)', 1) AS bigint)").alias("_number"))
+    is_bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    bad = labels.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(is_bad).alias("_bad"))
+    number = "try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)[^/?#]*/?(?:[?#]|$)', 1) AS bigint)"
+    pages = pages.select("page_id", "url", F.expr(number).alias("_number"))
     pages = pages.join(bad, F.col("_number") == F.col("_doc"), "left")
-    listed = F.arrays_overlap(F.split(F.col("_host"), "[.-]"), F.array(*map(F.lit, BAD_HOST_WORDS)))
-    found = url_filter.judge(pages, RULES, F.when(listed, F.lit(True)).otherwise(F.col("_bad") == 1), F.when(listed, LISTED_WEIGHT).otherwise(1))
+    found = url_filter.judge(pages, RULES, F.col("_bad") == 1)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -124,39 +119,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+
 def _url_filter_sql() -> str:
     """The template tree level by level; constants are the operator's own."""
     u = url_filter
-    words = ", ".join(f"'{w}'" for w in BAD_HOST_WORDS)
     rules = sorted(RULES, key=lambda r: -len(r.text))
-    rule = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.text}'" for r in rules)
+    fits = "WHEN (y.host = '{r.host}' OR ends_with(y.host, '.{r.host}')) AND starts_with(y.path, '{r.path}') THEN '{r.text}'"
+    rule = " ".join(fits.format(r=r) for r in rules)
     verdict = " ".join(f"WHEN '{r.text}' THEN '{r.verdict}'" for r in rules)
     variable = r"^(?:[0-9]+|[0-9a-fA-F]{8,}|[0-9]{4}-[0-9]{2}(?:-[0-9]{2})?|[0-9a-fA-F-]{32,36})(\.[A-Za-z0-9]{1,5})?$"
     steps = [
         "a AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages)",
-        f"b AS (SELECT page_id, url, coalesce(translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a)",
+        f"""b AS (SELECT page_id, url, coalesce(translate(regexp_extract(r, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host,
+ coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a)""",
         "lab AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
         "num AS (SELECT *, try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)[^/?#]*/?(?:[?#]|$)', 1) AS bigint) AS number FROM b)",
-        f"lst AS (SELECT num.*, lab.bad AS doc_bad, list_has_any(string_split_regex(host, '[.-]'), [{words}]) AS listed FROM num LEFT JOIN lab ON number = doc_id)",
-        f"seg AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{variable}') THEN '{u.WILDCARD}' || regexp_extract(x, '{variable}', 1) ELSE x END) AS parts FROM lst)",
-        f"typ AS (SELECT *, CASE WHEN len(parts) > {u.LEVELS} THEN parts[1 : {u.LEVELS - 1}] || [array_to_string(parts[{u.LEVELS} :], '/')] ELSE parts END AS typed, CASE WHEN listed THEN true ELSE doc_bad = 1 END AS bad, CASE WHEN listed THEN {LISTED_WEIGHT} ELSE 1 END AS w FROM seg)",
-        "t0 AS (SELECT host, typed, typed AS t, count(*) AS n, coalesce(sum(w) FILTER (WHERE bad IS NOT NULL), 0) AS k, coalesce(sum(w) FILTER (WHERE bad), 0) AS b FROM typ GROUP BY host, typed)",
+        "lst AS (SELECT num.*, lab.bad = 1 AS bad FROM num LEFT JOIN lab ON number = doc_id)",
+        f"""seg AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+ lambda x: CASE WHEN regexp_matches(x, '{variable}') THEN '{u.WILDCARD}' || regexp_extract(x, '{variable}', 1) ELSE x END) AS parts FROM lst)""",
+        f"""typ AS (SELECT *, CASE WHEN len(parts) > {u.LEVELS}
+ THEN parts[1 : {u.LEVELS - 1}] || [array_to_string(parts[{u.LEVELS} :], '/')] ELSE parts END AS typed FROM seg)""",
+        """t0 AS (SELECT host, typed, typed AS t, count(*) AS n, count(*) FILTER (WHERE bad IS NOT NULL) AS k,
+ count(*) FILTER (WHERE bad) AS b FROM typ GROUP BY host, typed)""",
     ]
     now = "t0"
     for d in range(u.LEVELS):
         steps += [
             f"kid{d} AS (SELECT host, t[1 : {d}] AS h, t[{d + 1}] AS c, sum(n) AS n FROM {now} WHERE len(t) > {d} GROUP BY 1, 2, 3)",
             f"many{d} AS (SELECT host, h FROM kid{d} GROUP BY 1, 2 HAVING count(*) > {u.CHILDREN} AND sum(n) < {u.RECURS} * count(*))",
-            f"g{d} AS (SELECT x.host, typed, n, k, b, CASE WHEN m.host IS NOT NULL THEN t[1 : {d}] || ['{u.WILDCARD}'] || t[{d + 2} :] ELSE t END AS t FROM {now} x LEFT JOIN many{d} m ON x.host = m.host AND len(t) > {d} AND t[1 : {d}] = m.h)",
+            f"""g{d} AS (SELECT x.host, typed, n, k, b, CASE WHEN m.host IS NOT NULL
+ THEN t[1 : {d}] || ['{u.WILDCARD}'] || t[{d + 2} :] ELSE t END AS t
+ FROM {now} x LEFT JOIN many{d} m ON x.host = m.host AND len(t) > {d} AND t[1 : {d}] = m.h)""",
         ]
         now = f"g{d}"
     for d in reversed(range(u.LEVELS)):
         steps += [
-            f"s{d} AS (SELECT *, (b + {u.PRIOR * u.SMOOTHING}::DOUBLE) / (k + {u.SMOOTHING}::DOUBLE) AS p FROM (SELECT host, t[1 : {d}] || [''] || t[{d + 2} :] AS o, t[{d + 1}] AS c, sum(k)::DOUBLE AS k, sum(b)::DOUBLE AS b FROM {now} WHERE len(t) > {d} GROUP BY 1, 2, 3))",
-            f"l{d} AS (SELECT *, k + 1.0 AS k1, b + 0.5 AS b1, lag(k) OVER o1 + 1.0 AS k2, lag(b) OVER o1 + 0.5 AS b2 FROM s{d} WINDOW o1 AS (PARTITION BY host, o ORDER BY p, c))",
-            f"z{d} AS (SELECT *, sum(CASE WHEN abs(b1 / k1 - b2 / k2) / sqrt((b1 + b2) / (k1 + k2) * (1 - (b1 + b2) / (k1 + k2)) * (1 / k1 + 1 / k2)) > {u.SAME_Z} THEN 1 ELSE 0 END) OVER (PARTITION BY host, o ORDER BY p, c ROWS UNBOUNDED PRECEDING) AS g FROM l{d})",
-            f"n{d} AS (SELECT host, o, c, CASE WHEN count(*) OVER (PARTITION BY host, o, g) > 1 THEN '{{' || min(c) OVER (PARTITION BY host, o, g) || '+}}' ELSE c END AS name FROM z{d})",
-            f"m{d} AS (SELECT x.host, typed, n, k, b, CASE WHEN y.name IS NOT NULL THEN t[1 : {d}] || [y.name] || t[{d + 2} :] ELSE t END AS t FROM {now} x LEFT JOIN n{d} y ON x.host = y.host AND len(t) > {d} AND y.o = t[1 : {d}] || [''] || t[{d + 2} :] AND y.c = t[{d + 1}])",
+            f"""s{d} AS (SELECT host, t[1 : {d}] || [''] || t[{d + 2} :] AS o, t[{d + 1}] AS c, sum(k)::DOUBLE AS k, sum(b)::DOUBLE AS b
+ FROM {now} WHERE len(t) > {d} GROUP BY 1, 2, 3)""",
+            f"""r{d} AS (SELECT *, k + 1.0 AS k1, b + 0.5 AS b1, sum(k) OVER p AS ka, sum(k) OVER p - k + 1.0 AS k2,
+ sum(b) OVER p - b + 0.5 AS b2, count(*) OVER p AS kids FROM s{d} WINDOW p AS (PARTITION BY host, o))""",
+            f"""n{d} AS (SELECT host, o, c FROM r{d} WHERE kids > 1 AND NOT (k > 0 AND k < ka AND abs(b1 / k1 - b2 / k2)
+ / sqrt((b1 + b2) / (k1 + k2) * (1 - (b1 + b2) / (k1 + k2)) * (1 / k1 + 1 / k2)) > {u.SAME_Z}))""",
+            f"""m{d} AS (SELECT x.host, typed, n, k, b, CASE WHEN y.c IS NOT NULL THEN t[1 : {d}] || ['{u.ALIKE}'] || t[{d + 2} :] ELSE t END AS t
+ FROM {now} x LEFT JOIN n{d} y ON x.host = y.host AND len(t) > {d} AND y.o = t[1 : {d}] || [''] || t[{d + 2} :] AND y.c = t[{d + 1}])""",
         ]
         now = f"m{d}"
     smooth, prior = f"{u.SMOOTHING}::DOUBLE", f"{u.SMOOTHING * u.PRIOR}::DOUBLE"
@@ -164,7 +169,8 @@ def _url_filter_sql() -> str:
         f"tot AS (SELECT host, t, sum(k)::DOUBLE AS k, sum(b)::DOUBLE AS b FROM {now} GROUP BY 1, 2)",
         f"hst AS (SELECT host, (sum(b) + {prior}) / (sum(k) + {smooth}) AS p FROM tot GROUP BY 1)",
         f"jdg AS (SELECT tot.host, t, 1.0 - (b + {smooth} * p) / (k + {smooth}) AS purity FROM tot JOIN hst ON tot.host = hst.host)",
-        f"fin AS (SELECT y.page_id, y.host, y.path, purity, CASE {rule.replace('host', 'y.host').replace('path', 'y.path')} END AS rule FROM typ y JOIN {now} x ON y.host = x.host AND y.typed = x.typed JOIN jdg ON x.host = jdg.host AND x.t = jdg.t)",
+        f"""fin AS (SELECT y.page_id, y.host, y.path, purity, CASE {rule} END AS rule
+ FROM typ y JOIN {now} x ON y.host = x.host AND y.typed = x.typed JOIN jdg ON x.host = jdg.host AND x.t = jdg.t)""",
     ]
     return "WITH " + ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN purity <= 1.0 - {u.REJECTED}::DOUBLE THEN 'block' ELSE 'allow' END END AS verdict FROM fin"
 

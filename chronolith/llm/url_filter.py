@@ -3,7 +3,8 @@ r"""URL filtering by a tree of path templates, under a short list of rules.
 A URL's path is cut into segments.  Numbers, hexadecimal names, dates and the
 like become wildcards at once; a branching point with many children, of which
 few recur, has all of them replaced by one.  Sibling branches whose shares of
-bad labels do not differ significantly are merged.  Each template is judged by
+bad labels do not differ significantly from those of their siblings together
+are merged.  Each template is judged by
 the share of bad ones among its labelled URLs, smoothed towards its host's
 share, which is smoothed towards a prior.  Rules of host and path prefix come first.
 
@@ -12,7 +13,7 @@ All of it is DataFrame functions over counts: URLs are pre-aggregated to
 
 Result of odd inputs: a null URL and one without ``://`` have empty host and
 path, and are judged with the other URLs of the empty host; with no labels the
-prior decides; repeated rows get equal results; an empty table gives an empty
+prior decides; null ids are kept; repeated rows get equal results; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -20,18 +21,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER, UPPER, written
 
-#: Levels of the tree; what lies deeper is part of the last level's segment.
-LEVELS = 5
+#: Levels of the tree; segments that lie deeper make up the last level's together.
+LEVELS = 8
 #: A branching point is generalised if it has more children than this, of
 #: which each has fewer URLs than that on average.
 CHILDREN, RECURS = 20, 8
-#: Siblings merge while their shares of bad labels lie within so many standard errors.
+#: Siblings merge whose share of bad labels lies within so many standard errors of their siblings'.
 SAME_Z = 1.96
+#: Segment that stands for the merged branches of a branching point.
+ALIKE = "{alike}"
 #: Labels that the prior share counts for, and the prior share of bad ones.
 SMOOTHING, PRIOR = 8.0, 0.2
 #: Templates with at least this smoothed share of bad ones are rejected.
@@ -89,7 +92,8 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     mapping (host, typed, template), and (host, template, n, labelled, bad)."""
     w = F.coalesce(F.col("weight"), F.lit(1)).cast("long")
     total = lambda hit: F.sum(F.when(hit, w).otherwise(F.lit(0)))
-    rows = urls.groupBy("host", typed(F.col("path")).alias("typed")).agg(F.count("*").alias("n"), total(F.col("bad").isNotNull()).alias("labelled"), total(F.col("bad")).alias("bad"))
+    rows = urls.groupBy("host", typed(F.col("path")).alias("typed"))
+    rows = rows.agg(F.count("*").alias("n"), total(F.col("bad").isNotNull()).alias("labelled"), total(F.col("bad")).alias("bad"))
     tree, _ = written(rows.withColumn("t", F.col("typed")), "tree")
     depth = tree.agg(F.max(F.size("t"))).first()[0] or 0
     for d in range(depth):
@@ -101,37 +105,50 @@ def templates(urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return mapping, tree.groupBy("host", path).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
+def _tail(d: int) -> Column:
+    """The segments below level d."""
+    return F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0)))
+
+
 def _generalise(tree: DataFrame, d: int) -> DataFrame:
     """Level d: replace all children of a point where hardly any recurs."""
     here = F.size("t") > d
     before = F.slice("t", 1, d).alias("before")
     child = F.element_at("t", d + 1).alias("child")
     kids = tree.where(here).select("host", before, child, "n").groupBy("host", "before", "child").agg(F.sum("n").alias("n"))
-    many = kids.groupBy("host", "before").agg(F.count("*").alias("kids"), F.sum("n").alias("n")).where((F.col("kids") > CHILDREN) & (F.col("n") < RECURS * F.col("kids")))
-    flagged = tree.withColumn("before", F.when(here, F.slice("t", 1, d))).join(many.select("host", "before", F.lit(True).alias("many")), ["host", "before"], "left")
-    new = F.concat(F.slice("t", 1, d), F.array(F.lit(WILDCARD)), F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0))))
+    many = kids.groupBy("host", "before").agg(F.count("*").alias("kids"), F.sum("n").alias("n"))
+    many = many.where((F.col("kids") > CHILDREN) & (F.col("n") < RECURS * F.col("kids")))
+    many = many.select("host", "before", F.lit(True).alias("many"))
+    flagged = tree.withColumn("before", F.when(here, F.slice("t", 1, d))).join(many, ["host", "before"], "left")
+    new = F.concat(F.slice("t", 1, d), F.array(F.lit(WILDCARD)), _tail(d))
     return flagged.select("host", "typed", "n", "labelled", "bad", F.when(F.col("many"), new).otherwise(F.col("t")).alias("t"))
 
 
-def _merge(tree: DataFrame, d: int) -> DataFrame:
-    """Level d: merge siblings (templates that differ in this segment only)
-    whose shares of bad labels are alike, in order of share."""
-    here = F.size("t") > d
-    others = F.concat(F.slice("t", 1, d), F.array(F.lit("")), F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0))))
-    sibling = tree.where(here).groupBy("host", others.alias("others"), F.element_at("t", d + 1).alias("child")).agg(F.sum("labelled").alias("k"), F.sum("bad").alias("b"))
-    sibling = sibling.withColumn("p", (F.col("b") + PRIOR * SMOOTHING) / (F.col("k") + SMOOTHING))
-    order = Window.partitionBy("host", "others").orderBy("p", "child")
-    k1, b1, k2, b2 = F.col("k") + 1.0, F.col("b") + 0.5, F.lag("k").over(order) + 1.0, F.lag("b").over(order) + 0.5
+def differs(k: Column, b: Column, k_all: Column, b_all: Column) -> Column:
+    """Whether b bad of k labels differ significantly from the rest of b_all of
+    k_all.  Without labels on either side nothing shows that they do."""
+    k1, b1, k2, b2 = k + 1.0, b + 0.5, k_all - k + 1.0, b_all - b + 0.5
     share = (b1 + b2) / (k1 + k2)
     z = F.abs(b1 / k1 - b2 / k2) / F.sqrt(share * (1 - share) * (1 / k1 + 1 / k2))
-    group = F.sum(F.when(z > SAME_Z, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    named = sibling.withColumn("g", group)
-    least = F.min("child").over(Window.partitionBy("host", "others", "g"))
-    size = F.count("*").over(Window.partitionBy("host", "others", "g"))
-    # A merged branch is named after its first member.
-    named = named.select("host", "others", "child", F.when(size > 1, F.concat(F.lit("{"), least, F.lit("+}"))).otherwise(F.col("child")).alias("name"))
-    joined = tree.withColumn("others", F.when(here, others)).withColumn("child", F.when(here, F.element_at("t", d + 1))).join(named, ["host", "others", "child"], "left")
-    new = F.concat(F.slice("t", 1, d), F.array("name"), F.slice("t", d + 2, F.greatest(F.size("t") - d - 1, F.lit(0))))
+    return (k > 0) & (k < k_all) & (z > SAME_Z)
+
+
+def _merge(tree: DataFrame, d: int) -> DataFrame:
+    """Level d: siblings (templates that differ in this segment only) become
+    one, but for those whose share differs from that of the others together.
+
+    Each is held against the whole of the others, so no chain of weakly
+    labelled branches joins two that differ."""
+    here = F.size("t") > d
+    others = F.concat(F.slice("t", 1, d), F.array(F.lit("")), _tail(d))
+    sibling = tree.where(here).groupBy("host", others.alias("others"), F.element_at("t", d + 1).alias("child"))
+    sibling = sibling.agg(F.sum("labelled").alias("k"), F.sum("bad").alias("b"))
+    point = sibling.groupBy("host", "others").agg(F.count("*").alias("kids"), F.sum("k").alias("ka"), F.sum("b").alias("ba"))
+    same = (F.col("kids") > 1) & ~differs(F.col("k"), F.col("b"), F.col("ka"), F.col("ba"))
+    named = sibling.join(point, ["host", "others"]).where(same).select("host", "others", "child", F.lit(ALIKE).alias("name"))
+    marked = tree.withColumn("others", F.when(here, others)).withColumn("child", F.when(here, F.element_at("t", d + 1)))
+    new = F.concat(F.slice("t", 1, d), F.array("name"), _tail(d))
+    joined = marked.join(named, ["host", "others", "child"], "left")
     return joined.select("host", "typed", "n", "labelled", "bad", F.when(F.col("name").isNotNull(), new).otherwise(F.col("t")).alias("t"))
 
 

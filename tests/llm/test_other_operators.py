@@ -312,6 +312,17 @@ def test_quality_makes_documents_likelier(spark):
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(8)
     en, de = (["".join(r.choices(a, k=r.randint(2, 6))) for _ in range(120)] for a in ("abcdefgh", "mnopqrst"))
+def test_unlabelled_branches_do_not_join_those_that_differ(spark):
+    """Siblings with 0 bad of 5, none labelled, and 5 bad of 5."""
+    rows = [(i, f"http://h.x/{'abc'[i % 3]}/page", (False, None, True)[i % 3]) for i in range(15)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), (), F.col("bad")).collect()}
+    assert [out[i].verdict for i in range(3)] == ["allow", "allow", "block"]
+    assert len({out[i].template for i in range(3)}) == 3
+    alike = [(i, f"http://h.x/{'ab'[i % 2]}/page", i % 4 < 2) for i in range(40)]
+    out = url_filter.judge(spark.createDataFrame(alike, "page_id long, url string, bad boolean"), (), F.col("bad"))
+    assert out.select("template").distinct().count() == 1
+
+
     rows = [(i, " ".join(r.choices((en, de)[i % 2], k=80)), ("en", "de")[i % 2], f"s{i % 3}") for i in range(90)]
     rows += [(100, rows[0][1] + " \n", "en", "s0"), (101, rows[1][1], "de", "s1"), (102, "123 !!", "en", "s0"), (103, None, None, None), (104, "", "en", "s2")]
     docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
