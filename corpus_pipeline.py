@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's docs.  All but the last
 return the columns of documents.
+
+Results of odd inputs, in every stage: a row is itself, whatever its id; rows
+without an id, and different rows under one id, are decided on one by one, by a
+number that the stage gives each row.  Nulls in any column are kept.  An empty
+table gives an empty one.  Other columns, whatever they are called, go through.
+Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -15,51 +21,66 @@ from chronolith.llm._common import table, written
 from chronolith.llm.queries import bpe_digests, quality_weights, vocabulary_source
 
 
-KEY = "_row"
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents have not."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _keyed(docs: DataFrame, ranked: bool = False) -> DataFrame:
-    """The documents with a number of each row's own in KEY, stored, so that all
-    readings see the same numbers.  ``ranked`` numbers follow the order of ids,
-    those without one last; rows that tie are equal."""
+def _keyed(docs: DataFrame, ranked: bool = False) -> tuple[DataFrame, str]:
+    """The documents with a number of each row's own, stored, so that all readings
+    see the same numbers, and the name of its column.  ``ranked`` numbers follow
+    the order of ids, those without one last; rows that tie are equal."""
+    key = _free(docs, "_row")
     if ranked:
         docs = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns))
-    return written(docs.withColumn(KEY, F.monotonically_increasing_id()), "keyed")[0]
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")[0], key
 
 
-def _only(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
     """The keyed documents whose numbers an operator gave as doc_id, without the numbers."""
-    return docs.join(found.select(F.col("doc_id").alias(KEY)), KEY, "left_semi").drop(KEY)
+    return docs.join(found.select(F.col("doc_id").alias(key)), key, "left_semi").drop(key)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any text in letters, to which no language can be given, go."""
-    samples, rows = langid.learn(docs, usable=~langid.held_out()), _keyed(docs)
-    return _only(rows, langid.identify(rows, samples, KEY).where(F.col("lang_pred") != langid.UNKNOWN)).select(*docs.columns)
+    """Documents without any text in letters, to which no language can be given,
+    go: null, empty and white-space-only texts, numbers and signs alone."""
+    samples, (rows, key) = langid.learn(docs, usable=~langid.held_out()), _keyed(docs)
+    known = langid.identify(rows, samples, key).where(F.col("lang_pred") != langid.UNKNOWN)
+    return _only(rows, key, known).select(*docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of equal texts stays; different texts under one id all do."""
-    rows = _keyed(docs, ranked=True)
-    return _only(rows, exact_dedup.exact_duplicates(rows, KEY).where("kept")).select(*docs.columns)
+    """One row of each class of equal texts stays: the longest, then that with the
+    smallest id, a null id being the largest; of rows that tie in both, one.
+    Different texts under one id all stay."""
+    rows, key = _keyed(docs, ranked=True)
+    return _only(rows, key, exact_dedup.exact_duplicates(rows, key).where("kept")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, one row with the smallest id stays, a null id being the largest."""
-    rows = _keyed(docs, ranked=True)
-    return _only(rows, simhash.near_duplicates(rows, KEY).where("doc_id = component_id")).select(*docs.columns)
+    """Of linked documents, one row with the smallest id stays, a null id being the
+    largest.  All wordless texts have one fingerprint, so one of them stays."""
+    rows, key = _keyed(docs, ranked=True)
+    return _only(rows, key, simhash.near_duplicates(rows, key).where("doc_id = component_id")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, each row by itself."""
-    keyed = _keyed(docs)
-    mixed = mixing.mix(keyed, quality_weights(table(spark, sf_dir, "labels")), keep=(KEY,))
-    taken = mixed.where("copies > 0").select(KEY, "copies")
-    rows = keyed.join(taken, KEY).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*docs.columns)
+    """Documents as often as the mix takes them, each row by itself; wordless ones
+    are never taken, a null source is a source of its own."""
+    rows, key = _keyed(docs)
+    mixed = mixing.mix(rows, quality_weights(table(spark, sf_dir, "labels")), keep=(key,))
+    copies, copy = _free(rows, "_copies"), _free(rows, "_copy")
+    taken = mixed.where("copies > 0").select(key, F.col("copies").alias(copies))
+    each = F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)
+    return rows.join(taken, key).select(*docs.columns, each).drop(copy)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each row: number of ids, digests of the ids and of what they
+    decode to.  A null text counts as empty; ids and repeated rows are kept."""
     return bpe_digests(docs, *vocabulary_source())
 
 
