@@ -3,13 +3,15 @@
 For each language a suffix automaton is built over a bounded sample of its
 labelled texts.  A text is parsed greedily into the longest phrases that occur
 in the sample; the language that needs the fewest phrases, normalised by the
-size of its sample, wins.  Texts are parsed whole, in pieces of ``PIECE``
-characters that run through the automaton side by side.
+size of its sample, wins.  Texts are parsed whole: pieces of ``PIECE``
+characters run through the automaton side by side, and each is then entered
+again in the state in which its predecessor ended, until both parses of it are
+in one state.  The phrases are those of a parse from the first character on.
 
 Result of odd inputs: a null text and one without a letter get ``und`` with
 score 0; with nothing to learn from every text gets ``und``; ties go to the
 first language by name; repeated rows get equal results; an empty table gives
-an empty result; other columns are ignored.
+an empty result; null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +37,23 @@ UNKNOWN = "und"
 _models: dict[tuple, Model] = {}
 
 
+#: What stands between words: all but letters and the marks that belong to them.
+_BETWEEN = re.compile(r"[\W\d_]+")
+_MARK, _LETTER = r"\p{M}", r"\p{L}"
+
+
 def clean(text: str) -> str:
-    """Lower case, letters only, one space for whatever stands between them."""
-    return re.sub(r"[\W\d_]+", " ", text.lower())
+    """Lower case, letters with their combining marks only, one space for
+    whatever stands between them; a text without a letter has none at all."""
+    low = text.lower()
+    if low.isascii():
+        return _BETWEEN.sub(" ", low)
+    import regex
+
+    if regex.search(_MARK, low) is None:
+        return _BETWEEN.sub(" ", low)
+    out = regex.sub(r"[^\p{L}\p{M}]+", " ", low)
+    return out if regex.search(_LETTER, out) else " "
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -137,29 +153,61 @@ class Model:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         pieces = -(-sizes // PIECE)
         of = np.repeat(np.arange(len(texts)), pieces)
-        first = np.repeat(np.cumsum(sizes) - sizes, pieces)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = first + nth * PIECE
+        start = np.repeat(np.cumsum(sizes) - sizes, pieces) + nth * PIECE
         width = np.minimum(PIECE, np.repeat(sizes, pieces) - nth * PIECE)
         order = np.argsort(-width, kind="stable")
-        start, width, of = start[order], width[order], of[order]
-        live = np.searchsorted(-width, -np.arange(PIECE), "left")  # pieces longer than j
-        found = np.zeros((len(texts), len(self.languages)), np.int64)
+        live = np.searchsorted(-width[order], -np.arange(PIECE), "left")  # pieces longer than j
         states = np.zeros((len(self.languages), len(of)), np.int32)
         ends = np.zeros_like(states)
         for j in range(PIECE):
             n = live[j]
             if not n:
                 break
-            c = codes[start[:n] + j]
+            c = codes[start[order[:n]] + j]
             for k, step in enumerate(self.steps):
                 x = step(states[k, :n], c)
                 ends[k, :n] += x >> 28
                 states[k, :n] = x & 0xFFFFFFF
-        for k in range(len(self.languages)):
-            found[:, k] = np.bincount(of, weights=ends[k] + (states[k] > 0), minlength=len(texts))
+        found = np.zeros((len(texts), len(self.languages)), np.int64)
+        last = np.flatnonzero(np.r_[of[1:] != of[:-1], True]) if len(of) else of
+        for k, step in enumerate(self.steps):
+            at, count = np.empty(len(of), np.int32), np.empty(len(of), np.int64)
+            at[order], count[order] = states[k], ends[k]
+            self._join(step, codes, start, width, nth, at, count)
+            found[:, k] = np.bincount(of, weights=count, minlength=len(texts))
+            found[of[last], k] += at[last] > 0  # the phrase that the end of the text cuts off
         return sizes, found
 
+    @staticmethod
+    def _join(step: Step, codes, start, width, nth, at, count) -> None:
+        """Make parses of pieces that began anew those of whole texts: ``at``,
+        the state in which each piece ends, and ``count``, its phrases."""
+        import numpy as np
+
+        entered = np.zeros(len(at), np.int32)  # the state in which each piece was entered
+        todo = np.flatnonzero((nth > 0) & (np.r_[0, at[:-1]] > 0))
+        while len(todo):
+            new, old, changed = at[todo - 1], entered[todo], []
+            entered[todo] = new
+            rows, j = todo, 0
+            while len(rows):
+                c = codes[start[rows] + j]
+                x, y = step(new, c), step(old, c)
+                count[rows] += (x >> 28) - (y >> 28)
+                new, old = x & 0xFFFFFFF, y & 0xFFFFFFF
+                j += 1
+                apart = new != old
+                rows, new, old = rows[apart], new[apart], old[apart]
+                over = width[rows] <= j
+                if over.any():
+                    at[rows[over]] = new[over]
+                    changed.append(rows[over])
+                    rows, new, old = rows[~over], new[~over], old[~over]
+            todo = np.concatenate(changed) + 1 if changed else todo[:0]
+            todo = todo[todo < len(nth)]
+            todo = np.sort(todo[nth[todo] > 0])
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         import numpy as np
 
@@ -174,7 +222,8 @@ class Model:
             score = low[:, 1] / np.maximum(low[:, 0] + low[:, 1], 1e-12)
         else:
             score = np.ones(len(texts))
-        return [(self.languages[b], float(s)) if t.strip() else (UNKNOWN, 0.0) for b, s, t in zip(best, score, cleaned)]
+        named = zip(best, score, cleaned)
+        return [(self.languages[b], float(s)) if t.strip() else (UNKNOWN, 0.0) for b, s, t in named]
 
 
 def held_out(id_col: str = "doc_id") -> Column:

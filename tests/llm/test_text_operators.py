@@ -250,21 +250,21 @@ def test_suffix_automaton_accepts_substrings_only():
 
 
 def plain_phrases(sample, text):
-    n = 0
-    for s in range(0, len(text), langid.PIECE):
-        piece, i = text[s : s + langid.PIECE], 0
-        while i < len(piece):
-            j = i + 1
-            while j < len(piece) and piece[i : j + 1] in sample:
-                j += 1
-            n, i = n + 1, j
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in sample:
+            j += 1
+        n, i = n + 1, j
     return n
 
 
 def test_phrases_equal_brute_force():
     samples = (("de", "der die das und nicht ein haus im wald"), ("en", "the house in the wood and not a word of it"))
     model = langid.Model(samples)
-    texts = [langid.clean(t) for t in ("the wood of the house", "das haus und der wald", "xyz", "a" * 700, "not a wald in the haus " * 30, "")]
+    texts = [langid.clean(t) for t in ("the wood of the house", "das haus und der wald", "xyz", "a" * 700, "not a wald in the haus " * 30, "der die das und " * 200, "ein haus im wald der die das und nicht " * 70 + "?", "")]
+    r = random.Random(4)
+    texts += [langid.clean("".join(r.choices("adehinrstuw xq", k=n))) for n in (255, 256, 257, 511, 513, 3000)]
     _, found = model.phrases(texts)
     for t, row in zip(texts, found):
         for k, lang in enumerate(model.languages):
@@ -302,6 +302,12 @@ def test_languages_in_several_scripts_keep_their_letters(spark):
 def test_every_labelled_language_is_learned(spark):
     rows = [(i, " ".join(chr(0x4E00 + 40 * i + j) * 2 for j in range(20)), f"l{i:03}", "s", 60) for i in range(120)]
     samples = langid.learn(docs(spark, rows))
+def test_letters_keep_their_marks():
+    assert langid.clean("नमस्ते दुनिया 12!") == "नमस्ते दुनिया "
+    assert langid.clean("E\u0301te\u0301, ÉTÉ") == "e\u0301te\u0301 été"
+    assert langid.clean("\u0301 \u0302 12").strip() == "" and langid.clean("²x_Ⅷ-y").split()[-1] == "y"
+
+
     assert [lang for lang, _ in samples] == sorted(f"l{i:03}" for i in range(120))
     got = {r.doc_id: r.lang_pred for r in langid.identify(docs(spark, rows), samples).collect()}
     assert got == {i: f"l{i:03}" for i in range(120)}
