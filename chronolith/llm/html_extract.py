@@ -7,20 +7,24 @@ the log-odds that it holds any main text.  Decoding is hierarchical: of all
 labellings in which nothing is kept inside what is dropped, the one with the
 largest total log-odds is taken.
 
-The trees are trained here, on pages made by a generator with known main text
-(:func:`training_pages`), so no label of the pages at hand is needed.
+Names and words of attributes are hashed into buckets, and each bucket has a
+weight, the smoothed log-odds of the elements that have it (:class:`Lexicon`).
+Weights and trees are learned here, on pages made by a generator with known main
+text (:func:`training_pages`), so no label of the pages at hand is needed.
 
 Result of odd inputs: null and empty pages have empty text; unclosed, misnested
 and truncated markup is read leniently; a page with no element left has empty
-text; very long pages are read whole; repeated rows get equal results; an empty
+text; very long pages are read whole; null ids are kept; repeated rows get equal results; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
 import random
 import re
+import zlib
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -28,32 +32,32 @@ from pyspark.sql import functions as F
 
 from ._common import ready, spread
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br img "
+    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup: it ends at their end tag, or with the page.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 #: Elements whose content no reader sees as text; one that is never closed is an ordinary element.
 HIDDEN = frozenset("template select".split())
 #: Elements that may stand within a paragraph and hold markup; of these, foreign ones know self-closing tags.
-EMBEDDED = frozenset("math object noscript canvas svg".split())
+EMBEDDED = frozenset("object noscript canvas svg".split())
 FOREIGN = ("math", "svg")
 #: A start tag closes an open element of these names first.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("tr", "thead")}
 SCOPE = frozenset("table ul ol dl div section article main body html td th nav aside header footer form blockquote".split()) | EMBEDDED
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+#: The same for a page of so many tags whose quotes are never closed that each would be sought to the page's end.
+_SHORT = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+)>""")
+BROKEN = 64
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
-GOOD_WORDS = frozenset("article articlebody body content entry main post story text hentry prose markdown".split())
-BAD_WORDS = frozenset(
-    "ad ads advert advertisement adverts alert author banner breadcrumb breadcrumbs byline comment comments consent contact cookie cookies copyright dialog disqus "
-    "discussion foot footer form gdpr head header login masthead menu meta modal nav navbar navigation newsletter notice pager pagination paywall popup privacy promo promoted "
-    "reader recommended recirc related replies reply respond search share sharing sidebar side signup skip social sponsor sponsored subscribe tags teaser toolbar top trending widget".split()
-)
-GOOD_TAGS = frozenset(("article", "main"))
-BAD_TAGS = frozenset("nav aside footer header form dialog menu button fieldset figcaption".split())
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd".split())
+#: Elements that the language defines to hold the main text.
+MAIN_TAGS = frozenset(("article", "main"))
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd figcaption".split())
 
 
 class Page:
@@ -75,7 +79,7 @@ class Page:
         self._parse(source)
 
     def _parse(self, src: str) -> None:
-        find, match = src.find, _TAG.match
+        find, match, broken = src.find, _TAG.match, 0
         stack: list[tuple[str, int]] = [("#root", 0)]  # (name, node); inline elements have their block's node
         pieces: list[str] = []
         links, linked, pos, n = 0, 0, 0, len(src)
@@ -134,7 +138,11 @@ class Page:
                 stop = find("-->", lt + 4) if src.startswith("<!--", lt) else find(">", lt)
                 pos = n if stop < 0 else stop + (3 if src.startswith("<!--", lt) else 1)
                 continue
-            m = match(src, lt) or _LOOSE.match(src, lt)
+            m = match(src, lt)
+            if m is None:
+                m, broken = _LOOSE.match(src, lt), broken + 1
+                if broken == BROKEN:
+                    match = _SHORT.match
             if m is None:
                 if nxt.isalpha() or nxt == "/":  # cut off within a tag
                     close = find(">", lt)
@@ -179,7 +187,7 @@ class Page:
             if name in INLINE:
                 if name == "br":
                     pieces.append("\n")
-                elif name not in VOID:
+                elif name not in VOID and not (m[3].endswith("/") and (name in FOREIGN or any(x in FOREIGN for x, _ in stack))):
                     stack.append((name, node))
                     links += name == "a"
                 continue
@@ -209,43 +217,101 @@ class Page:
         end[0] = len(tag)
 
 
-FEATURES = 34
+class Lexicon:
+    """Weights of hashed words: the smoothed log-odds that an element with a
+    word of that bucket holds main text, less those of any element.
+
+    Words are those of attributes, and the element's name together with whether
+    it stands inside one that the language defines to hold the main text."""
+
+    BUCKETS, SMOOTHING = 2048, 8.0
+
+    def __init__(self):
+        self.weights = [0.0] * self.BUCKETS
+        self.known: dict[str, float] = {}
+
+    @classmethod
+    def bucket(cls, word: str) -> int:
+        return zlib.crc32(word.encode()) % cls.BUCKETS
+
+    def weight(self, word: str) -> float:
+        w = self.known.get(word)
+        if w is None:
+            w = self.weights[self.bucket(word)]
+            if len(self.known) < 100_000:
+                self.known[word] = w
+        return w
+
+    def fit(self, pages: list[Page], labels: list) -> Lexicon:
+        held, total, n = [[0, 0] for _ in range(self.BUCKETS)], [0, 0], 0
+        for p, y in zip(pages, labels):
+            inside = _inside(p)
+            for i, t in enumerate(p.tag):
+                if i and t != "#text":
+                    k = int(y[i])
+                    total[k] += 1
+                    for word in {*p.words[i], tag_word(t, inside[i])}:
+                        held[self.bucket(word)][k] += 1
+        share = (total[1] + 1) / (total[0] + total[1] + 2)
+        a, b = self.SMOOTHING * (1 - share), self.SMOOTHING * share
+        self.weights = [math.log((h[1] + b) / (h[0] + a)) - math.log(b / a) for h in held]
+        self.known = {}
+        return self
+
+
+def tag_word(tag: str, inside: bool) -> str:
+    return f"<{tag} in" if inside else f"<{tag}"
+
 
+def _inside(p: Page) -> list[bool]:
+    """Whether each node stands inside an element that is there for main text."""
+    out = [False] * len(p.tag)
+    for i in range(1, len(p.tag)):
+        j = p.parent[i]
+        out[i] = out[j] or p.tag[j] in MAIN_TAGS
+    return out
+
+
+FEATURES = 36
 
-def features(pages: list[Page]):
+
+def features(pages: list[Page], lexicon: Lexicon):
     """A row of numbers for each node of each page."""
     import numpy as np
 
-    return np.concatenate([_page_features(p) for p in pages]) if pages else np.zeros((0, FEATURES), np.float32)
+    return np.concatenate([_page_features(p, lexicon) for p in pages]) if pages else np.zeros((0, FEATURES), np.float32)
 
 
-def _page_features(p: Page):
+def _page_features(p: Page, lexicon: Lexicon):
     import numpy as np
 
     n = len(p.tag)
     parent, end, depth = np.array(p.parent), np.array(p.end), np.array(p.depth, float)
     own = np.zeros((n, 6))  # chars, words, linked chars, stops, text runs, capitals or digits at the start
     for i, t in p.text.items():
-        own[i] = (len(t), t.count(" ") + 1, p.linked[i], t.count(". ") + t.count(", ") + t.endswith((".", "!", "?", ":", "。")), 1, t[:1].isupper())
+        stops = t.count(". ") + t.count(", ") + t.endswith((".", "!", "?", ":", "。"))
+        own[i] = (len(t), t.count(" ") + 1, p.linked[i], stops, 1, t[:1].isupper())
     is_tag = np.array([t != "#text" for t in p.tag], float)
     para = np.array([t == "p" for t in p.tag], float)
     item = np.array([t in ("li", "option", "dd", "dt") for t in p.tag], float)
-    good = np.array([t in GOOD_TAGS for t in p.tag]) | np.array([any(w in GOOD_WORDS for w in x) for x in p.words])
-    bad_tag = np.array([t in BAD_TAGS for t in p.tag])
-    bad_word = np.array([sum(w in BAD_WORDS for w in x) for x in p.words], float)
     head = np.array([t[0] == "h" and t[1:].isdigit() for t in p.tag], float)
     texty = np.array([t in TEXT_TAGS for t in p.tag], float)
-    sums = np.concatenate([own, np.stack([is_tag, para, item, np.array(p.controls, float), np.array(p.n_tags, float), bad_word + bad_tag, head], 1)], 1)
+    # Weights of words: the sum, the worst and the best of an element, and of any element around it.
+    inside = _inside(p)
+    said = np.zeros((n, 4))  # sum, worst, best, name
+    around = np.zeros((n, 3))  # worst, best, worst name
+    weight = lexicon.weight
+    for i in range(1, n):
+        j = p.parent[i]
+        around[i] = np.minimum(around[j, 0], said[j, 1]), np.maximum(around[j, 1], said[j, 2]), np.minimum(around[j, 2], said[j, 3])
+        if is_tag[i]:
+            w = [weight(x) for x in p.words[i]]
+            said[i] = sum(w), min(w, default=0.0), max(w, default=0.0), weight(tag_word(p.tag[i], inside[i]))
+    against = -np.minimum(said[:, 1], 0) - np.minimum(said[:, 3], 0)
+    sums = np.concatenate([own, np.stack([is_tag, para, item, np.array(p.controls, float), np.array(p.n_tags, float), against, head], 1)], 1)
     total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, 0)])
     sub = total[end] - total[np.arange(n)]
     up = np.maximum(parent, 0)
-    # What holds for any ancestor: parents come before their children.
-    above_good, above_bad, above_bad_tag = np.zeros(n), np.zeros(n), np.zeros(n)
-    for i in range(1, n):
-        j = p.parent[i]
-        above_good[i] = above_good[j] or good[j]
-        above_bad[i] = above_bad[j] or bad_word[j] > 0
-        above_bad_tag[i] = above_bad_tag[j] or bad_tag[j]
     kids = np.bincount(parent[1:], minlength=n).astype(float) if n > 1 else np.zeros(n)
     order = np.arange(n)
     nth = np.zeros(n)
@@ -269,7 +335,7 @@ def _page_features(p: Page):
             np.log1p(chars), np.log1p(sub[:, 1]), chars / page, chars / np.maximum(chars[up], 1.0), sub[:, 2] / safe, sub[:, 3] / np.maximum(sub[:, 1], 1.0), sub[:, 6] / safe * 100.0,
             chars / np.maximum(sub[:, 4], 1.0), sub[:, 5] / np.maximum(sub[:, 4], 1.0), np.log1p(sub[:, 7]), np.log1p(sub[:, 8]), sub[:, 9], sub[:, 10] / safe * 100.0, sub[:, 11], sub[:, 12],
             depth, kids, nth, kids[up], nth / np.maximum(kids[up] - 1.0, 1.0), sib_chars - chars, sib_texty, chars / np.maximum(sib_max, 1.0), before, before + chars / page,
-            good, bad_tag, bad_word, above_good, above_bad, above_bad_tag, texty, head, is_tag,
+            *said.T, *around.T, np.array(inside, float), texty, head, is_tag,
         ],
         1,
     ).astype(np.float32)
@@ -358,13 +424,17 @@ def decode(p: Page, odds) -> list[bool]:
     return out
 
 
-def main_text(source: str, trees: Trees) -> str:
-    return main_texts([source], trees)[0]
+Model = tuple[Lexicon, Trees]
+
+
+def main_text(source: str, model: Model) -> str:
+    return main_texts([source], model)[0]
 
 
-def main_texts(sources: list[str], trees: Trees) -> list[str]:
+def main_texts(sources: list[str], model: Model) -> list[str]:
+    lexicon, trees = model
     pages = [Page(s) for s in sources]
-    odds = trees.log_odds(features(pages))
+    odds = trees.log_odds(features(pages, lexicon))
     out, at = [], 0
     for p in pages:
         n = len(p.tag)
@@ -377,6 +447,9 @@ def main_texts(sources: list[str], trees: Trees) -> list[str]:
 # Training pages --------------------------------------------------------------
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghklmnprstvz"
+#: Share of elements whose class has words from the names of other kinds of element, and those words.
+STRAY = 0.1
+WORDS = "ad article banner body comment content cookie entry footer header main menu meta nav notice policy popup post promo related search share sidebar social story text widget".split()
 
 
 class _Maker:
@@ -400,8 +473,11 @@ class _Maker:
     def link(self, lo: int = 1, hi: int = 3) -> str:
         return f'<a href="/{self.r.choice(self.vocabulary)}">{self.words(lo, hi)}</a>'
 
-    def attr(self, *names: str, often: float = 0.7) -> str:
+    def attr(self, *names: str, often: float = 0.7, stray: float = 0.0) -> str:
         r = self.r
+        if r.random() < max(stray, STRAY):  # a word that says nothing of what the element is
+            words = "-".join([r.choice(names), *r.sample(WORDS, r.randint(1, 2))])
+            return f' class="{words}"'
         if r.random() > often:
             return r.choice(["", f' class="c{r.randint(1, 99)}"', f' id="{r.choice(self.vocabulary)}"'])
         return f' {r.choice(["class", "class", "id"])}="{r.choice(names)}{r.choice(["", "", "-wrap", " box", "-" + str(r.randint(1, 9))])}"'
@@ -430,20 +506,25 @@ class _Maker:
             body.insert(r.randint(0, len(body)), f"<{kind}>" + "".join(f"<li>{self.mark(True, self.words(3, 25))}</li>" for _ in range(r.randint(2, 6))) + f"</{kind}>")
         if r.random() < 0.15:
             body.insert(r.randint(0, len(body)), "<table>" + "".join("<tr>" + "".join(f"<td>{self.mark(True, self.words(1, 6))}</td>" for _ in range(3)) + "</tr>" for _ in range(r.randint(2, 4))) + "</table>")
+        if r.random() < 0.15:
+            caption = f"<figcaption>{self.mark(True, self.words(3, 20))}</figcaption>"
+            body.insert(r.randint(0, len(body)), f'<figure{self.attr("figure", "image", often=0.3)}><img src="x.jpg">{caption}</figure>')
         for _ in range(r.choice([0, 0, 0, 1, 2])):
             body.insert(r.randint(0, len(body)), self.boiler(r.choice(["ad", "share", "related", "newsletter"])))
         title = f"<h1>{self.mark(True, self.words(2, 14))}</h1>" if r.random() < 0.85 else ""
-        if title and r.random() < 0.2:
-            title = f"<header>{title}</header>"
+        tag = r.choice(["article", "article", "article", "main", "div", "section"])
+        bare = r.random() < 0.12  # no element around it: a header is the page's then
+        if title and not bare and tag in MAIN_TAGS and r.random() < 0.35:
+            lead = f"<p>{self.mark(True, self.sentences(1, 2))}</p>" if r.random() < 0.3 else ""
+            title = f"<header{self.attr('article-header', 'entry-header', often=0.4)}>{title}{lead}</header>"
         inner = title + "".join(body)
         if r.random() < 0.3:
             inner = f'<div{self.attr("content", "entry-content", "body", "text")}>{inner}</div>'
-        tag = r.choice(["article", "article", "article", "main", "div", "section"])
         names = ("article", "post", "story", "main-content", "entry", "content")
-        out = f"<{tag}{self.attr(*names, often=0.2 if tag in ('article', 'main') else 0.75)}>{inner}</{tag}>"
+        out = f"<{tag}{self.attr(*names, often=0.2 if tag in ('article', 'main') else 0.75, stray=0.35)}>{inner}</{tag}>"
         if tag == "article" and r.random() < 0.3:
             out = f"<main>{out}</main>"
-        return inner if r.random() < 0.12 else out
+        return inner if bare else out
 
     def boiler(self, kind: str) -> str:
         r = self.r
@@ -451,7 +532,11 @@ class _Maker:
             items = "".join(f"<li>{self.link()}</li>" for _ in range(r.randint(2, 12)))
             return r.choice([f"<nav{self.attr('nav', 'menu', often=0.3)}><ul>{items}</ul></nav>", f"<div{self.attr('nav', 'menu', 'navbar', 'navigation')}><ul>{items}</ul></div>", f"<ul{self.attr('menu', 'nav')}>{items}</ul>", f"<nav>{' | '.join(self.link() for _ in range(r.randint(2, 7)))}</nav>"])
         if kind == "header":
-            return r.choice([f"<header{self.attr('header', 'masthead', often=0.4)}>", f"<div{self.attr('header', 'masthead', 'top')}>"]) + r.choice([f"<h2>{self.words(1, 4)}</h2>", f"<p>{self.words(2, 12)}</p>", self.link()]) + r.choice(["", self.boiler("nav")]) + r.choice(["</header>", "</div>"])
+            tag, often = r.choice([("header", 0.4), ("div", 0.7)])
+            title = r.choice([f"<h2>{self.words(1, 4)}</h2>", f"<p>{self.words(2, 12)}</p>", self.link(), self.link(1, 1), f"<h1>{self.link(1, 2)}</h1>"])
+            close = "" if r.random() < 0.02 else f"</{tag}>"
+            names = ("header", "masthead", "site-header") if tag == "header" else ("header", "masthead", "top")
+            return f"<{tag}{self.attr(*names, often=often)}>{title}{r.choice(['', self.boiler('nav')])}{close}"
         if kind == "ad":
             tag = r.choice(["div", "div", "aside", "section"])
             return f"<{tag}{self.attr('ad', 'ads', 'advert', 'sponsored', 'banner', 'promo', often=0.97)}>" + r.choice([self.sentences(1, 4), f"<p>{self.sentences(1, 4)}</p>", f"<p>{self.link(2, 6)}</p>"]) + f"</{tag}>"
@@ -480,13 +565,15 @@ class _Maker:
 
     def page(self) -> str:
         r = self.r
-        before = [self.boiler(k) for k in ("notice", "header", "nav", "breadcrumb", "ad", "form", "sidebar") if r.random() < (0.6 if k == "nav" else 0.3)]
+        before = [self.boiler(k) for k in ("notice", "header", "nav", "breadcrumb", "ad", "form", "sidebar") if r.random() < (0.6 if k in ("nav", "header") else 0.3)]
         after = [self.boiler(k) for k in ("share", "related", "comments", "sidebar", "form", "ad", "notice", "footer", "newsletter") if r.random() < (0.7 if k == "footer" else 0.28)]
         r.shuffle(before)
         middle = self.article()
         if r.random() < 0.25:  # comments and related links inside the article's own element
             cut = middle.rfind("</")
             middle = middle[:cut] + "".join(self.boiler(k) for k in r.sample(["comments", "related", "share", "newsletter", "footer"], r.randint(1, 2))) + middle[cut:]
+        if r.random() < 0.06:  # nothing but the article
+            return middle
         inner = "".join(before) + middle + "".join(after)
         if r.random() < 0.35:
             inner = f'<div{self.attr("wrapper", "page", "container", "content")}>{inner}</div>'
@@ -499,15 +586,14 @@ def training_pages(n: int, seed: int = 11) -> list[str]:
 
 
 #: Pages made for training.
-TRAINING_PAGES = 900
+TRAINING_PAGES = 1800
 
 
-@lru_cache(1)
-def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> Trees:
-    """The trees; a node is positive if any main text lies inside it."""
+def labelled(sources: list[str]) -> tuple[list[Page], list]:
+    """Pages of training sources, and which nodes hold any main text."""
     import numpy as np
 
-    made = [Page(s) for s in training_pages(pages, seed)]
+    made = [Page(s) for s in sources]
     labels = []
     for p in made:
         y = np.zeros(len(p.tag))
@@ -523,15 +609,27 @@ def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> Trees:
                 p.text[i] = t.replace("\x02", "").strip()
                 y[i] = 1
         labels.append(y)
-    x, y = features(made), np.concatenate(labels)
-    weight = np.concatenate([np.array([1.0 + (i in p.text) for i in range(len(p.tag))]) for p in made])
-    return Trees().fit(x, y, weight)
+    return made, labels
+
+
+@lru_cache(1)
+def trained(pages: int = TRAINING_PAGES, seed: int = 11) -> Model:
+    """Words' weights from a third of the pages, so that they are not better on
+    the others, from which the trees learn, than on pages to come."""
+    import numpy as np
+
+    made, labels = labelled(training_pages(pages, seed))
+    half = len(made) // 3
+    lexicon = Lexicon().fit(made[:half], labels[:half])
+    rest, y = made[half:], np.concatenate(labels[half:])
+    weight = np.concatenate([np.array([1.0 + (i in p.text) for i in range(len(p.tag))]) for p in rest])
+    return lexicon, Trees().fit(features(rest, lexicon), y, weight)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", trees: Trees | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", trained_model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, keep..., text): the main text of each whole page."""
     ready(pages.sparkSession)
-    model = trees or trained()
+    model = trained_model or trained()
 
     def run(batches):
         import pyarrow as pa

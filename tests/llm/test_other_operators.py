@@ -195,6 +195,40 @@ def test_extracted_text_of_the_tables(spark, sf):
         assert got[r.page_id].text == "\n\n".join(b for b in blocks if b)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
+def labelled_texts(source):
+    """The main text of a training page, and the page without its marks."""
+    p = html_extract.Page(source)
+    bare = lambda t: t.replace("\x01", "").replace("\x02", "")
+    return "\n\n".join(bare(t).strip() for t in p.text.values() if "\x01" in t or "\x02" in t), bare(source)
+
+
+def test_accuracy_on_pages_not_trained_on(monkeypatch):
+    """Words of made pages that no training page had, with many stray names."""
+    model = html_extract.trained()
+    monkeypatch.setattr(html_extract, "STRAY", 0.2)
+    hit = kept = wanted = exact = 0
+    pages = html_extract.training_pages(150, seed=4321)
+    for want, bare in map(labelled_texts, pages):
+        got = html_extract.main_text(bare, model)
+        a, b = Counter(got.split()), Counter(want.split())
+        hit, kept, wanted, exact = hit + sum((a & b).values()), kept + sum(a.values()), wanted + sum(b.values()), exact + (got == want)
+    print("precision", hit / kept, "recall", hit / wanted, "exact", exact / len(pages))
+    assert hit / kept > 0.95 and hit / wanted > 0.95 and exact / len(pages) > 0.6
+
+
+def test_odd_pages():
+    text = lambda s: html_extract.main_text(s, html_extract.trained())
+    assert "be kind to one another" in text("<article class='post-comment-policy'><h1>Rules of this place</h1><p>First of all, be kind to one another. It helps.</p><p>Second, stay on the subject.</p></article>")
+    assert text(f"<p a='{'x' * 5000}>b'>Text of a paragraph that is here.</p>") == "Text of a paragraph that is here."
+    page = "<article><header><h1>Title here</h1></header><p>One sentence here, and then another one. It goes on.</p><figure><img src=x><figcaption>A caption of the picture.</figcaption></figure><p>Where a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is given. That is all.</p></article>"
+    assert text(page).split("\n\n") == ["Title here", "One sentence here, and then another one. It goes on.", "A caption of the picture.", "Where a x=2 is given. That is all."]
+
+
+def test_quotes_that_never_close_are_read_in_linear_time():
+    p = html_extract.Page("<p>one</p>" + "<p a=\"b" * 40_000)
+    assert next(iter(p.text.values())) == "one"
+
+
 
 def test_html_of_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (None, "u", "<p>", "x")], "page_id long, url string, html string, text string")
@@ -278,6 +312,17 @@ def test_targets_equal_repeated_resharing(spark):
         assert all(math.isclose(got[n], share[n], rel_tol=1e-9, abs_tol=1e-6) for n in names)
 
 
+def test_unlabelled_branches_do_not_join_those_that_differ(spark):
+    """Siblings with 0 bad of 5, none labelled, and 5 bad of 5."""
+    rows = [(i, f"http://h.x/{'abc'[i % 3]}/page", (False, None, True)[i % 3]) for i in range(15)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), (), F.col("bad")).collect()}
+    assert [out[i].verdict for i in range(3)] == ["allow", "allow", "block"]
+    assert len({out[i].template for i in range(3)}) == 3
+    alike = [(i, f"http://h.x/{'ab'[i % 2]}/page", i % 4 < 2) for i in range(40)]
+    out = url_filter.judge(spark.createDataFrame(alike, "page_id long, url string, bad boolean"), (), F.col("bad"))
+    assert out.select("template").distinct().count() == 1
+
+
 def test_mix_takes_what_it_should(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40, 300])), r.choice(["a", "a", "a", "b", "c", None])) for i in range(600)] + [(1000, None, "a"), (1001, "x y", "tiny"), (None, "x", "a")]
@@ -312,17 +357,6 @@ def test_quality_makes_documents_likelier(spark):
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(8)
     en, de = (["".join(r.choices(a, k=r.randint(2, 6))) for _ in range(120)] for a in ("abcdefgh", "mnopqrst"))
-def test_unlabelled_branches_do_not_join_those_that_differ(spark):
-    """Siblings with 0 bad of 5, none labelled, and 5 bad of 5."""
-    rows = [(i, f"http://h.x/{'abc'[i % 3]}/page", (False, None, True)[i % 3]) for i in range(15)]
-    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), (), F.col("bad")).collect()}
-    assert [out[i].verdict for i in range(3)] == ["allow", "allow", "block"]
-    assert len({out[i].template for i in range(3)}) == 3
-    alike = [(i, f"http://h.x/{'ab'[i % 2]}/page", i % 4 < 2) for i in range(40)]
-    out = url_filter.judge(spark.createDataFrame(alike, "page_id long, url string, bad boolean"), (), F.col("bad"))
-    assert out.select("template").distinct().count() == 1
-
-
     rows = [(i, " ".join(r.choices((en, de)[i % 2], k=80)), ("en", "de")[i % 2], f"s{i % 3}") for i in range(90)]
     rows += [(100, rows[0][1] + " \n", "en", "s0"), (101, rows[1][1], "de", "s1"), (102, "123 !!", "en", "s0"), (103, None, None, None), (104, "", "en", "s2")]
     docs = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
