@@ -9,8 +9,8 @@ directory, and every document looks its class up there.
 
 Result of odd inputs: a null text counts as empty, so null, empty and
 white-space-only texts form one class; a null id loses ties against any other;
-rows that agree in text, length and id are all marked as kept and all counted;
-an empty table gives an empty result; other columns are ignored.
+of rows with one id only those as long as the row that stays are kept; rows that
+agree in text, length and id are all marked as kept and all counted; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,11 +127,11 @@ def _own(batches):
 
     import pyarrow as pa
 
-    schema = pa.schema([("bucket", pa.int32()), ("h", pa.int64()), ("chain", pa.int32()), ("sha", pa.string()), ("group_size", pa.int64()), ("keep_id", pa.int64())])
+    schema = pa.schema([("bucket", pa.int32()), ("h", pa.int64()), ("chain", pa.int32()), ("sha", pa.string()), ("group_size", pa.int64()), ("keep_id", pa.int64()), ("keep_chars", pa.int64())])
     at, chain, rows = None, [], []  # chain: [text, [n, chars, id]] of the present key
 
     def close():
-        rows.extend((*at, i, hashlib.sha256(text).hexdigest(), best[0], best[2]) for i, (text, best) in enumerate(chain))
+        rows.extend((*at, i, hashlib.sha256(text).hexdigest(), best[0], best[2], best[1]) for i, (text, best) in enumerate(chain))
 
     for b in batches:
         buckets, hs, ns, chars, keeps = (b.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
@@ -156,7 +156,7 @@ def _own(batches):
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int = BUCKET_ROWS, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """The index (bucket, h, chain, sha, group_size, keep_id) and the directory
+    """The index (bucket, h, chain, sha, group_size, keep_id, keep_chars) and the directory
     (slot, bucket, local_depth), both on shared files."""
     spark = docs.sparkSession
     ready(spark)
@@ -175,7 +175,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int =
     placed = entries.withColumn("slot", by_slot).join(F.broadcast(directory.select("slot", "bucket")), "slot")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     owned = placed.select("bucket", "h", "norm", "n", "chars", "keep_id").repartition(tasks, "bucket").sortWithinPartitions("bucket", "h")
-    index, _ = written(owned.mapInArrow(_own, "bucket int, h long, chain int, sha string, group_size long, keep_id long"), "index")
+    index, _ = written(owned.mapInArrow(_own, "bucket int, h long, chain int, sha string, group_size long, keep_id long, keep_chars long"), "index")
     return index, directory
 
 
@@ -185,6 +185,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when they agree after white space is deleted; the longest
     original (in code points), then the smallest id, stays."""
     index, _ = build_index(docs, id_col, text_col, bucket_rows, max_depth)
-    norm = normal_space(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(norm).alias("h"), F.sha2(norm.cast("binary"), 256).alias("sha"))
-    return keys.join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"], "left").select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.col("sha").alias("text_sha256"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).cast("long").alias("chars"), normal_space(text).alias("norm"))
+    keys = rows.select("doc_id", "chars", F.xxhash64("norm").alias("h"), F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    found = keys.join(index.select("h", "sha", "keep_id", "keep_chars", "group_size"), ["h", "sha"], "left")
+    kept = F.expr("doc_id <=> keep_id AND chars = keep_chars").alias("kept")
+    return found.select("doc_id", "keep_id", "group_size", kept, F.col("sha").alias("text_sha256"))
