@@ -17,6 +17,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -31,6 +32,16 @@ REMEMBERED = 200_000
 NONE = (1 << 31) - 1
 
 
+def located(rank_file: str) -> str:
+    """The path of a rank file; one that is only named is looked up among the
+    public tokenizers of the machine that opens it."""
+    if os.path.dirname(rank_file):
+        return rank_file
+    import public_tokenizers
+
+    return public_tokenizers.path(rank_file)
+
+
 class Vocabulary:
     """Ranks, single-byte ids, and the hashed table of pairs that merge."""
 
@@ -38,15 +49,13 @@ class Vocabulary:
         import numpy as np
         import regex
 
-        with open(rank_file, "rb") as f:
+        with open(located(rank_file), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        if len(self.tokens) > 1 << 16:
-            raise ValueError("ids must fit 16 bits")
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
@@ -55,7 +64,7 @@ class Vocabulary:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        keys = (np.array(left, np.uint64) << np.uint64(16)) | np.array(right, np.uint64)
+        keys = (np.array(left, np.uint64) << np.uint64(32)) | np.array(right, np.uint64)
         self._table(keys, np.array(merged, np.int32))
         self.known: dict[str, bytes] = {}
 
@@ -85,7 +94,7 @@ class Vocabulary:
         """Rank of every pair, NONE for those that don't merge; -1 is padding."""
         import numpy as np
 
-        keys = (left.astype(np.uint64) << np.uint64(16)) | (right.astype(np.uint64) & np.uint64(0xFFFF))
+        keys = (left.astype(np.uint64) << np.uint64(32)) | (right.astype(np.uint64) & np.uint64(0xFFFFFFFF))
         slot = self._slot(keys)
         found, out = self.keys[slot], self.values[slot]
         out = np.where(found == keys, out, NONE)

@@ -15,10 +15,10 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def vocabulary_source() -> tuple[str, str]:
-    """Rank file and pattern of the public byte-level vocabulary."""
+    """Rank file, by name, and pattern of the public byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    return RANKS, public_tokenizers.PATTERN
 
 
 def bpe_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
