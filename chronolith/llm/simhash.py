@@ -2,8 +2,9 @@
 
 Result of odd inputs: a null or wordless text has fingerprint zero and is
 linked like any other; a text of one or two words is one shingle; repeated
-shingles count each time; rows with equal ids are kept as they are; an empty
-table gives an empty result; columns other than the two named are ignored.
+shingles count each time; rows with equal ids are kept as they are; rows
+without an id link nothing: their component is that of rows with an id and the
+same fingerprint, or null; an empty table gives an empty result; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
