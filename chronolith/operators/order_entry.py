@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .sequence import numbered
 
 #: Shares of the transaction kinds in percent, and characters of a bad-credit note that are kept.
@@ -127,13 +128,17 @@ def delivered(new_order: DataFrame, deliveries: DataFrame, slices: tuple[Column,
 
 
 def run_batch(t: dict[str, DataFrame], asked: DataFrame, lines: DataFrame, payments: DataFrame, deliveries: DataFrame, width: int = 1 << 16) -> dict[str, DataFrame]:
-    """The tables after a batch, and ``outcomes`` (seq, kind, outcome)."""
+    """The tables after a batch, and ``outcomes`` (seq, kind, outcome).
+
+    What several tables take from, the new orders with their lines and the
+    deliveries, is written once."""
     cut = lambda c: F.floor(F.col(c) / width)
     after = dict(t)
     orders, ordered = new_orders(t, asked, lines, cut("seq"))
+    orders, ordered = written(orders, "new-orders")[0], written(ordered, "new-lines")[0]
     made = orders.where("outcome = 'Committed'")
     waiting = t["new_order"].unionByName(made.select("w", "d", "o_id"))
-    gone = delivered(waiting, deliveries, (cut("o_id"), cut("seq")))
+    gone, _ = written(delivered(waiting, deliveries, (cut("o_id"), cut("seq"))), "delivered")
     after["stock"] = ordered_stock(t["stock"], ordered)
     by_home = payments.groupBy(F.col("home_w").alias("w"), F.col("home_d").alias("d")).agg(F.sum("amount").alias("_paid"))
     made_by = made.groupBy("w", "d").agg(F.count("*").alias("_made"))

@@ -14,11 +14,14 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local runs and tests) is one made."""
+    Where that is unset, a local run gets one of its own; a cluster gets an error,
+    as no folder of one machine is there for the others."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("chronolith.local.shared", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="chronolith-")
         spark.conf.set("chronolith.local.shared", base)
     return base.rstrip("/")
