@@ -27,17 +27,20 @@ from pyspark.sql import functions as F
 
 from ._common import ready, written
 
-#: Vectors that the centroids and codebooks are fitted on, at most.
-SAMPLE = 32_768
-#: Cells: the square root of the number of vectors, within these bounds.
-CELLS = (1, 4096)
+#: Cells: so many times the square root of the number of vectors, at most.  The
+#: bound is that of what is fitted on the driver and sent to every worker.
+FINENESS, MOST_CELLS = 4, 16_384
+#: Vectors that the centroids and codebooks are fitted on: so many a cell, within these bounds.
+A_CELL, SAMPLE = 8, (32_768, 131_072)
 #: Cells that a query visits: as many as bring this share of the sample's own
-#: nearest neighbours in reach, and until they hold so many vectors at least.
-RECALL, PROBED = 0.99, 2000
+#: nearest neighbours in reach.
+RECALL = 0.95
 #: Sub-vectors of a code, and centroids of each.
 PARTS, CENTROIDS = 32, 256
 #: Vectors and queries that meet in one task at a time.
-BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
+BLOCK_VECTORS, BLOCK_QUERIES = 2048, 512
+#: Queries whose tables a task holds at a time.
+AT_ONCE = 512
 #: Best of a query, in a block and over all, that go on to be scored exactly.
 RERANKED = 128
 
@@ -169,7 +172,7 @@ def _index(vectors: DataFrame, model: Model) -> DataFrame:
     return vectors.select("id", "e").mapInArrow(run, "cell int, id long, size float, codes binary")
 
 
-def _probes(queries: DataFrame, model: Model, counts: list[int], group: list[int], probes: int, probed: int) -> DataFrame:
+def _probes(queries: DataFrame, model: Model, counts: list[int], group: list[int], probes: int) -> DataFrame:
     """A row for each query and group of cells that it visits: the cells, and
     their inner products with the query."""
 
@@ -185,9 +188,8 @@ def _probes(queries: DataFrame, model: Model, counts: list[int], group: list[int
             base = q @ model.cells.T
             base[:, n == 0] = -np.inf
             order = np.argsort(-base, 1, kind="stable")
-            before = np.cumsum(n[order], 1) - n[order]
             visit = np.zeros(base.shape, bool)
-            np.put_along_axis(visit, order, ((np.arange(len(n)) < probes) | (before < probed)) & (n[order] > 0), 1)
+            np.put_along_axis(visit, order, (np.arange(len(n)) < probes) & (n[order] > 0), 1)
             out = ([], [], [], [], [])
             ids = b.column(0).to_pylist()
             for i in range(len(q)):
@@ -214,6 +216,25 @@ def _best(ids, scores, n: int):
     return at[np.lexsort((ids[at], -scores[at]))[:n]]
 
 
+def added(tables, codes, rows):
+    """Sums over the parts of table entries (part, code, query) for each vector
+    with ``codes`` (part, vector) and each of the queries ``rows``.
+
+    Entries of all queries are added as whole rows unless few of them ask: a
+    single entry costs about eight times its share of a row."""
+    import numpy as np
+
+    if len(rows) * 8 >= tables.shape[2]:
+        total, part = tables[0][codes[0]], np.empty((codes.shape[1], tables.shape[2]), np.float32)
+        for j in range(1, len(codes)):
+            total += np.take(tables[j], codes[j], axis=0, out=part)
+        return total[:, rows]
+    total = tables[0][codes[0][:, None], rows]
+    for j in range(1, len(codes)):
+        total += tables[j][codes[j][:, None], rows]
+    return total
+
+
 def _scan(codes: DataFrame, probes: DataFrame, model: Model, keep: int) -> DataFrame:
     """Best of each query in each block of codes that it meets, by the tables."""
 
@@ -230,22 +251,20 @@ def _scan(codes: DataFrame, probes: DataFrame, model: Model, keep: int) -> DataF
             span = {int(cell[s]): (s, e) for s, e in zip(np.r_[0, cut], np.r_[cut, len(cell)])}
             q = np.frombuffer(b"".join(right.column("e").to_pylist()), np.float32).reshape(right.num_rows, -1)
             names, visits, base = right.column("q").to_pylist(), right.column("cells").to_pylist(), right.column("base").to_pylist()
-            for s in range(0, len(q), 64):
-                tables = np.ascontiguousarray(model.tables(q[s : s + 64]).transpose(1, 0, 2))
-                near = np.full((tables.shape[1], len(ids)), -np.inf, np.float32)
+            for s in range(0, len(q), AT_ONCE):
+                # By part and code: the entries of all queries lie side by side.
+                tables = np.ascontiguousarray(model.tables(q[s : s + AT_ONCE]).transpose(1, 2, 0))
+                near = np.full((len(ids), tables.shape[2]), -np.inf, np.float32)
                 by: dict[int, list] = {}
-                for i in range(tables.shape[1]):
+                for i in range(tables.shape[2]):
                     for c, b in zip(visits[s + i], base[s + i]):
                         by.setdefault(c, []).append((i, b))
                 for c, who in by.items():
                     if c in span:
                         lo, hi = span[c]
                         rows, b = np.array([w[0] for w in who]), np.array([w[1] for w in who], np.float32)
-                        total = np.zeros((len(rows), hi - lo), np.float32)
-                        for j in range(len(at)):
-                            total += tables[j, rows].take(at[j, lo:hi], axis=1)
-                        near[rows, lo:hi] = b[:, None] + total * size[lo:hi]
-                for i, row in enumerate(near):
+                        near[lo:hi, rows] = b + added(tables, at[:, lo:hi], rows) * size[lo:hi, None]
+                for i, row in enumerate(np.ascontiguousarray(near.T)):
                     best = _best(ids, row, keep)
                     best = best[row[best] > -np.inf]
                     out[0].append(names[s + i])
@@ -302,9 +321,22 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, reranked: int = RERANKED, sample: int = SAMPLE) -> DataFrame:
+def search(
+    vectors: DataFrame,
+    is_query: Column,
+    k: int = 20,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    recall: float = RECALL,
+    reranked: int = RERANKED,
+    sample: tuple[int, int] = SAMPLE,
+    report: dict | None = None,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for
-    which ``is_query`` (over ``id_col``), among all other rows."""
+    which ``is_query`` (over ``id_col``), among all other rows.
+
+    ``report`` is told the vectors, the cells, the cells that a query visits and
+    the share of all vectors whose codes it meets there."""
     import numpy as np
 
     spark = vectors.sparkSession
@@ -330,24 +362,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     if n == 0:
         return empty
 
-    part = min(1.0, sample / n)
-    picked = entries.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))).select("e").limit(2 * sample).toArrow()
+    cells = max(1, min(MOST_CELLS, FINENESS * math.isqrt(n)))
+    size = min(max(A_CELL * cells, sample[0]), sample[1])
+    part = min(1.0, size / n)
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
+    picked = entries.where(drawn).select("e").limit(2 * size).toArrow()
     if not picked.num_rows:
-        picked = entries.select("e").limit(sample).toArrow()
+        picked = entries.select("e").limit(size).toArrow()
     drawn = _matrix(picked.column("e"))
-    model = fit(drawn, max(CELLS[0], min(CELLS[1], math.isqrt(n))))
+    model = fit(drawn, min(cells, max(1, len(drawn) // 4)))
     probes = probes_for(model, drawn, k, recall)
     index, _ = written(_index(entries, model), "codes")
     per_cell = {r.cell: r.n for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # as many as cells
     counts = [per_cell.get(c, 0) for c in range(len(model.cells))]
     group = cell_groups(counts, BLOCK_VECTORS)
-    visits, _ = written(_probes(asking, model, counts, group, probes, PROBED), "probes")
+    visits, _ = written(_probes(asking, model, counts, group, probes), "probes")
+    if report is not None:
+        met = visits.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("m")).collect()  # as many as cells
+        share = sum(r.m * counts[r.cell] for r in met) / max(1, sum(counts) * asking.count())
+        report.update(vectors=n, cells=len(counts), probes=probes, visited_share=share)
     per_visit = {r.g: r.n for r in visits.groupBy("g").agg(F.count("*").alias("n")).collect()}
     held = [0] * (group[-1] + 1)
     for c, g in enumerate(group):
         held[g] += counts[c]
-    grid = spark.createDataFrame([(g, max(1, -(-v // BLOCK_VECTORS)), max(1, -(-per_visit.get(g, 0) // BLOCK_QUERIES))) for g, v in enumerate(held)], "g int, nx int, nq int")
-    grid = F.broadcast(grid)  # CELLS[1] rows at most
+    blocks = [(g, max(1, -(-v // BLOCK_VECTORS)), max(1, -(-per_visit.get(g, 0) // BLOCK_QUERIES))) for g, v in enumerate(held)]
+    grid = spark.createDataFrame(blocks, "g int, nx int, nq int")
+    grid = F.broadcast(grid)  # MOST_CELLS rows at most
     of = F.broadcast(spark.createDataFrame(list(enumerate(group)), "cell int, g int"))  # so is this
     left = index.join(of, "cell").join(grid, "g").select("g", F.pmod(F.xxhash64("id"), "nx").cast("int").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("bq"), "cell", "id", "size", "codes")
     right = visits.join(grid, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("nx") - 1)).alias("bx"), F.pmod(F.xxhash64("q"), "nq").cast("int").alias("bq"), "q", "cells", "base", "e")

@@ -172,21 +172,12 @@ def _url_filter_sql() -> str:
         f"""fin AS (SELECT y.page_id, y.host, y.path, purity, CASE {rule} END AS rule
  FROM typ y JOIN {now} x ON y.host = x.host AND y.typed = x.typed JOIN jdg ON x.host = jdg.host AND x.t = jdg.t)""",
     ]
-    return "WITH " + ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN purity <= 1.0 - {u.REJECTED}::DOUBLE THEN 'block' ELSE 'allow' END END AS verdict FROM fin"
+    last = f"CASE WHEN purity <= 1.0 - {u.REJECTED}::DOUBLE THEN 'block' ELSE 'allow' END"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, CASE rule {verdict} ELSE {last} END AS verdict FROM fin"
 
 
 ORACLE_SQL: dict[str, str] = {
     "op8_url_filter": _url_filter_sql(),
-    # The exact answer, which the search gives where it visits every cell, as it does on small tables.
-    "op1_ann": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
-           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]), lambda a, b: a + b) AS score
-      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
-SELECT * FROM r WHERE rank <= 20
-""",
     "op3_exact_dedup": r"""
 WITH a AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
