@@ -13,7 +13,8 @@ Texts of any length are read whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolith.llm import exact_dedup, langid, mixing, simhash
@@ -29,14 +30,24 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _keyed(docs: DataFrame, ranked: bool = False) -> tuple[DataFrame, str]:
-    """The documents with a number of each row's own, stored, so that all readings
-    see the same numbers, and the name of its column.  ``ranked`` numbers follow
-    the order of ids, those without one last; rows that tie are equal."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number for each row, which all readings see alike, and
+    the name of its column: a 64-bit hash of the row's file and its place there.
+
+    Documents that are not read from files are written first."""
     key = _free(docs, "_row")
-    if ranked:
-        docs = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*docs.columns))
-    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")[0], key
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(key)
+    try:
+        return docs.select("*", place), key
+    except AnalysisException:
+        return written(docs, "documents")[0].select("*", place), key
+
+
+def _first(rows: DataFrame, key: str, by: str, size: Column | None = None) -> DataFrame:
+    """As doc_id, the number of one row for each value of ``by``: of the largest
+    ``size``, then the smallest id, no id being the largest, then the least number."""
+    order = F.struct((F.lit(0) if size is None else -size).alias("s"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col(key).alias("k"))
+    return rows.groupBy(by).agg(F.min(order).alias("_f")).select(F.col("_f.k").alias("doc_id"))
 
 
 def _only(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
@@ -56,15 +67,19 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each class of equal texts stays: the longest, then that with the
     smallest id, a null id being the largest; of rows that tie in both, one.
     Different texts under one id all stay."""
-    rows, key = _keyed(docs, ranked=True)
-    return _only(rows, key, exact_dedup.exact_duplicates(rows, key).where("kept")).select(*docs.columns)
+    rows, key = _keyed(docs)
+    classes = exact_dedup.exact_duplicates(rows, key).select(F.col("doc_id").alias("_key"), "text_sha256")
+    known = rows.select(F.col(key).alias("_key"), F.col("doc_id").alias("_id"), F.coalesce(F.length("text"), F.lit(0)).alias("_size"))
+    return _only(rows, key, _first(classes.join(known, "_key"), "_key", "text_sha256", F.col("_size"))).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked documents, one row with the smallest id stays, a null id being the
     largest.  All wordless texts have one fingerprint, so one of them stays."""
-    rows, key = _keyed(docs, ranked=True)
-    return _only(rows, key, simhash.near_duplicates(rows, key).where("doc_id = component_id")).select(*docs.columns)
+    rows, key = _keyed(docs)
+    linked = simhash.near_duplicates(rows, key).select(F.col("doc_id").alias("_key"), "component_id")
+    known = rows.select(F.col(key).alias("_key"), F.col("doc_id").alias("_id"))
+    return _only(rows, key, _first(linked.join(known, "_key"), "_key", "component_id")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
