@@ -137,16 +137,26 @@ def hot_tail(operations: DataFrame, schema: str, key: str, order: str, path: str
     return _bucketed(operations, "hot-tail", schema, key, merge, path=path)
 
 
-def tumbling_counts(rows: DataFrame, ts: str, width: str, lateness: str, path: str | None = None) -> DataFrame:
-    """(start, n) by tumbling window.  The watermark bounds the state; its delay
-    is at least the lateness, so no row is dropped."""
-    counted = rows.withWatermark(ts, lateness).groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
+def tumbling_counts(rows: DataFrame, ts: str, width: str, path: str | None = None) -> DataFrame:
+    """(start, n) by tumbling window; rows without a time are counted under a null
+    start.  A batch adds its counts to those of the table, which is the state, so
+    there is no watermark and no row is too late, in whatever order files come."""
 
     def merge(old: DataFrame, batch: DataFrame) -> DataFrame:
-        # Update mode: a window's newer count replaces its older one.
-        return old.join(batch.select("start"), "start", "left_anti").unionByName(batch)
+        return old.unionByName(batch).groupBy("start").agg(F.sum("n").alias("n"))
 
-    return _bucketed(counted, "tumbling", "start timestamp, n long", "start", merge, "update", path)
+    spark = rows.sparkSession
+    path = path or new_folder(spark, "tumbling")
+    table = Buckets(spark, path, "start timestamp, n long", "start")
+
+    def step(batch: DataFrame, number: int) -> None:
+        # A window leaves out rows without a time, so these get one for as long as that.
+        window = F.window(F.coalesce(ts, F.timestamp_seconds(F.lit(0))), width)["start"]
+        starts = batch.select(F.when(F.col(ts).isNotNull(), window).alias("start"))
+        table.change(starts.groupBy("start").agg(F.count("*").alias("n")), number, merge)
+
+    run_batches(rows, "tumbling", step, checkpoint=f"{path}/checkpoint")
+    return table.read()
 
 
 def commit_gated(writes: DataFrame, commits: DataFrame, ts: str, within: str, lateness: str) -> str:

@@ -236,3 +236,18 @@ def test_running_sums_over_slices(spark):
         total[g] = total.get(g, 0) + v
         want[i] = total[g]
     assert {x.i: x.s for x in got} == want
+
+
+def test_tumbling_counts_take_rows_however_late(spark, tmp_path):
+    """A file a batch, each 100 days before the last one; then more files for the same table."""
+    src, path, day = str(tmp_path / "in"), str(tmp_path / "table"), 86_400
+    spark.createDataFrame([(None,)], "s long").select(F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(src)
+    want = {None: 1}
+    for i in range(4):
+        start = (900 - 100 * i) * day
+        spark.createDataFrame([(start + x,) for x in (0, 5, day - 1)], "s long").select(F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+        want[start] = 3
+    counts = lambda: {x.s: x.n for x in jobs.tumbling_counts(jobs.source(spark, src, 1), "ts", "1 day", path=path).select(F.unix_seconds("start").alias("s"), "n").collect()}
+    assert counts() == want
+    spark.createDataFrame([(None,), (600 * day,), (-1,)], "s long").select(F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+    assert counts() == want | {None: 2, 600 * day: 4, -day: 1}

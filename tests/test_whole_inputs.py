@@ -135,3 +135,17 @@ def test_every_operator_of_the_survey_is_claimed():
     text = text[text.index("## 2.") : text.index("### 2.11")]
     ids = {x for row in re.findall(r"^\| ([A-Z][A-Za-z0-9, -]*?) \|", text, re.M) for x in row.split(", ")}
     assert ids - claimed <= {"ID", "SNK-03", "PRJ-02"}
+
+
+def test_tumbling_counts_equal_their_sql(spark, tmp_path):
+    """Many files whose times go down, halves of seconds at the ends of days, days before 1970, no time at all."""
+    duck, folder = duckdb.connect(), tmp_path / "events.parquet"
+    folder.mkdir()
+    odd = ["2024-01-03 23:59:59.5", "2024-01-03 23:59:59.499999", "2024-01-03 23:59:59.75", "1969-12-31 12:00:00", "1969-12-30 23:59:59.7", "1969-12-31 00:00:00", "1969-12-30 12:00:00"]
+    duck.execute("CREATE TABLE events AS SELECT TIMESTAMP '2024-01-01' + to_hours(i::int * 100) AS ts FROM range(200) t(i) UNION ALL SELECT NULL")
+    duck.executemany("INSERT INTO events VALUES (?::TIMESTAMP)", [[x] for x in odd])
+    for i in range(20):
+        duck.execute(f"COPY (SELECT ts FROM (SELECT ts, row_number() OVER (ORDER BY ts DESC) AS r FROM events) WHERE r // 11 = {i}) TO '{folder}/part-{i:02d}.parquet' (FORMAT parquet)")
+    q = registry.load()["stream_tumbling_counts"]
+    got = [(x.day, x.n) for x in q.run(spark, str(tmp_path)).select("day", "n").collect()]
+    assert sorted(got, key=str) == sorted(duck.execute(q.sql).fetchall(), key=str)
