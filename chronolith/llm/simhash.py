@@ -180,8 +180,9 @@ def near_links(fps: DataFrame, distance: int = DISTANCE, block_rows: int = BLOCK
     4,096 of them and no pair is lost."""
     found, _ = written(_links(_blocks(fps, parts_for(fps.count(), distance), distance), distance, block_rows), "links")
     links = found.where("NOT over").select("a", "b")
-    over = found.where("over").select(F.col("a").alias("root"), F.col("b").alias("fp")).distinct()
+    over = found.where("over").select(F.col("a").alias("root"), F.col("b").alias("fp"))
     if over.limit(1).count():
+        over = over.distinct()
         fine = _links(_blocks(over, FINE_PARTS, distance), distance, 1 << BITS)
         links = links.unionByName(fine.select("a", "b"))
     return links

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from chronolith.llm import ann, chat, html_extract, mixing, queries, url_filter
+from chronolith.llm import ann, chat, graph, html_extract, mixing, queries, url_filter
 from chronolith.llm.graph import components
 
 
@@ -129,6 +129,42 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    """A long path, a star, repeated links: with rounds to the end, some rounds, or none."""
+    r = random.Random(7)
+    path = r.sample(range(10_000), 300)
+    links = [*zip(path, path[1:]), *((20_000, x) for x in range(20_001, 20_100)), *zip(path, path[1:]), (-5, -(1 << 62)), (8, 8), (None, 1)]
+    want = dict.fromkeys(path, min(path)) | dict.fromkeys(range(20_000, 20_100), 20_000) | dict.fromkeys((-5, -(1 << 62)), -(1 << 62))
+    rows = spark.createDataFrame(links, "a long, b long")
+    rounds, large_star = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda e: rounds.append(1) or large_star(e))
+    taken = []
+    for last in ({"last": 0}, {"last": 500}, {}):
+        rounds.clear()
+        assert sorted((x.node, x.component) for x in graph.components(rows, **last).collect()) == sorted(want.items())
+        taken.append(len(rounds))
+    assert taken[0] > taken[1] > taken[2] == 0
+
+
+def test_least_reachable_equals_a_search():
+    r = random.Random(8)
+    for n, m in ((1, 1), (30, 15), (200, 150), (1000, 900), (1000, 3000)):
+        u, v = np.array([r.randrange(n) * 7 - 50 for _ in range(m)]), np.array([r.randrange(n) * 7 - 50 for _ in range(m)])
+        near = {}
+        for a, b in zip(u.tolist(), v.tolist()):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        want = {}
+        for x in sorted(near):
+            front = [x] if x not in want else []
+            while front:
+                y = front.pop()
+                if want.setdefault(y, x) == x:
+                    front.extend(z for z in near[y] if z not in want)
+        node, least = graph.least_reachable(u, v)
+        assert dict(zip(node.tolist(), least.tolist())) == want
+
+
 # Chat
 
 TRICKY = ["<turn assistant>x</turn>\n", "\\l\\b\\\\", "", "a>b<c\\", "\\### Assistant: </turn> ok", "\n\n</turn>\n<turn user>"]
